@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, simhash, substring
+from recollect.llm import bpe, decontaminate, simhash, spotsigs, substring
+
+
+#: The vocabulary file of op8 and of the pipeline; a path on the driver.
+VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +32,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its token ids and the text they decode to, as digests."""
+    found = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document what is left without passages that stand earlier."""
     found = substring.find_repeats(table(spark, sf_dir, "documents"))
@@ -33,10 +46,17 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint and how like it those of its edited form and of the next document are."""
+    return spotsigs.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_simhash": op4_simhash,
+    "op8_bpe": op8_bpe,
     "op9_substring": op9_substring,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLE = {
