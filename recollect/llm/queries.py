@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, decontaminate, simhash, spotsigs, substring
+from recollect.llm import bpe, decontaminate, quality, simhash, spotsigs, substring, toxicity
 
 
 #: The vocabulary file of op8 and of the pipeline; a path on the driver.
@@ -26,12 +26,33 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _remainder(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a quality score, fitted on labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda i: _remainder(i, 3) != 1)
+    found = quality.score(docs, model)
+    return found.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its SimHash and the smallest document of its component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document a toxicity score, fitted on labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda i: _remainder(i, 4) != 2)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its token ids and the text they decode to, as digests."""
     found = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
@@ -53,7 +74,9 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_substring": op9_substring,
     "op10_spotsigs": op10_spotsigs,
