@@ -24,6 +24,8 @@ BITS = 18
 DIM = 4
 #: Most labelled rows of each class that the model is fitted on, by order of a hash of the id.
 MOST_LABELLED = 1500
+#: Occurrences at which the contrast of an n-gram counts half.
+SHRINK = 5
 SEED = 7
 
 
@@ -102,64 +104,93 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def fit(texts: Sequence[bytes], toxic: Sequence[int], share: float, epochs: int = 60, rate: float = 0.05) -> Model:
+def _contrast(word_counts: tuple[np.ndarray, np.ndarray], buckets: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's rates in toxic and other texts, drawn to 0 where it occurs seldom."""
+    toxic, other = (np.bincount(buckets, c[owner], 1 << BITS) for c in word_counts)
+    share = word_counts[0].sum() / max(1e-9, word_counts[0].sum() + word_counts[1].sum())
+    total = toxic + other
+    ratio = np.log((toxic + 2 * share) / (other + 2 * (1 - share))) - np.log(share / (1 - share))
+    return ratio * total / (total + SHRINK)
+
+
+def fit(texts: Sequence[bytes], toxic: Sequence[int], share: float, epochs: int = 40, rate: float = 0.02) -> Model:
     """Fit embeddings and softmax together by Adam on all texts at once.
 
-    `share` is the share of toxic rows among all that are labelled; classes are weighted to it when the
-    scores are calibrated, on a fifth of the rows that the fit leaves out. Without rows of both classes every
-    text gets the same score, `share`.
+    N-grams that tell the classes apart by a factor of e or more get vectors, which begin at that contrast;
+    the vectors of all others are zero. A fifth of the rows is left out of the fit: it chooses the epoch with
+    the least loss, and calibrates the scores with classes weighted to `share`, the share of toxic rows among
+    all that are labelled. Without rows of both classes every text gets the same score, `share`.
     """
     y = np.asarray(toxic, np.float64)
     blank = Model(np.zeros(1 << BITS), 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if not 0 < y.sum() < len(y):
         return blank
+    rng = np.random.default_rng(SEED)
+    held = np.zeros(len(y), bool)
+    for k in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == k))
+        held[own[: len(own) // 5]] = True
     words, rows, cols, counts = bags(texts)
     if not words:
         return blank
     buckets, n = grams(words)
-    used, local = np.unique(buckets, return_inverse=True)
-    rng = np.random.default_rng(SEED)
-    held = rng.permutation(len(y)) % 5 == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    owner = np.repeat(np.arange(len(words)), n)
+    fitted = ~held[rows]
+    by_class = tuple(np.bincount(cols[fitted], (y[rows] == k)[fitted], len(words)) for k in (1, 0))
+    contrast = _contrast(by_class, buckets, owner)
+    telling = np.abs(contrast) >= 1
+    used = np.flatnonzero(telling)
+    if not len(used):
+        return blank
     size = np.maximum(1, np.bincount(rows, counts, len(y)))
-    tf = (counts / size[rows]).astype(np.float32)
-    # reduceat sums the rows of a group: by word and text on the way up, by n-gram and word on the way down
-    word_at = np.cumsum(n) - n
-    present, text_at = np.unique(rows, return_index=True)
-    by_gram = np.argsort(local, kind="stable")
-    gram_at = np.searchsorted(local[by_gram], np.arange(len(used)))
-    gram_word = np.repeat(np.arange(len(words)), n)[by_gram]
-    by_word = np.argsort(cols, kind="stable")
-    text_word_at = np.searchsorted(cols[by_word], np.arange(len(words)))
-    share_of = (1 / n).astype(np.float32)[:, None]
-    e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-    w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+    picked = telling[buckets]
+    gram, gram_word = np.searchsorted(used, buckets[picked]), owner[picked]
+    # words without a telling n-gram have the zero vector and drop out of the sums, not out of the means
+    some, word_at, of_word = np.unique(gram_word, return_index=True, return_inverse=True)
+    share_of = (1 / n[some]).astype(np.float32)[:, None]
+    entry = np.isin(cols, some)
+    text, word = rows[entry], np.searchsorted(some, cols[entry])
+    tf = (counts / size[rows])[entry].astype(np.float32)[:, None]
+    present, text_at = np.unique(text, return_index=True)
+    by_gram, by_word = np.argsort(gram, kind="stable"), np.argsort(word, kind="stable")
+    gram_at, text_word_at = np.searchsorted(gram[by_gram], np.arange(len(used))), np.searchsorted(word[by_word], np.arange(len(some)))
+    e = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
+    e[:, 0] += contrast[used]
+    w = rng.normal(0, 0.01, (DIM, 2)).astype(np.float32)
+    w[0] += (-1, 1)
     b = np.zeros(2, np.float32)
     target = np.stack((1 - y, y), axis=1).astype(np.float32)
-    weight = np.where(held, 0, np.where(y == 1, 0.5 / max(1, (y * ~held).sum()), 0.5 / max(1, ((1 - y) * ~held).sum()))).astype(np.float32)
+
+    def weights(part: np.ndarray) -> np.ndarray:
+        return np.where(part, np.where(y == 1, 0.5 / max(1, (y * part).sum()), 0.5 / max(1, ((1 - y) * part).sum())), 0).astype(np.float32)
+
+    check = held if 0 < y[held].sum() < held.sum() else ~held
+    weight, check_weight = weights(~held), weights(check)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
-    gain = np.float32(30)  # a mean over hundreds of words is small; this is the step's scale, not the model's
+    gain, best = np.float32(20), (np.inf, None)  # a mean over hundreds of words is small; gain is the scale of the steps
     for step in range(1, epochs + 1):
-        vectors = np.add.reduceat(e[local], word_at) * share_of
+        vectors = np.add.reduceat(e[gram], word_at) * share_of
         mean = np.zeros((len(y), DIM), np.float32)
-        mean[present] = np.add.reduceat(vectors[cols] * tf[:, None], text_at)
+        mean[present] = np.add.reduceat(vectors[word] * tf, text_at)
         logits = gain * mean @ w + b
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
+        loss = -float((np.log((p * target).sum(axis=1) + 1e-9) * check_weight).sum())
+        if loss < best[0]:
+            best = (loss, (e @ (w[:, 1] - w[:, 0])).astype(np.float64))
         d = (p - target) * weight[:, None]
-        d_mean = gain * d @ w.T
-        d_word = np.add.reduceat(d_mean[rows[by_word]] * tf[by_word][:, None], text_word_at) * share_of
-        d_e = np.add.reduceat(d_word[gram_word], gram_at)
-        for param, grad, (m, v) in zip((e, w, b), (d_e, gain * mean.T @ d + 1e-4 * w, d.sum(axis=0)), moments, strict=True):
+        d_word = np.add.reduceat((gain * d @ w.T)[text[by_word]] * tf[by_word], text_word_at) * share_of
+        d_e = np.add.reduceat(d_word[of_word[by_gram]], gram_at)
+        for param, grad, (m, v) in zip((e, w, b), (d_e, gain * mean.T @ d, d.sum(axis=0)), moments, strict=True):
             m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            v += 0.01 * (grad * grad - v)
+            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     margin = np.zeros(1 << BITS)
-    margin[used] = e @ (w[:, 1] - w[:, 0]) * gain
-    value = np.add.reduceat(margin[buckets], word_at) / n
+    margin[used] = best[1]
+    value = np.bincount(owner, margin[buckets], len(words)) / n
     x = np.bincount(rows, value[cols] * counts, len(y)) / size
-    part = held if held.any() and 0 < y[held].sum() < held.sum() else ~held
-    prior = np.where(y == 1, share / max(1, y[part].sum()), (1 - share) / max(1, (1 - y[part]).sum()))[part]
-    return Model(margin, *_platt(x[part], y[part], prior * part.sum()))
+    prior = np.where(y == 1, share / max(1, y[check].sum()), (1 - share) / max(1, (1 - y[check]).sum()))[check]
+    return Model(margin, *_platt(x[check], y[check], prior * check.sum()))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> tuple[DataFrame, float]:
