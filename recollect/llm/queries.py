@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, decontaminate, quality, simhash, spotsigs, substring, toxicity, warc
+from recollect.llm import bpe, chat, decontaminate, pii, quality, simhash, spotsigs, substring, toxicity, warc
 
 
 #: The vocabulary file of op8 and of the pipeline; a path on the driver.
@@ -73,6 +73,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the places of personal data, those of the fixed patterns and those the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.digest_text(F.col("base")), 256).alias("base_sha256"), pii.digest_text(F.col("spans")).alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page what its record in the archives says, and the digest of the payload read back."""
     archives = warc.write(table(spark, sf_dir, "pages"))
@@ -120,6 +129,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,

@@ -143,10 +143,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """docs without the rows whose component has a smaller id; repeated rows of the kept id stay once.
+    """docs without the rows whose component has a smaller id; of repeated rows one stays.
 
-    Rows of null id are kept unless their component has an id.
+    Rows of null id are kept unless their component has an id. The columns are those of docs.
     """
     found = near_duplicates(docs, id_col, text_col, size)
-    lost = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return docs.join(lost, id_col, "left_anti").dropDuplicates([id_col, text_col])
+    lost = found.where(F.coalesce(F.col(id_col) > F.col("component_id"), F.col("component_id").isNotNull())).select(F.col(id_col).alias("_lost")).distinct()
+    kept = docs.join(lost, docs[id_col].eqNullSafe(F.col("_lost")), "left_anti")
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])
