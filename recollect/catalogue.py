@@ -1,5 +1,658 @@
 """All queries over the driver's tables, by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recollect import sqltext as S
+from recollect.functions import temporal, text
+from recollect.functions.porter import stemming
+from recollect.model import NODE_TYPES, PARAMS, days_between, edges, events, nodes, now, table, vectors
+from recollect.operators import context, graph, lifecycle, pairs, search
+from recollect.operators.vectors import dot, knn, knn_approximate, top_k
+from recollect.session import prepare
+from recollect.sources import markdown, tables, transcripts
+from recollect.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 FLAGSHIP = "hybrid_recall"
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, and the SQL with it."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Nodes: projection, counts and filters
+
+
+@query(f"WITH {S.NODES} SELECT id, type, tier, space, title, created, last_accessed, access_count, confidence, importance, valid_until, stability FROM nodes")
+def nodes_projection(spark, d):
+    return nodes(spark, d).drop("content", "updated", "tags")
+
+
+@query(f"WITH {S.NODES} SELECT tier, count(*) AS n, sum(access_count)::BIGINT AS accesses FROM nodes GROUP BY tier")
+def stats_by_tier(spark, d):
+    return nodes(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.sum("access_count").alias("accesses"))
+
+
+@query(f"""WITH {S.NODES} SELECT 'tier' AS facet, tier AS value, count(*) AS n FROM nodes GROUP BY tier UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY type
+UNION ALL SELECT 'space', space, count(*) FROM nodes GROUP BY space""")
+def facet_counts(spark, d):
+    """All facets in one pass, by grouping sets."""
+    n = nodes(spark, d).select("tier", "type", "space")
+    g = n.groupingSets([["tier"], ["type"], ["space"]], "tier", "type", "space").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    facet = F.when(F.col("g") == 3, "tier").when(F.col("g") == 5, "type").otherwise("space")
+    return g.select(facet.alias("facet"), F.when(F.col("g") == 3, F.col("tier")).when(F.col("g") == 5, F.col("type")).otherwise(F.col("space")).alias("value"), "n")
+
+
+@query(f"WITH {S.EDGES} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
+def edge_facets(spark, d):
+    return edges(spark, d).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S.NODES} SELECT id, title FROM nodes WHERE tier = 'core' AND (valid_until IS NULL OR valid_until > {S.MOMENT})")
+def active_core_nodes(spark, d):
+    return nodes(spark, d).where((F.col("tier") == "core") & search.alive(now())).select("id", "title")
+
+
+@query(f"WITH {S.NODES} SELECT id, created FROM nodes WHERE created >= TIMESTAMP '2024-01-01 02:00:00' AND created <= TIMESTAMP '2024-01-01 09:00:00' AND (valid_until IS NULL OR valid_until > {S.MOMENT}) ORDER BY created DESC, id LIMIT 20")
+def recent_nodes_window(spark, d):
+    within = search.wanted(after=F.lit("2024-01-01 02:00:00").cast("timestamp"), before=F.lit("2024-01-01 09:00:00").cast("timestamp"))
+    return nodes(spark, d).where(within & search.alive(now())).orderBy(F.desc("created"), "id").limit(20).select("id", "created")
+
+
+@query(f"WITH {S.NODES} SELECT id FROM nodes WHERE type IN ('fact', 'person') AND tier IN ('core', 'working') AND list_has_any(tags, ['fr', 'about_self'])")
+def filtered_nodes(spark, d):
+    return nodes(spark, d).where(search.wanted(types=["fact", "person"], tiers=["core", "working"], tags=["fr", "about_self"])).select("id")
+
+
+@query(f"WITH {S.NODES} SELECT id, tag FROM (SELECT id, unnest(tags) AS tag FROM nodes)")
+def tags_exploded(spark, d):
+    return nodes(spark, d).select("id", F.explode("tags").alias("tag"))
+
+
+# Text functions
+
+
+@query(rf"""WITH {S.NODES}, t AS (SELECT id, title, content, {S.strip("content")} AS c FROM nodes)
+SELECT id, sha256({S.strip("concat_ws(' ', coalesce(title, ''), substr(content, 1, 512))")}) AS embedding_sha, {S.cut("replace(content, chr(10), ' ')", "...")} AS excerpt, substr(sha256(content), 1, 16) AS content_hash,
+regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, len({S.words("content")}) AS n_words,
+CASE WHEN length(c) <= 120 THEN c WHEN instr(c, '. ') - 1 > 0 AND instr(c, '. ') - 1 < 120 THEN substr(c, 1, instr(c, '. ')) WHEN instr(c, '.' || chr(10)) - 1 > 0 AND instr(c, '.' || chr(10)) - 1 < 120 THEN substr(c, 1, instr(c, '.' || chr(10)))
+WHEN instr(c, '; ') - 1 > 0 AND instr(c, '; ') - 1 < 120 THEN substr(c, 1, instr(c, '; ')) WHEN instr(c, chr(10)) - 1 > 0 AND instr(c, chr(10)) - 1 < 120 THEN substr(c, 1, instr(c, chr(10))) ELSE substr(c, 1, 120) END AS first_sentence FROM t""")
+def text_functions(spark, d):
+    n = nodes(spark, d)
+    return n.select(
+        "id", F.sha2(text.embedding_text(F.col("title"), F.col("content")), 256).alias("embedding_sha"), text.excerpt(F.col("content")).alias("excerpt"), text.content_hash(F.col("content")).alias("content_hash"),
+        text.slug(F.col("title")).alias("slug"), F.size(text.words(F.col("content"))).cast("bigint").alias("n_words"), text.first_sentence(F.col("content"), 120).alias("first_sentence"),
+    )
+
+
+def _ascii_titles(spark, d):
+    return nodes(spark, d).withColumn("title", F.regexp_replace("title", "[^ -~]", ""))
+
+
+@query(rf"""WITH {S.NODES}, p AS (SELECT a.id AS a, b.id AS b, lower(regexp_replace(a.title, '[^ -~]', '', 'g')) AS ta, lower(regexp_replace(b.title, '[^ -~]', '', 'g')) AS tb, a.content AS ca, b.content AS cb FROM nodes a JOIN nodes b ON b.id = a.id + 11)
+SELECT a, b, round(CASE WHEN length(trim(ta)) > 0 AND length(trim(tb)) > 0 THEN 1 - levenshtein(trim(ta), trim(tb))::DOUBLE / greatest(length(trim(ta)), length(trim(tb))) ELSE 0 END, 6) AS title_ratio,
+round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 ELSE len(list_intersect(wa, wb))::DOUBLE / len(list_distinct(list_concat(wa, wb))) END, 6) AS overlap
+FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(ca), '\s+'), lambda w: w <> '')) AS wa, list_distinct(list_filter(regexp_split_to_array(lower(cb), '\s+'), lambda w: w <> '')) AS wb FROM p)""")
+def text_similarity(spark, d):
+    """On titles in ASCII, as DuckDB counts edits in bytes."""
+    n = _ascii_titles(spark, d).select("id", "title", "content")
+    p = n.select(F.col("id").alias("a"), (F.col("id") + 11).alias("b"), F.col("title").alias("ta"), F.col("content").alias("ca")).join(n.select(F.col("id").alias("b"), F.col("title").alias("tb"), F.col("content").alias("cb")), "b")
+    return p.select("a", "b", F.round(text.edit_ratio(F.col("ta"), F.col("tb")), 6).alias("title_ratio"), F.round(text.token_jaccard(F.col("ca"), F.col("cb")), 6).alias("overlap"))
+
+
+PROMPTS = [
+    "what did we do yesterday", "Is the parser done?", "changes to the API in the last 3 days", "ok", "show me what I worked on last week", "past 2 weeks of whisper", "recently in the  index, lately", "how should I deploy this",
+    "what happened over the last month", "remember this week", "!?", "last 5 hours", "plain statement about birds", "past 1 month", "today", "did it work in the last 10 months",
+]
+_PROMPT_SQL = f"prompts AS (SELECT event_id AS id, list_extract({S.text_list(PROMPTS)}, CAST(event_id % {len(PROMPTS)} + 1 AS INT)) AS prompt FROM events)"
+
+
+def _prompts(spark, d):
+    return events(spark, d).select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("event_id") % len(PROMPTS) + 1).cast("int")).alias("prompt"), F.col("user_id").alias("session"), "ts")
+
+
+_NUMERIC = r"(?i)\b(?:last|past)\s+(\d+)\s+(hours?|days?|weeks?|months?)\b"
+
+
+@query(rf"""WITH {_PROMPT_SQL}, p AS (SELECT id, prompt, TRY_CAST(regexp_extract(prompt, '{_NUMERIC}', 1) AS BIGINT) AS c, regexp_replace(lower(regexp_extract(prompt, '{_NUMERIC}', 2)), 's$', '') AS u FROM prompts),
+h AS (SELECT *, c * CASE u WHEN 'hour' THEN 1 WHEN 'day' THEN 24 WHEN 'week' THEN 168 WHEN 'month' THEN 720 END AS hours, u IN ('week', 'month') AND c > 1 AS earlier FROM p),
+w AS (SELECT id, CASE WHEN c IS NOT NULL THEN CASE WHEN earlier THEN hours * 2 ELSE hours END WHEN regexp_matches(prompt, '(?i)\btoday\b') THEN 24 WHEN regexp_matches(prompt, '(?i)\byesterday\b') THEN 48 WHEN regexp_matches(prompt, '(?i)\blast\s+week\b') THEN 336
+  WHEN regexp_matches(prompt, '(?i)\bthis\s+week\b') THEN 168 WHEN regexp_matches(prompt, '(?i)\blast\s+month\b') THEN 1440 WHEN regexp_matches(prompt, '(?i)\brecently\b|\blately\b') THEN 72 ELSE 72 END AS a,
+  CASE WHEN c IS NOT NULL THEN CASE WHEN earlier THEN hours ELSE 0 END WHEN regexp_matches(prompt, '(?i)\btoday\b') THEN 0 WHEN regexp_matches(prompt, '(?i)\byesterday\b') THEN 24 WHEN regexp_matches(prompt, '(?i)\blast\s+week\b') THEN 168
+  WHEN regexp_matches(prompt, '(?i)\bthis\s+week\b') THEN 0 WHEN regexp_matches(prompt, '(?i)\blast\s+month\b') THEN 720 ELSE 0 END AS b,
+  c IS NOT NULL OR regexp_matches(prompt, '(?i)\btoday\b|\byesterday\b|\blast\s+week\b|\bthis\s+week\b|\blast\s+month\b|\brecently\b|\blately\b') AS has_phrase FROM h)
+SELECT id, has_phrase, {S.MOMENT} - to_hours(a) AS created_after, {S.MOMENT} - to_hours(b) AS created_before FROM w""")
+def temporal_phrases(spark, d):
+    p = F.col("prompt")
+    w = temporal.window(p, now())
+    return _prompts(spark, d).select("id", temporal.has_phrase(p).alias("has_phrase"), w["after"].alias("created_after"), w["before"].alias("created_before"))
+
+
+_stripped = "prompt"
+for _pattern in temporal.STRIPPED:
+    _stripped = f"regexp_replace({_stripped}, '{_pattern}', '', 'g')"
+_stripped = rf"regexp_replace({_stripped}, '(?i)\b(?:in|during|from|over|for)\s+(?:the\s+)?(\s*$|\s*,)', '\1', 'g')"
+
+
+@query(rf"WITH {_PROMPT_SQL} SELECT id, {S.strip(rf"regexp_replace({_stripped}, '\s{{2,}}', ' ', 'g')")} AS stripped FROM prompts")
+def strip_temporal(spark, d):
+    return _prompts(spark, d).select("id", temporal.without_phrases(F.col("prompt")).alias("stripped"))
+
+
+@query(rf"WITH {_PROMPT_SQL} SELECT id, regexp_matches(prompt, '{text.QUESTION}') AS question, length(regexp_replace(prompt, '[^a-zA-Z0-9]', '', 'g')) <= 2 AS short FROM prompts")
+def question_flag(spark, d):
+    return _prompts(spark, d).select("id", text.is_question(F.col("prompt")).alias("question"), text.too_short(F.col("prompt")).alias("short"))
+
+
+@query(rf"""SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'tension' WHEN 'A' THEN 'evolution' ELSE 'none' END AS conflict, CASE l_returnflag WHEN 'R' THEN 'supports' WHEN 'A' THEN 'related_to' ELSE 'none' END AS link FROM lineitem""")
+def verdict_aliases(spark, d):
+    r = table(spark, d, "lineitem")
+    raw = F.when(F.col("l_returnflag") == "R", " Disagreement").when(F.col("l_returnflag") == "A", "UPDATE ").otherwise("none")
+    raw2 = F.when(F.col("l_returnflag") == "R", "Support").when(F.col("l_returnflag") == "A", "something").otherwise("none")
+    return r.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias(raw, text.CONFLICT_ALIASES, "tension").alias("conflict"), text.alias(raw2, text.LINK_ALIASES, "related_to").alias("link"))
+
+
+@query("SELECT event_id AS id, 'click-' || event_type AS kind FROM events WHERE event_id % 3 < 3")
+def json_answers(spark, d):
+    """Models' answers in three wrappings: bare, fenced, and inside prose."""
+    e = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.concat(F.lit("click-"), "event_type").alias("kind"))).alias("j"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("j")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), "j", F.lit("\n```\n"))).otherwise(F.concat(F.lit("I think "), "j", F.lit(" fits.")))
+    return e.select(F.col("event_id").alias("id"), F.get_json_object(text.json_part(raw), "$.kind").alias("kind"))
+
+
+@query("SELECT source, sum(n_chars)::BIGINT AS chars, round(sum(CASE WHEN source LIKE '%1%' THEN (n_chars // 4 * 3.0 + floor(n_chars // 4 * 0.15) * 15.0) / 1e6 ELSE (n_chars // 4 * 0.25 + floor(n_chars // 4 * 0.15) * 1.25) / 1e6 END), 6) AS cost FROM documents GROUP BY source")
+def token_costs(spark, d):
+    c = text.token_cost(F.col("n_chars"), F.col("source"), [("1", 3.0, 15.0), ("", 0.25, 1.25)])
+    return table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"), F.round(F.sum(c), 6).alias("cost"))
+
+
+# Retrieval
+
+
+def _vector(spark, d, vec_id: int) -> list[float]:
+    return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+TERMS = ["reation", "token"]
+LOOSE = replace(PARAMS, similarity_threshold=0.1, min_result_score=0.0)
+
+
+@query(f"WITH qv AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round({S.dot('e.embedding', 'qv.embedding')}, 6) AS similarity FROM embeddings e, qv ORDER BY similarity DESC, id LIMIT 20")
+def vector_topk(spark, d):
+    return top_k(vectors(spark, d), _vector(spark, d, 0), 20)
+
+
+@query(f"WITH {S.knn(6)} SELECT id, other, similarity, rank FROM knn")
+def knn_self_join(spark, d):
+    return knn(vectors(spark, d), 6).select("id", "other", "similarity", "rank")
+
+
+@query()
+def knn_approximate_join(spark, d):
+    return knn_approximate(vectors(spark, d), 6)
+
+
+@query(f"WITH {S.NODES}, {S.bm25(TERMS, mode='and')} SELECT id, score FROM found")
+def bm25_and(spark, d):
+    return search.bm25(nodes(spark, d), TERMS, mode="and")
+
+
+@query(f"WITH {S.NODES}, {S.bm25(TERMS, mode='or')} SELECT id, score FROM found")
+def bm25_or(spark, d):
+    return search.bm25(nodes(spark, d), TERMS, mode="or")
+
+
+@query(f"WITH {S.NODES}, {S.bm25(['the', 'nosuchword'])} SELECT id, score FROM found")
+def bm25_fallback(spark, d):
+    return search.bm25(nodes(spark, d), ["the", "nosuchword"])
+
+
+@query()
+def bm25_porter(spark, d):
+    return search.bm25(nodes(spark, d), ["erring", "tokens"], mode="or", fold=True, stem=stemming)
+
+
+@query(f"WITH {S.NODES}, {S.tokens('content').join(['t AS (SELECT id, ', ' AS w FROM nodes)'])} SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest(w) AS term FROM t) GROUP BY term")
+def term_statistics(spark, d):
+    p = tables.postings(nodes(spark, d).select("id", "title", "content", "tags")).where("field = 'content'")
+    return p.groupBy("term", "id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+
+
+@query(f"""WITH {S.NODES}, {S.bm25(TERMS, mode='or')}, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM found QUALIFY rank <= 30), qv AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+b AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM (SELECT vec_id AS id, round({S.dot('e.embedding', 'qv.embedding')}, 6) AS similarity FROM embeddings e, qv) QUALIFY rank <= 30)
+SELECT id, round(sum(p), 9) AS rrf FROM (SELECT id, 0.4::DOUBLE / (60 + rank) AS p FROM a UNION ALL SELECT id, 0.6::DOUBLE / (60 + rank) FROM b) GROUP BY id""")
+def rrf_fusion(spark, d):
+    a = search.ranked(search.bm25(nodes(spark, d), TERMS, mode="or"), "score", 30)
+    b = search.ranked(top_k(vectors(spark, d), _vector(spark, d, 0), 30), "similarity", 30)
+    return search.fuse([(a, 0.4), (b, 0.6)]).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+def _recalled(spark, d, q: str, **options) -> DataFrame:
+    return search.recall(nodes(spark, d), vectors(spark, d), q, _vector(spark, d, 0), now(), params=LOOSE, **options)
+
+
+@query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1)} SELECT id, tier, type, score FROM result")
+def hybrid_recall(spark, d):
+    return _recalled(spark, d, "reation token").select("id", "tier", "type", "score")
+
+
+@query(f"WITH {S.NODES}, {S.recall(TERMS, 'what is the reation token', True, 0, 10, 0.1)} SELECT id, score FROM result")
+def hybrid_recall_question(spark, d):
+    return _recalled(spark, d, "what is the reation token").select("id", "score")
+
+
+@query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1, condition="tier IN ('core', 'working') AND list_has_any(tags, ['en'])")} SELECT id, score FROM result")
+def hybrid_filters(spark, d):
+    return _recalled(spark, d, "reation token", filters=search.wanted(tiers=["core", "working"], tags=["en"])).select("id", "score")
+
+
+@query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1)} SELECT id, round(score * CASE WHEN space IS NULL THEN 1.0::DOUBLE WHEN space = 'src1' THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6) AS score FROM result")
+def space_scoring(spark, d):
+    return search.by_space(_recalled(spark, d, "reation token"), "src1").select("id", "score")
+
+
+@query(f"""WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 5, 0.1)}, more AS (SELECT id FROM nodes WHERE created >= TIMESTAMP '2024-01-01 01:00:00' AND created <= TIMESTAMP '2024-01-01 12:00:00' AND id NOT IN (SELECT id FROM result) ORDER BY created DESC, id LIMIT 12)
+SELECT id, score, 'hybrid' AS source FROM result UNION ALL SELECT id, 0.001::DOUBLE, 'temporal' FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS r FROM more) WHERE r <= 12 - (SELECT count(*) FROM result)""")
+def temporal_supplement(spark, d):
+    within = search.wanted(after=F.lit("2024-01-01 01:00:00").cast("timestamp"), before=F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    found = tables.staged(_recalled(spark, d, "reation token", limit=5), "results")
+    return search.with_recent(found, nodes(spark, d), within, 12).select("id", "score", "source")
+
+
+@query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1)}, r AS (SELECT id, round(0.4::DOUBLE / (1 + exp(-((id % 9) - 4.0::DOUBLE))) + 0.6::DOUBLE * score, 6) AS score FROM result) SELECT id, score FROM r WHERE score >= 0.4")
+def rerank_blend(spark, d):
+    """With a stand-in for the cross-encoder that depends on the id alone."""
+    return search.rerank(_recalled(spark, d, "reation token"), (F.col("id") % 9) - F.lit(4.0)).select("id", "score")
+
+
+# Graph
+
+
+@query(f"WITH {S.EDGES} SELECT DISTINCT s.id AS start, b.other AS id, 1 AS hops FROM (SELECT DISTINCT id FROM both_ways WHERE id % 50 = 0) s JOIN both_ways b ON b.id = s.id WHERE b.other <> s.id")
+def neighbors_1hop(spark, d):
+    e = tables.staged(edges(spark, d), "edges")
+    return graph.neighbours(e, graph.both_ways(e).where("id % 50 = 0").select("id").distinct(), 1).withColumn("hops", F.col("hops").cast("int"))
+
+
+@query(f"""WITH {S.EDGES}, s AS (SELECT DISTINCT id FROM both_ways WHERE id % 50 = 0), one AS (SELECT DISTINCT s.id AS start, b.other AS id FROM s JOIN both_ways b ON b.id = s.id),
+two AS (SELECT DISTINCT one.start, b.other AS id FROM one JOIN both_ways b ON b.id = one.id WHERE b.other <> one.start)
+SELECT start, id, min(hops) AS hops FROM (SELECT start, id, 1 AS hops FROM one UNION ALL SELECT start, id, 2 FROM two) GROUP BY start, id""")
+def neighbors_2hop(spark, d):
+    e = tables.staged(edges(spark, d), "edges")
+    return graph.neighbours(e, graph.both_ways(e).where("id % 50 = 0").select("id").distinct(), 2)
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, qv AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+res AS (SELECT vec_id AS id, round({S.dot('e.embedding', 'qv.embedding')}, 6) AS score FROM embeddings e, qv ORDER BY score DESC, id LIMIT 8),
+seeds AS (SELECT id AS seed, score AS ss FROM res ORDER BY score DESC, id LIMIT 5),
+met AS (SELECT seed, other AS id, edge_type, round(ss * weight * {S.FACTOR} * 0.5::DOUBLE, 6) AS score FROM seeds JOIN both_ways b ON b.id = seed WHERE other NOT IN (SELECT id FROM res)),
+top AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, id, edge_type) <= 3),
+best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, seed, edge_type DESC) = 1)
+SELECT id, score, 'hybrid' AS source, CAST(NULL AS BIGINT) AS activated_by, CAST(NULL AS VARCHAR) AS activation_edge FROM res
+UNION ALL SELECT id, score, CASE WHEN edge_type = 'contradicts' THEN 'conflict' ELSE 'activated' END, seed, edge_type FROM best WHERE id IN (SELECT id FROM nodes)""")
+def spreading_activation(spark, d):
+    found = tables.staged(top_k(vectors(spark, d), _vector(spark, d, 0), 8).select("id", F.col("similarity").alias("score"), F.lit("hybrid").alias("source")), "results")
+    return graph.activate(found, edges(spark, d), nodes(spark, d))
+
+
+@query(f"WITH {S.EDGES} SELECT id, count(*) AS degree FROM both_ways GROUP BY id")
+def degree_centrality(spark, d):
+    return graph.degree(edges(spark, d))
+
+
+_IMPORTANCE = f"""imp AS (SELECT n.id, n.importance AS old, (0.34::DOUBLE * least(1.0::DOUBLE, ln(1 + access_count) / ln(51.0::DOUBLE)) + 0.33::DOUBLE * least(1.0::DOUBLE, ln(1 + coalesce(degree, 0)) / ln(21.0::DOUBLE))
++ 0.33::DOUBLE * exp(-greatest({S.days(S.MOMENT, "last_accessed")}, 0) / stability)) / 1.0::DOUBLE AS raw FROM nodes n LEFT JOIN (SELECT id, count(*) AS degree FROM both_ways GROUP BY id) g USING (id))"""
+
+
+@query(f"WITH {S.NODES}, {S.EDGES}, {_IMPORTANCE} SELECT id, old, round(greatest(0, least(1, raw)), 4) AS importance, round(abs(greatest(0, least(1, raw)) - old), 9) >= 0.01 AS changed FROM imp")
+def importance_scores(spark, d):
+    return graph.importance(nodes(spark, d), edges(spark, d), now())
+
+
+@query(f"WITH {S.NODES} SELECT id, retrievability FROM (SELECT id, round(exp(-greatest({S.days(S.MOMENT, 'last_accessed')}, 0.001) / stability), 6) AS retrievability FROM nodes WHERE tier = 'working' AND importance < 0.5) WHERE retrievability < 0.3")
+def decay_candidates(spark, d):
+    return graph.decayed(nodes(spark, d), now())
+
+
+@query(f"WITH {S.NODES} SELECT id, access_count + 1 AS access_count, round(least(365.0::DOUBLE, stability * 1.5::DOUBLE * pow(exp(-greatest({S.days(S.MOMENT, 'last_accessed')}, 0.001) / stability), -0.2::DOUBLE)), 2) AS stability FROM nodes WHERE id % 3 = 0")
+def fsrs_touch(spark, d):
+    n = nodes(spark, d)
+    return lifecycle.touch(n, n.select("id").where("id % 3 = 0"), now()).where("id % 3 = 0").select("id", "access_count", "stability")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT user_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT id, ts, r, n, 1.0::DOUBLE AS s FROM o WHERE r = 1 UNION ALL
+SELECT o.id, o.ts, o.r, o.n, round(least(365.0::DOUBLE, s * 1.5::DOUBLE * pow(exp(-greatest({S.days('o.ts', 'f.ts')}, 0.001) / s), -0.2::DOUBLE)), 2) FROM f JOIN o ON o.id = f.id AND o.r = f.r + 1)
+SELECT id, n AS accesses, s AS stability, ts AS last FROM f WHERE r = n""")
+def fsrs_fold(spark, d):
+    return graph.fold_touches(events(spark, d).where("user_id is not null").select(F.col("user_id").alias("id"), "ts"))
+
+
+_HOLED = "holed AS (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN NULL WHEN id % 9 = 0 THEN '' ELSE space END AS space) FROM nodes)"
+
+
+def _holed(spark, d):
+    return nodes(spark, d).withColumn("space", F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 9 == 0, "").otherwise(F.col("space")))
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {_HOLED} SELECT id, space, votes FROM (SELECT b.id, m.space, count(*) AS votes FROM both_ways b JOIN holed l ON l.id = b.id AND (l.space IS NULL OR l.space = '') JOIN holed m ON m.id = b.other AND m.space <> '' GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, space) = 1""")
+def auto_cluster_vote(spark, d):
+    return graph.space_votes(_holed(spark, d), edges(spark, d))
+
+
+# Pairs
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.knn(6)}, p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS s FROM knn GROUP BY 1, 2),
+q AS (SELECT a, b, round(s - CASE WHEN x.space IS NOT DISTINCT FROM y.space THEN 0 ELSE 0.1::DOUBLE END, 6) AS similarity FROM p JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b)
+SELECT a, b, similarity FROM q WHERE similarity >= 0.15 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a AND e.target_id = b)""")
+def link_candidates(spark, d):
+    """At a threshold that the driver's vectors reach."""
+    return pairs.link_candidates(knn(vectors(spark, d), 6), nodes(spark, d), edges(spark, d), threshold=0.15)
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.knn(15)}, bel AS (SELECT id FROM nodes WHERE type IN ('preference', 'fact', 'observation', 'goal')),
+p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS similarity FROM knn WHERE similarity >= 0.2 AND id IN (SELECT id FROM bel) AND other IN (SELECT id FROM bel) GROUP BY 1, 2)
+SELECT a, b, similarity FROM p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = a AND e.target_id = b AND edge_type IN ('contradicts', 'evolved_from'))""")
+def conflict_candidates(spark, d):
+    return pairs.conflict_candidates(knn(vectors(spark, d), 15), nodes(spark, d), edges(spark, d), threshold=0.2, any_space=True)
+
+
+@query(rf"""WITH {S.NODES}, {S.knn(6)}, p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS s FROM knn WHERE similarity >= 0.25 GROUP BY 1, 2),
+q AS (SELECT a, b, s, trim(lower(regexp_replace(x.title, '[^ -~]', '', 'g'))) AS ta, trim(lower(regexp_replace(y.title, '[^ -~]', '', 'g'))) AS tb, list_distinct(list_filter(regexp_split_to_array(lower(x.content), '\s+'), lambda w: w <> '')) AS wa, list_distinct(list_filter(regexp_split_to_array(lower(y.content), '\s+'), lambda w: w <> '')) AS wb
+  FROM p JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.type = y.type)
+SELECT a, b, s AS similarity, score FROM (SELECT a, b, s, round(0.6::DOUBLE * s + 0.2::DOUBLE * CASE WHEN length(ta) > 0 AND length(tb) > 0 THEN 1 - levenshtein(ta, tb)::DOUBLE / greatest(length(ta), length(tb)) ELSE 0 END
+  + 0.2::DOUBLE * CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE len(list_intersect(wa, wb))::DOUBLE / len(list_distinct(list_concat(wa, wb))) END, 6) AS score FROM q) WHERE score >= 0.2""")
+def duplicate_candidates(spark, d):
+    return pairs.duplicate_candidates(knn(vectors(spark, d), 6), _ascii_titles(spark, d), threshold=0.2)
+
+
+@query(f"WITH {S.knn(1)} SELECT id, similarity >= 0.4 AS duplicate FROM knn WHERE rank = 1")
+def ingest_dedupe(spark, d):
+    return pairs.new_items(knn(vectors(spark, d), 1), 0.4)
+
+
+@query()
+def consolidation_clusters(spark, d):
+    return pairs.clusters(knn(vectors(spark, d), 20), nodes(spark, d), threshold=0.3)
+
+
+# Insight queries
+
+
+def _pair_sql(kind: str, order: str) -> str:
+    return f"WITH {S.NODES}, {S.EDGES} SELECT e.source_id, x.title AS source_title, e.target_id, y.title AS target_title FROM edges e JOIN nodes x ON x.id = e.source_id JOIN nodes y ON y.id = e.target_id WHERE e.edge_type = '{kind}' ORDER BY {order} LIMIT 20"
+
+
+def _pair_rows(spark, d, kind: str, *order) -> DataFrame:
+    e, n = edges(spark, d).where(F.col("edge_type") == kind), nodes(spark, d)
+    x = n.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), F.col("created").alias("source_created"))
+    y = n.select(F.col("id").alias("target_id"), F.col("title").alias("target_title"))
+    return e.join(x, "source_id").join(y, "target_id").orderBy(*order).limit(20).select("source_id", "source_title", "target_id", "target_title")
+
+
+@query(_pair_sql("evolved_from", "x.created DESC, e.source_id, e.target_id"))
+def evolutions(spark, d):
+    return _pair_rows(spark, d, "evolved_from", F.desc("source_created"), "source_id", "target_id")
+
+
+@query(_pair_sql("contradicts", "e.created DESC, e.source_id, e.target_id"))
+def tensions(spark, d):
+    return _pair_rows(spark, d, "contradicts", F.desc("created"), "source_id", "target_id")
+
+
+@query(f"WITH {S.NODES}, {S.EDGES} SELECT id FROM nodes WHERE created >= TIMESTAMP '2024-01-01 03:00:00' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = nodes.id)")
+def unlinked_recent(spark, d):
+    return nodes(spark, d).where("created >= TIMESTAMP '2024-01-01 03:00:00'").join(edges(spark, d).select(F.col("source_id").alias("id")), "id", "left_anti").select("id")
+
+
+@query(f"WITH {S.NODES}, {S.EDGES} SELECT id FROM nodes WHERE list_contains(tags, 'about_self') AND id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'defines')")
+def orphan_identity(spark, d):
+    own = nodes(spark, d).where(F.array_contains("tags", "about_self"))
+    return own.join(edges(spark, d).where("edge_type = 'defines'").select(F.col("target_id").alias("id")), "id", "left_anti").select("id")
+
+
+# Merges and tiers
+
+
+def _merges(spark, d):
+    return nodes(spark, d).where("id % 20 = 0").select(F.col("id").alias("keep"), (F.col("id") + 3).alias("drop"))
+
+
+_MERGES = "merges AS (SELECT id AS keep, id + 3 AS drop_id FROM nodes WHERE id % 20 = 0)"
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {_MERGES}, m AS (SELECT coalesce(s.keep, e.source_id) AS source_id, coalesce(t.keep, e.target_id) AS target_id, edge_type, weight, s.keep IS NOT NULL OR t.keep IS NOT NULL AS moved
+FROM edges e LEFT JOIN merges s ON s.drop_id = e.source_id LEFT JOIN merges t ON t.drop_id = e.target_id)
+SELECT source_id, target_id, edge_type, weight FROM (SELECT *, row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id), edge_type ORDER BY moved, weight DESC, source_id, target_id) AS r FROM m WHERE source_id <> target_id) WHERE NOT moved OR r = 1""")
+def merge_edge_remap(spark, d):
+    return lifecycle.remapped_edges(edges(spark, d), _merges(spark, d)).drop("created")
+
+
+@query(f"""WITH {S.NODES}, {_MERGES} SELECT n.id, array_to_string(CASE WHEN x.tags IS NULL THEN n.tags ELSE list_concat(n.tags, list_sort(list_filter(x.tags, lambda t: NOT list_contains(n.tags, t)))) END, ',') AS tags
+FROM nodes n LEFT JOIN merges m ON m.keep = n.id LEFT JOIN nodes x ON x.id = m.drop_id WHERE n.id NOT IN (SELECT drop_id FROM merges)""")
+def merge_tags(spark, d):
+    merged, _, _ = lifecycle.merge(nodes(spark, d), edges(spark, d), _merges(spark, d), now())
+    return merged.select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {S.NODES}, {S.EDGES} SELECT source_id, target_id, edge_type, weight FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)")
+def undo_merge(spark, d):
+    """Merging and undoing gives the edges from before."""
+    n, e = nodes(spark, d), tables.staged(edges(spark, d), "edges")
+    e = e.join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(n.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(*e.columns)
+    n2, e2, history = lifecycle.merge(n, e, _merges(spark, d).join(n.select(F.col("id").alias("drop")), "drop", "left_semi"), now())
+    return lifecycle.undo(n2, e2, history)[1].select("source_id", "target_id", "edge_type", "weight")
+
+
+@query(f"""WITH {S.NODES}, {S.knn(6)}, p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS score FROM knn GROUP BY 1, 2),
+k AS (SELECT id, CASE tier WHEN 'core' THEN 3 WHEN 'working' THEN 2 ELSE 1 END AS r, length(content) AS n, updated FROM nodes),
+s AS (SELECT p.*, u AS node, row_number() OVER (PARTITION BY u ORDER BY score DESC, a, b) AS rn FROM (SELECT p.*, unnest([a, b]) AS u FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b) p),
+t AS (SELECT a, b, score FROM s WHERE rn = 1 GROUP BY a, b, score HAVING count(*) = 2)
+SELECT CASE WHEN w THEN a ELSE b END AS keep, CASE WHEN w THEN b ELSE a END AS dropped, score FROM (SELECT t.*, (x.r, x.n, x.updated) >= (y.r, y.n, y.updated) AS w FROM t JOIN k x ON x.id = a JOIN k y ON y.id = b)""")
+def merge_plan(spark, d):
+    near = knn(vectors(spark, d), 6)
+    p = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("similarity").alias("score"))
+    return pairs.merge_plan(p, nodes(spark, d)).select("keep", F.col("drop").alias("dropped"), "score")
+
+
+@query(f"WITH {S.NODES} SELECT id FROM nodes WHERE tier = 'core' AND NOT list_contains(tags, 'about_self') ORDER BY importance, id LIMIT (SELECT greatest(0, count(*) - 10) FROM nodes WHERE tier = 'core')")
+def core_cap_victims(spark, d):
+    return lifecycle.over_cap(nodes(spark, d), 10, F.array_contains("tags", "about_self"))
+
+
+@query(f"WITH {S.NODES} SELECT id, CASE tier WHEN 'archival' THEN 'working' ELSE 'core' END AS up, CASE tier WHEN 'core' THEN 'working' ELSE 'archival' END AS down, CASE WHEN access_count > 0 THEN least(30.0::DOUBLE, access_count * 2.0::DOUBLE) ELSE 1.0::DOUBLE END AS seeded FROM nodes")
+def tier_steps(spark, d):
+    return nodes(spark, d).select("id", lifecycle.stepped(F.col("tier"), True).alias("up"), lifecycle.stepped(F.col("tier"), False).alias("down"), lifecycle.seeded_stability(F.col("access_count")).alias("seeded"))
+
+
+@query(f"WITH {S.NODES} SELECT id, {S.MOMENT} AS valid_until, content || chr(10) || chr(10) || '[Outdated: superseded]' AS content FROM nodes WHERE id % 25 = 0")
+def mark_outdated(spark, d):
+    n = nodes(spark, d)
+    return lifecycle.mark_outdated(n, n.select("id").where("id % 25 = 0"), now(), "superseded").where("id % 25 = 0").select("id", "valid_until", "content")
+
+
+@query(f"WITH {S.NODES} SELECT 'touch' AS operation, id AS node_id FROM nodes WHERE id % 5 = 0 ORDER BY id DESC LIMIT 20")
+def audit_entries(spark, d):
+    log = lifecycle.audit("touch", nodes(spark, d).where("id % 5 = 0"), now())
+    return lifecycle.audit_log(log, operation="touch").select("operation", "node_id")
+
+
+@query(f"""WITH {S.NODES}, pr AS (SELECT o_orderkey AS id, [o_orderkey % 97, o_custkey % 89] AS ids FROM orders WHERE o_orderstatus = 'F'), x AS (SELECT id, unnest(ids) AS node, unnest([0, 1]) AS pos FROM pr)
+SELECT x.id, string_agg(coalesce(n.title, '?'), ' | ' ORDER BY pos) AS titles FROM x LEFT JOIN nodes n ON n.id = x.node GROUP BY x.id""")
+def proposal_nodes(spark, d):
+    """Proposals whose nodes stand in a JSON array, with the nodes' titles."""
+    pr = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.to_json(F.array((F.col("o_orderkey") % 97).cast("string"), (F.col("o_custkey") % 89).cast("string"))).alias("source_nodes"))
+    x = pr.select("id", F.posexplode(F.from_json("source_nodes", "array<string>")).alias("pos", "node"))
+    j = x.join(nodes(spark, d).select(F.col("id").cast("string").alias("node"), "title"), "node", "left")
+    return j.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("title", F.lit("?")).alias("t")))).alias("s")).select("id", F.array_join(F.transform("s", lambda s: s["t"]), " | ").alias("titles"))
+
+
+# Context
+
+
+@query("SELECT session, id, array_to_string(list_transform(list_filter(held, lambda p: epoch_us(ts) - epoch_us(p.ts) <= 600000000), lambda p: p.id), ',') AS buffer FROM (SELECT user_id AS session, ts, event_id AS id, list({'ts': ts, 'id': event_id}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS held FROM events) WHERE len(held) > 0")
+def session_buffer(spark, d):
+    b = context.session_buffers(_prompts(spark, d))
+    first = F.row_number().over(context.W.partitionBy("session").orderBy("ts", "id"))
+    return b.withColumn("_n", first).where("_n > 1").select("session", "id", F.array_join(F.col("buffer").cast("array<string>"), ",").alias("buffer"))
+
+
+@query("SELECT user_id AS session, event_id AS id, number FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events) WHERE number % 10 = 0")
+def every_nth(spark, d):
+    return context.every_nth(_prompts(spark, d)).select("session", "id", "number")
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label AS session FROM embeddings), h AS (SELECT *, list(e) OVER (PARTITION BY session ORDER BY id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS held FROM v),
+m AS (SELECT *, list_transform(range(64), lambda i: list_sum(list_transform(held, lambda x: x[i + 1])) / len(held)) AS mean FROM h WHERE len(held) > 0)
+SELECT id, similarity, similarity > 0.1 AS same_topic FROM (SELECT id, round(list_inner_product(e, mean) / sqrt(list_inner_product(mean, mean) * list_inner_product(e, e)), 6) AS similarity FROM m)""")
+def topic_shift(spark, d):
+    """Vectors stand for prompts and their labels for sessions."""
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("vec_id").alias("ts"), "embedding")
+    return context.topic_shift(p, 3, 0.1).where("similarity is not null").select("id", "similarity", "same_topic")
+
+
+_CATEGORIES = ["temporal", "identity", "continuation", "conversational"]
+_SCORES = f"sc AS (SELECT p.vec_id AS id, list_extract({S.text_list(_CATEGORIES)}, CAST(a.vec_id % 4 + 1 AS INT)) AS category, round(max({S.dot('p.embedding', 'a.embedding')}), 6) AS score FROM embeddings p, embeddings a WHERE a.vec_id < 40 GROUP BY 1, 2)"
+
+
+def _scores(spark, d):
+    v = table(spark, d, "embeddings")
+    a = v.where("vec_id < 40").select(F.element_at(F.array(*map(F.lit, _CATEGORIES)), (F.col("vec_id") % 4 + 1).cast("int")).alias("category"), "embedding")
+    return context.category_scores(v.select(F.col("vec_id").alias("id"), "embedding"), a)
+
+
+@query(f"WITH {_SCORES} SELECT id, category, score FROM sc")
+def intent_scores(spark, d):
+    """The first forty vectors stand for the archetypes."""
+    return _scores(spark, d)
+
+
+@query(f"""WITH {_SCORES}, p AS (SELECT id, max(score) FILTER (category = 'temporal') AS t, max(score) FILTER (category = 'identity') AS i, max(score) FILTER (category = 'continuation') AS k, max(score) FILTER (category = 'conversational') AS v FROM sc GROUP BY id),
+q AS (SELECT *, t >= 0.2 AS ht, i >= 0.2 AS hi, k >= 0.2 AS hk, v >= 0.2 AS hv, (t >= 0.2 AND t >= v - 0.15) OR (i >= 0.2 AND i >= v - 0.15) OR (k >= 0.2 AND k >= v - 0.15) AS strong, t >= 0.2 OR i >= 0.2 OR k >= 0.2 AS other FROM p),
+r AS (SELECT id, CASE WHEN hv AND other AND NOT strong THEN ['conversational'] ELSE list_filter([CASE WHEN hk AND NOT hi THEN 'continuation' END, CASE WHEN hv AND NOT other THEN 'conversational' END, CASE WHEN hi THEN 'identity' END, CASE WHEN ht THEN 'temporal' END], lambda x: x IS NOT NULL) END AS c FROM q)
+SELECT id, CASE WHEN len(c) = 0 THEN 'general' ELSE array_to_string(c, ',') END AS categories FROM r""")
+def intents(spark, d):
+    return context.intents(_scores(spark, d), 0.2).select("id", F.array_join("categories", ",").alias("categories"))
+
+
+@query("SELECT n, CAST(least(600, greatest(100, 1500 // n)) AS INT) AS budget FROM (SELECT DISTINCT o_orderkey % 40 + 1 AS n FROM orders)")
+def whisper_budget(spark, d):
+    return table(spark, d, "orders").select((F.col("o_orderkey") % 40 + 1).alias("n")).distinct().select("n", context.content_limit(F.col("n")).alias("budget"))
+
+
+@query(f"""WITH {S.NODES}, {_HOLED}, b AS (SELECT id, importance, CASE WHEN tier = 'core' THEN CASE WHEN space = 'src5' THEN 0 WHEN space IS NULL THEN 1 ELSE 2 END WHEN tier = 'working' AND space = 'src5' THEN 3 END AS bucket FROM holed)
+SELECT bucket, id, importance FROM b WHERE bucket IS NOT NULL ORDER BY bucket, importance DESC, id LIMIT 60""")
+def context_by_space(spark, d):
+    return context.by_space_and_importance(_holed(spark, d), "src5", 60)
+
+
+@query(f"""WITH {S.NODES}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3) SELECT id, round(0.7::DOUBLE * coalesce({S.dot('e.embedding', 'q')}, 0) + 0.3::DOUBLE * CASE WHEN importance = 0 THEN 0.5::DOUBLE ELSE importance END, 6) AS score
+FROM nodes CROSS JOIN qv LEFT JOIN embeddings e ON e.vec_id = nodes.id ORDER BY score DESC, id LIMIT 25""")
+def hint_scores(spark, d):
+    return context.hint_scores(nodes(spark, d), vectors(spark, d), _vector(spark, d, 3), 25)
+
+
+@query()
+def core_context(spark, d):
+    return context.core_context(nodes(spark, d), edges(spark, d), 0, "src1", now())
+
+
+@query()
+def whisper(spark, d):
+    found = tables.staged(_recalled(spark, d, "reation token", limit=13), "results")
+    n, e = nodes(spark, d), edges(spark, d)
+    return context.whisper(found.select("id", "score", "source"), n, context.identity_ids(n, e, 0), params=replace(LOOSE, whisper_min_score=0.1, injection_gate=0.1))
+
+
+# Ingestion
+
+
+_SAID = "c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role IN ('user', 'assistant') AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0)"
+
+
+def _messages(spark, d):
+    """The conversations as lines of transcripts, system turns among them."""
+    c = table(spark, d, "conversations")
+    blocks = F.array(F.struct(F.lit("tool_result").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    line = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))).otherwise(F.to_json(F.struct(F.col("role").alias("type"), F.struct(blocks.alias("content")).alias("message"))))
+    return transcripts.parse(c.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), line.alias("value")))
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS path, sha256(string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) || chr(10) ORDER BY turn)) AS text_sha FROM c GROUP BY conv_id")
+def transcript_conversation(spark, d):
+    return transcripts.conversations(_messages(spark, d)).select("path", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS path, count(*) FILTER (role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars FROM c GROUP BY conv_id")
+def transcript_turns(spark, d):
+    return transcripts.conversations(_messages(spark, d)).select("path", "user_turns", "chars")
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS path, turn AS line, role FROM c WHERE turn >= conv_id % 3")
+def transcript_resume(spark, d):
+    m = _messages(spark, d)
+    return transcripts.resumed(m, m.select("path").distinct().withColumn("line", F.col("path") % 3)).select("path", "line", "role")
+
+
+@query("SELECT id, change FROM (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'removed' WHEN doc_id % 10 = 3 THEN 'updated' END AS change FROM documents) WHERE change IS NOT NULL")
+def index_diff(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return tables.index_diff(tables.hashed(t.where("id % 10 <> 1")), tables.hashed(t.where("id % 10 <> 2").withColumn("content", F.when(F.col("id") % 10 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content")))))
+
+
+@query(f"WITH {S.NODES} SELECT CAST(id AS VARCHAR) AS id, type, tier, space, title, created, access_count, confidence, importance, stability, array_to_string(tags, ',') AS tags, substr(sha256({S.strip('content')}), 1, 16) AS content_hash FROM nodes")
+def markdown_round_trip(spark, d):
+    """Nodes written as markdown texts and parsed again are as they were."""
+    n = nodes(spark, d).withColumn("id", F.col("id").cast("string"))
+    back = markdown.parse(markdown.render(n))
+    return back.select("id", "type", "tier", "space", "title", "created", "access_count", "confidence", "importance", "stability", F.array_join("tags", ",").alias("tags"), "content_hash")
+
+
+@query(f"WITH {S.EDGES}, more AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges) SELECT DISTINCT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, edge_type FROM more WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.target_id AND d.doc_id % 2 = 0) AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.source_id AND d.doc_id % 2 = 0)")
+def edges_indexed(spark, d):
+    """Edges given in both directions, of which one stays where the ends exist."""
+    e = edges(spark, d)
+    twice = e.union(e.select("target_id", "source_id", "edge_type", "weight", "created"))
+    n = nodes(spark, d).where("id % 2 = 0")
+    there = tables.valid_edges(twice.join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*e.columns), n)
+    return there.select("source_id", "target_id", "edge_type")
+
+
+# Streaming
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, user_id AS id, count(*) AS accesses, max(ts) AS last FROM events GROUP BY 1, 2")
+def streamed_access_counts(spark, d):
+    """Accesses counted by a stream that takes what is there and stops."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{d}/events*")
+    counts = ingest.access_counts(stream.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")), "3650 days")
+    return _drained(spark, counts.select(F.col("window.start").alias("day"), "id", "accesses", "last"))
+
+
+def _drained(spark, counts: DataFrame) -> DataFrame:
+    """The rows of a stream in complete mode after all input, by way of a table of the session's catalogue in memory."""
+    name = f"drained_{abs(hash(str(counts.schema)))}"
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+__all__ = ["FLAGSHIP", "NODE_TYPES", "ORACLE", "QUERIES", "days_between", "dot"]
