@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,19 +10,12 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from recollect.session import prepare as prepare  # noqa: PLC0414  for the operators
+
 #: Odd multiplier of the rolling word-window hash.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers that share this machine's files import the package."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a local one where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
