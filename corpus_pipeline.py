@@ -16,8 +16,9 @@ from recollect.llm.queries import VOCABULARY, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold, fitted on all labels; all, if nothing is labelled."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), lambda i: F.lit(True))
-    scored = quality.score(docs.withColumn("_text", F.col("text")), model, "_text")
-    return scored.where("score >= 0.5").select(*docs.columns)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    scored = quality.score(docs.toDF(*plain), model, f"c{docs.columns.index('text')}", keep_text=True)
+    return scored.where("score >= 0.5").select(*plain).toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

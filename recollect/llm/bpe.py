@@ -25,7 +25,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split(), not for the pattern
 #: Most distinct chunks of text whose ids a task remembers.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +46,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * self.size
+        self.numbers = list(range(self.size))  # one object for each id, however often it is remembered
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         suffix = model["end_of_word_suffix"] or ""
@@ -91,7 +92,7 @@ class Encoder:
             done = best == never
             if done.any():
                 for k in np.flatnonzero(done).tolist():
-                    out[names[k]] = tuple(ids[starts[k] : starts[k] + lengths[k]].tolist())
+                    out[names[k]] = tuple(map(v.numbers.__getitem__, ids[starts[k] : starts[k] + lengths[k]].tolist()))
                 stay = ~done[owner]
                 ids, rank, owner = ids[stay], rank[stay], owner[stay]
                 names, lengths, best = names[~done], lengths[~done], best[~done]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from recollect.session import prepare as prepare  # noqa: PLC0414  for the operators
 
@@ -46,9 +48,28 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def word_hashes(words: Sequence[bytes]) -> np.ndarray:
-    """64-bit hash of each word."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def map_texts(docs: DataFrame, text_col: str, new: str, make: Callable[[], Callable[[list], list]], most: int = 1024, keep_text: bool = False) -> DataFrame:
+    """docs' columns but the text, and those of `new` (a schema string), from the texts alone.
+
+    `make` runs once a task and gives a function from some texts to a list of values for each new column. All
+    other columns, and with `keep_text` the text, pass untouched as Arrow arrays; those of a new name are replaced.
+    """
+    fields = StructType.fromDDL(new).fields
+    keep = [c for c in docs.columns if c != text_col and c not in {f.name for f in fields}]
+    slim = docs.select(*keep, text_col)
+    types = [to_arrow_type(f.dataType) for f in fields]
+    passed = len(keep) + keep_text
+    names = [*[*keep, text_col][:passed], *(f.name for f in fields)]
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for frame in frames:
+            for lo in range(0, frame.num_rows, most):
+                x = frame.slice(lo, most)
+                columns = work(x.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*x.columns[:passed], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    return slim.mapInArrow(batches, StructType([*slim.schema.fields[:passed], *fields]))
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

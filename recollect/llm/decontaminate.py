@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import by_size, hashed_words, prepare, runs, window_hashes
+from recollect.llm.common import by_size, hashed_words, map_texts, prepare, runs, window_hashes
 
 #: A-Z become a-z, any other byte that is no ASCII letter, ASCII digit or part of a non-ASCII character a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -67,41 +66,56 @@ class _Windows:
         return near[self.hashes[n][at] == h[near]]
 
 
-def _scan(docs: DataFrame, rows: list, text_col: str, n_words: bool) -> DataFrame:
-    """docs' other columns with hits (a run of hit words each) and items of the windows in rows."""
-    found = docs.sparkSession.sparkContext.broadcast(_Windows(rows))
-    keep = [c for c in docs.columns if c != text_col]
+_NEW = "n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _scanner(spark: SparkSession, rows: list) -> Callable[[list], list]:
+    """From texts to n_words, spans (a run of hit words each) and items of the windows in rows."""
+    found = spark.sparkContext.broadcast(_Windows(rows))
+
+    def scan(texts: list) -> list:
         known: _Windows = found.value
-        for x in frames:
-            texts = [folded(t) for t in x.pop(text_col)]
-            words, spans, items = [0] * len(x), [[] for _ in texts], [[] for _ in texts]
-            for lo, hi in by_size(texts):
-                data = b" ".join(texts[lo:hi])
-                starts, ends, h = hashed_words(data, IS_WORD)
-                offsets = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
-                first = np.searchsorted(starts, offsets)  # word at which each text begins
-                words[lo:hi] = np.diff(first).tolist()
-                firsts, at = first.tolist(), {}
-                for n in known.maps:
-                    for p in known.hits(window_hashes(h, n), n).tolist():
-                        k = bisect.bisect_right(firsts, p) - 1
-                        window = b" ".join(data[s:e] for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True))
-                        if p + n <= firsts[k + 1] and window in known.items:
-                            at.setdefault(k, []).append((p - firsts[k], n, window))
-                for k, hits in at.items():
-                    mask = np.zeros(words[lo + k], bool)
-                    own: set[str] = set()
-                    for p, n, window in hits:
-                        mask[p : p + n] = True
-                        own.update(known.items[window])
-                    spans[lo + k] = [{"start": s, "end": e} for s, e in runs(mask)]
-                    items[lo + k] = sorted(own)
-            yield x.assign(n_words=np.array(words, np.int64), spans=spans, items=items)
-
-    schema = docs.select(*keep, F.lit(0).cast("bigint").alias("n_words"), F.expr("CAST(NULL AS ARRAY<STRUCT<start: BIGINT, end: BIGINT>>) AS spans"), F.expr("CAST(NULL AS ARRAY<STRING>) AS items")).schema
-    return docs.mapInPandas(batches, schema)
+        texts = [folded(t) for t in texts]
+        words, spans, items = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
+        for lo, hi in by_size(texts):
+            data = b" ".join(texts[lo:hi])
+            starts, ends, h = hashed_words(data, IS_WORD)
+            firsts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])).tolist()  # the word at which each text begins
+            words[lo:hi] = np.diff(firsts).tolist()
+            at: dict[int, list] = {}
+            for n in known.maps:
+                for p in known.hits(window_hashes(h, n), n).tolist():
+                    k = bisect.bisect_right(firsts, p) - 1
+                    window = b" ".join(data[s:e] for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True))
+                    if p + n <= firsts[k + 1] and window in known.items:
+                        at.setdefault(k, []).append((p - firsts[k], n, window))
+            for k, hits in at.items():
+                mask = np.zeros(words[lo + k], bool)
+                own: set[str] = set()
+                for p, n, window in hits:
+                    mask[p : p + n] = True
+                    own.update(known.items[window])
+                spans[lo + k] = [{"start": s, "end": e} for s, e in runs(mask)]
+                items[lo + k] = sorted(own)
+        return [words, spans, items]
+
+    return scan
+
+
+def _scan(docs: DataFrame, rows: list, text_col: str) -> DataFrame:
+    scan = _scanner(docs.sparkSession, rows)
+    return map_texts(docs, text_col, _NEW, lambda: scan)
+
+
+def _dealt(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: int) -> tuple[DataFrame, int]:
+    """The windows with the number of the pass that takes them, and the number of passes, from a count of all."""
+    windows = _item_windows(benchmark, item_col, item_text, size)
+    passes = max(1, -(-windows.count() // most))
+    return windows.select("item", "n", "window", F.pmod(F.xxhash64("window"), F.lit(passes)).alias("pass")), passes
+
+
+def _of_pass(dealt: DataFrame, k: int) -> list:
+    return dealt.where(F.col("pass") == k).select("item", "n", "window").collect()  # about `most` rows
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
@@ -110,25 +124,25 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     A word is hit if it lies inside an occurrence of a window of `size` consecutive words of an item; an item
     of fewer words, but not none, is one window. items are the ids, as sorted strings, of all items with
     occurring windows. Null and empty texts have no words and no hits; items without words, or of null id,
-    match nothing or go unnamed. Repeated rows are judged alike. docs must have no column of the new names.
+    match nothing or go unnamed. Repeated rows are judged alike. Columns of the
+    new names are replaced.
 
     The benchmark's size is counted first. Each pass broadcasts at most about `most` (window, item) rows, dealt
     by hash; the passes follow each other over the same rows, without a shuffle.
     """
     prepare(docs.sparkSession)
-    windows = _item_windows(benchmark, item_col, item_text, size)
-    passes = max(1, -(-windows.count() // most))
-    dealt = windows.withColumn("pass", F.pmod(F.xxhash64("window"), F.lit(passes)))
-    base = docs.withColumn("_t", F.col(text_col))
-    merged = None
+    dealt, passes = _dealt(benchmark, item_col, item_text, size, most)
+    taken = {text_col, "n_words", "spans", "items"}
+    names = [c for c in docs.columns if c not in taken]
+    base = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.col(text_col).alias("t"), F.col(text_col).alias("u"))
+    out = None
     for k in range(passes):
-        rows = dealt.where(F.col("pass") == k).select("item", "n", "window").collect()  # bounded by `most`
-        if merged is None:
-            merged = _scan(base.drop("_t") if passes == 1 else base, rows, text_col, True)
+        rows = _of_pass(dealt, k)
+        if out is None:
+            out = _scan(base.drop("u") if passes == 1 else base, rows, "t")
             continue
-        src = merged.select(*[c for c in merged.columns if c not in ("n_words", "spans", "items")], F.col("spans").alias("_spans"), F.col("items").alias("_items"), F.col("_t").alias(text_col))
-        more = _scan(src, rows, text_col, True)
-        merged = more.withColumn("spans", F.concat("_spans", "spans")).withColumn("items", F.array_sort(F.array_distinct(F.concat("_items", "items")))).drop("_spans", "_items")
+        again = _scan(out.select(*out.columns, F.col("spans").alias("s"), F.col("items").alias("i"), F.col("u").alias("t")), rows, "t")
+        out = again.withColumn("spans", F.concat("s", "spans")).withColumn("items", F.array_sort(F.array_distinct(F.concat("i", "items")))).drop("s", "i")
     if passes > 1:
         joined = F.expr(
             """aggregate(array_sort(spans), CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT>>), (a, x) ->
@@ -136,26 +150,31 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
                ELSE concat(a, array(x)) END)"""
         )
-        merged = merged.withColumn("spans", joined).drop("_t")
-    return merged
+        out = out.withColumn("spans", joined)
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), "n_words", "spans", "items")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
     """docs with the hit words, and what stands between two hit words of a run, replaced by a line end.
 
     The columns are those of docs, n_chars with the new length where there is one. A text without hits stays
-    as it is; a null text stays null.
+    as it is; a null text stays null. Hits are as in find().
     """
-    found = find(docs.withColumn("_text", F.col(text_col)), benchmark, text_col, **options)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            yield x.assign(**{text_col: [cut(t, s) for t, s in zip(x.pop("_text"), x.pop("spans"), strict=True)]})
-
-    out = found.drop("n_words", "items").mapInPandas(batches, found.drop("n_words", "items", "spans").withColumnRenamed("_text", text_col).schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("bigint"))
-    return out.select(*docs.columns)
+    spark = prepare(docs.sparkSession)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    text = f"c{names.index(text_col)}"
+    dealt, passes = _dealt(benchmark, item_col, item_text, size, most)
+    if passes == 1:
+        scan = _scanner(spark, _of_pass(dealt, 0))
+        out = map_texts(docs.toDF(*plain), text, f"{text} string", lambda: lambda texts: [[cut(t, s) for t, s in zip(texts, scan(texts)[1], strict=True)]])
+    else:
+        found = find(docs.toDF(*plain).withColumn("whole", F.col(text)), benchmark, text, item_col, item_text, size, most)
+        slim = found.select(*(c for c in plain if c != text), F.struct("whole", "spans").alias("cut"))
+        out = map_texts(slim, "cut", f"{text} string", lambda: lambda rows: [[cut(r["whole"], r["spans"]) for r in rows]])
+    if "n_chars" in names:
+        out = out.withColumn(f"c{names.index('n_chars')}", F.length(text).cast("bigint"))
+    return out.select(*plain).toDF(*names)
 
 
 def cut(text: str | None, spans) -> str | None:
@@ -169,7 +188,3 @@ def cut(text: str | None, spans) -> str | None:
         out += [data[at : starts[s["start"]]], b"\n"]
         at = ends[s["end"] - 1]
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

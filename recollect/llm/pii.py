@@ -223,17 +223,17 @@ def find(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFr
     empty texts have none. Rows are judged one by one; columns of the new names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("base", "spans")]
-    t = docs.select(*keep, _clean(F.col(text_col)).alias("_text"))
-    plain = t.select(*keep, "_text", *(s.alias(f"_{k}") for k, s in base_spans(F.col("_text")).items()))
-    named = [F.transform(f"_{k}", _numbered(i)) for i, k in enumerate(KINDS)]
-    out = plain.withColumn("base", F.concat(*named)).drop(*(f"_{k}" for k in KINDS))
+    t = docs.select(*keep, _clean(F.col(text_col)).alias("__text"))
+    plain = t.select(*keep, "__text", *(s.alias(f"__{k}") for k, s in base_spans(F.col("__text")).items()))
+    named = [F.transform(f"__{k}", _numbered(i)) for i, k in enumerate(KINDS)]
+    out = plain.withColumn("base", F.concat(*named)).drop(*(f"__{k}" for k in KINDS))
     if trees is None:
-        return out.withColumn("spans", F.col("base")).drop("_text")
-    found = F.transform(candidates(F.col("_text")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _features(c).alias("f")))
-    out = out.withColumn("_found", found).withColumn("_scored", F.transform("_found", lambda c: F.struct(_kind_number(c["f"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), trees.margin(c["f"]).alias("margin"))))
-    extra = F.filter("_scored", lambda c: (c["margin"] >= trees.threshold) & ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+        return out.withColumn("spans", F.col("base")).drop("__text")
+    found = F.transform(candidates(F.col("__text")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _features(c).alias("f")))
+    out = out.withColumn("__found", found).withColumn("__scored", F.transform("__found", lambda c: F.struct(_kind_number(c["f"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), trees.margin(c["f"]).alias("margin"))))
+    extra = F.filter("__scored", lambda c: (c["margin"] >= trees.threshold) & ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     more = F.transform(extra, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return out.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_text", "_found", "_scored")
+    return out.withColumn("spans", F.array_sort(F.concat("base", more))).drop("__text", "__found", "__scored")
 
 
 def _numbered(i: int) -> Callable[[Column], Column]:
@@ -256,8 +256,11 @@ def redact(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Data
 
     A text without spans stays as it is; a null text stays null; n_chars, where there is one, is counted anew.
     """
-    found = find(docs, trees, text_col)
-    text = F.col(text_col)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    own = f"c{names.index(text_col)}"
+    found = find(docs.toDF(*plain), trees, own)
+    text = F.col(own)
     label = lambda s: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), s["kind"] + 1)
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
@@ -269,7 +272,7 @@ def redact(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Data
         return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), parts.alias("out"))
 
     cut = F.aggregate(by_place, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), piece(acc["at"], F.length(text).cast("bigint"))))
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("bigint"))
-    return out.select(*docs.columns)
+    out = found.withColumn(own, F.when(F.size("spans") > 0, cut).otherwise(text))
+    if "n_chars" in names:
+        out = out.withColumn(f"c{names.index('n_chars')}", F.length(own).cast("bigint"))
+    return out.select(*plain).toDF(*names)

@@ -37,9 +37,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                 learnt = "".join(chat.unescape(text[m["text_start"] : m["text_end"]]) for m in marks if m["learn"])
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((conv, len(turns), _sha256(whole), len(learnt), _sha256(learnt), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return found.mapInPandas(digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    named = found.withColumn("conv_id", F.col("conv_id").cast("string"))
+    out = named.mapInPandas(digests, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return out.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

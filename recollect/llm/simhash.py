@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import prepare, staged, word_offsets
+from recollect.llm.common import map_texts, prepare, staged, word_offsets
 from recollect.llm.components import components
 
 DISTANCE = 3
@@ -46,16 +46,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", size: int = 3) -> DataFrame:
     """All columns of docs but the text, and fp bigint. A null text has no words: fp 0."""
-    keep = [c for c in docs.columns if c not in (text_col, "fp")]
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            fp = np.fromiter((fingerprint(t, size) for t in x.pop(text_col)), np.uint64, len(x))
-            yield x.assign(fp=fp.view(np.int64))
-
-    out = docs.select(*keep, text_col)
-    schema = out.select(*keep, F.lit(0).cast("bigint").alias("fp")).schema
-    return out.mapInPandas(batches, schema)
+    return map_texts(docs, text_col, "fp bigint", lambda: lambda texts: [np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)])
 
 
 def forest(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -92,7 +83,8 @@ def links(prints: DataFrame, most: int = 512) -> DataFrame:
     The links of a bucket are a spanning forest of it, so that the components are those of all pairs while a
     bucket of m fingerprints gives fewer than m rows.
     """
-    level, keys, width, part = prints.select("fp").where("fp is not null").distinct(), [], 64, "fp"
+    level = prints.select("fp").where("fp is not null").distinct()
+    keys, width, part = [], 64, "fp"
     found = None
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,11 +137,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """docs without the rows whose component has a smaller id; of repeated rows one stays.
 
-    Rows of null id are kept unless their component has an id. The columns are those of docs.
+    Rows of null id cannot be named and are kept, repeated ones once. The columns are those of docs.
     """
     found = near_duplicates(docs, id_col, text_col, size)
-    lost = found.where(F.coalesce(F.col(id_col) > F.col("component_id"), F.col("component_id").isNotNull())).select(F.col(id_col).alias("_lost")).distinct()
-    kept = docs.join(lost, docs[id_col].eqNullSafe(F.col("_lost")), "left_anti")
+    lost = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import MULTIPLIER, hashed_words, parallelism, prepare, staged
+from recollect.llm.common import MULTIPLIER, hashed_words, map_texts, parallelism, prepare, staged
 
 #: Common words of English, French, German and Spanish, which anchor the signatures.
 COMMON = """
@@ -70,15 +70,12 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Equal texts have equal fingerprints; null is as empty. Columns of those names are replaced.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (text_col, "fingerprint", "signatures")]
-    slim = docs.select(*keep, text_col)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            sets = [signatures(t) for t in x.pop(text_col)]
-            yield x.assign(fingerprint=[fingerprint(s) for s in sets], signatures=[s.view(np.int64) for s in sets])
+    def work(texts: list) -> list:
+        sets = [signatures(t) for t in texts]
+        return [[fingerprint(s) for s in sets], [s.view(np.int64) for s in sets]]
 
-    return slim.mapInPandas(batches, slim.select(*keep, F.lit("").alias("fingerprint"), F.expr("CAST(NULL AS ARRAY<BIGINT>) AS signatures")).schema)
+    return map_texts(docs, text_col, "fingerprint string, signatures array<bigint>", lambda: work)
 
 
 def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -128,9 +125,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    named = F.col("id").cast("string").alias("id")  # pandas would make nullable integers floats
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
     result = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last = TaskContext.get().partitionId(), None
@@ -160,7 +158,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame(out, columns=result)
 
     dealt = rows.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
-    walked = staged(dealt.mapInPandas(walk, f"part int, kind string, id {kind}, text string, {schema.partition(', ')[2]}"), "walked")
+    walked = staged(dealt.select(named, "text").mapInPandas(walk, f"part int, kind string, id string, text string, {schema.partition(', ')[2]}"), "walked")
     ends = walked.where("kind <> 'row'").select("part", "kind", "id", "text")
     heads = ends.where("kind = 'head'").select("part", F.col("text").alias("after"))
     one_row_a_range = Window.orderBy("part")  # as many rows as ranges, whatever the data
@@ -168,4 +166,4 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     turn = parts.select("part", F.coalesce("_next", "_first").alias("next"))
     tails = ends.where("kind = 'tail'").join(turn, "part").join(heads.withColumnRenamed("part", "next"), "next")
     met = tails.select("id", "text", "after").mapInPandas(meet, schema)
-    return walked.where("kind = 'row'").select(*result).union(met).withColumnRenamed("id", id_col)
+    return walked.where("kind = 'row'").select(*result).union(met).select(F.col("id").cast(kind).alias(id_col), *result[1:])

@@ -33,10 +33,9 @@ class _Chunk:
     """The texts of one chunk: for each the number of words and the hashes of its rolling windows."""
 
     def __init__(self, frame: pd.DataFrame, block: int, parts: int) -> None:
-        ids = frame["id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
+        ids = frame["id"].to_numpy(np.int64)
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        self.is_null = frame["id"].isna().to_numpy()[order]
         self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in frame["text"].to_numpy()[order]]
         self.n_words = np.zeros(len(order), np.int64)
         each: list[np.ndarray] = []
@@ -84,8 +83,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of anything but ASCII white space. A word is removed if a window of `size` consecutive
     words covers it whose word sequence also starts earlier: in a document of smaller id, or before in the
     same one. `removed` are the maximal runs of such words, [start, end) in words; kept_text the other words
-    joined by one space. Null and empty texts have no words. A null id comes before all others; repeated
-    rows of one id are one document, and so each stays as it is unless it repeats something earlier.
+    joined by one space. Null and empty texts have no words. A null id comes before all others; the
+    least bigint stands for it; repeated rows of one id are one document, and so each stays as it is unless it repeats something earlier.
     Windows are judged on the input. Other columns are not read.
 
     `chunks` (by default the number of shuffle partitions) times the size of a chunk is the size of docs; a
@@ -94,7 +93,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = prepare(docs.sparkSession)
     block = size // 2  # any `size` words hold a whole aligned block of half as many
     parts = chunks or parallelism(spark)
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("chunk")).groupBy("chunk")
+    dealt = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("chunk")).groupBy("chunk")
 
     def index(x: pd.DataFrame) -> pd.DataFrame:
         c = _Chunk(x, block, parts)
@@ -183,7 +182,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = e
             kept.append(b" ".join(out + words[at:]).decode("utf-8", "surrogatepass"))
         ids = pd.array(c.ids, "Int64")
-        ids[c.is_null] = pd.NA
+        ids[c.ids == NULL_ID] = pd.NA
         return pd.DataFrame({id_col: ids, "n_words": c.n_words, "removed": [[{"start": s, "end": e} for s, e in spans.get(r, [])] for r in range(len(kept))], "kept_text": kept})
 
     indexed = dealt.applyInPandas(index, "bucket int, chunk int, keys binary, blocks binary, several binary")

@@ -7,15 +7,14 @@ n-grams with known ones, and so most of their vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import MULTIPLIER, _powers, by_size, hashed_words, prepare
+from recollect.llm.common import MULTIPLIER, _powers, by_size, hashed_words, map_texts, prepare
 from recollect.llm.spotsigs import IS_WORD
 
 #: Sizes of the n-grams in bytes of UTF-8, with < and > around each word.
@@ -217,12 +216,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs' other columns with score, the probability of the toxic class; null and empty texts are scored too."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)  # 2^BITS numbers
-    keep = [c for c in docs.columns if c not in (text_col, "score")]
-    slim = docs.select(*keep, text_col)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            texts = [folded(t) for t in x.pop(text_col)]
-            yield x.assign(score=shared.value.score(texts))
-
-    return slim.mapInPandas(batches, slim.select(*keep, F.lit(0.0).alias("score")).schema)
+    return map_texts(docs, text_col, "score double", lambda: lambda texts: [shared.value.score([folded(t) for t in texts])])

@@ -65,7 +65,7 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_co
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
     groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     # only groups of copies are on the right; a payload of very many copies is split by adaptive execution
-    joined = rows.join(groups, "digest", "left").select("id", "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
+    joined = rows.join(groups, "digest", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).cast("string").alias("refers_to"))
 
     def tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, n, path = None, 0, f"{to}/{uuid.uuid4().hex}.warc.gz"
@@ -74,9 +74,8 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_co
                 files, local = fs.FileSystem.from_uri(path)
                 files.create_dir(local.rpartition("/")[0], recursive=True)
                 stream = files.open_output_stream(local, compression=None)
-            ids, refers = x["id"].astype("Int64"), x["refers_to"].astype("Int64")
-            for i, url, payload, r in zip(ids, x["url"], x["payload"], refers, strict=True):
-                _record(stream, "null" if i is pd.NA else i, url, payload.encode("utf-8", "surrogatepass"), None if r is pd.NA else r)
+            for i, url, payload, r in zip(x["id"], x["url"], x["payload"], x["refers_to"], strict=True):
+                _record(stream, i or "null", url, payload.encode("utf-8", "surrogatepass"), r)
                 n += 1
         if stream is not None:
             stream.close()
