@@ -44,10 +44,15 @@ def _occurrences(tokens: Column, term: str) -> Column:
     if len(parts) == 1:
         return F.size(F.filter(tokens, lambda t: t == parts[0]))
     here = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - len(parts) + 1, F.lit(0))) for k in range(len(parts))]
-    both = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x & y), [F.transform(h, lambda t, p=p: t == p) for h, p in zip(here, parts, strict=True)])
+    matches = [_equal_to(h, p) for h, p in zip(here, parts, strict=True)]
+    both = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x & y), matches)
     return F.size(F.filter(both, lambda x: F.coalesce(x, F.lit(False))))
 
 
+def _equal_to(tokens: Column, word: str) -> Column:
+    return F.transform(tokens, lambda t: t == word)
+
+
 def bm25(nodes: DataFrame, terms: list[str], params: Params = PARAMS, mode: str = "and_or", fold: bool = False, stem=None) -> DataFrame:
     """(id, score) of the nodes that match, score rounded to six places.
 

@@ -30,7 +30,7 @@ def _blocks(vectors: DataFrame, blocks: int) -> DataFrame:
 
 
 def _matrix(x: pd.DataFrame) -> np.ndarray:
-    return np.array(x["embedding"].tolist(), np.float64).reshape(len(x), -1)
+    return np.array(x["embedding"].tolist(), np.float64).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
 
 
 def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:

@@ -54,7 +54,7 @@ def parse(files: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The memories of all *.md files below a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(folder, wholetext=True)
     return parse(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 

@@ -34,8 +34,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, after: str | None = None) -> DataFrame:
     """Messages of all *.jsonl files below a folder, of those changed since `after` if given."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True)
-    files = (reader.option("modifiedAfter", after) if after else reader).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    reader = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True)
+    files = (reader.option("modifiedAfter", after) if after else reader).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return parse(files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "value")))
 
 
