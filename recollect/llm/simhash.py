@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import map_texts, prepare, staged, word_offsets
+from recollect.llm.common import map_texts, parallelism, prepare, staged, word_offsets
 from recollect.llm.components import components
 
 DISTANCE = 3
@@ -83,7 +83,8 @@ def links(prints: DataFrame, most: int = 512) -> DataFrame:
     The links of a bucket are a spanning forest of it, so that the components are those of all pairs while a
     bucket of m fingerprints gives fewer than m rows.
     """
-    level = prints.select("fp").where("fp is not null").distinct()
+    # dealt anew after the distinct, whose few bytes adaptive execution would leave to a few tasks
+    level = prints.select("fp").where("fp is not null").distinct().repartition(parallelism(prints.sparkSession))
     keys, width, part = [], 64, "fp"
     found = None
 
