@@ -18,13 +18,16 @@ from recollect.session import prepare as prepare  # noqa: PLC0414  for the opera
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: The local folder taken where spark.checkpoint.dir is unset.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a local one where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="recollect-"))
+    return (folder or _OWN[0]).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
