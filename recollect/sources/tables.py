@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 from recollect.functions.text import content_hash
 
 
+#: The local folder taken where spark.checkpoint.dir is unset.
+_OWN: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; cuts the lineage of loops."""
+    """df written as Parquet in the shared folder and read again; cuts the lineage of loops.
+
+    The files go when the application ends.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not folder and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="recollect-"))
+    path = f"{(folder or _OWN[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
