@@ -32,7 +32,9 @@ CONTEXT = 24
 _HINT = r"(?i)\b(?:e-?mail|mail|phone|tel|call|fax|mobile|card|visa|account|ip|address|host|contact)\b"
 FEATURES = ("length", "digits", "letters", "dots", "spaces", "dashes", "brackets", "at", "plus", "longest", "luhn", "small_parts", "hint", "letter_before", "letter_after", "digit_before", "digit_after")
 
+#: The trees are fitted on at most so many candidates, from about so many documents, by order of a hash of the id.
 MOST_CANDIDATES = 4000
+MOST_DOCUMENTS = 50_000
 TREES, DEPTH, RATE = 30, 3, 0.3
 PRECISION = 0.99
 
@@ -197,12 +199,15 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees | None:
     return Trees(trees, bias, max(0.0, float(out[order][ok[-1]]))) if len(ok) else None
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CANDIDATES) -> Trees | None:
-    """Fit on at most `most` candidates, first by a hash of id and place; only their features reach the driver.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CANDIDATES, documents: int = MOST_DOCUMENTS) -> Trees | None:
+    """Fit on at most `most` candidates of about `documents` documents; only their features reach the driver.
 
-    A candidate counts as right if a checked base span starts and ends where it does.
+    Of more documents those are taken whose hash falls below their share, so what is gathered does not grow
+    with the data. A candidate counts as right if a checked base span starts and ends where it does.
     """
-    t = docs.select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("text")).where("text rlike '[0-9@]'")
+    share = min(1.0, documents / max(1, docs.count()))
+    chosen = docs.where(F.shiftrightunsigned(F.xxhash64(id_col), 11) < int(share * (1 << 53))) if share < 1 else docs
+    t = chosen.select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("text")).where("text rlike '[0-9@]'")
     t = t.select("id", candidates(F.col("text")).alias("found"), *(s.alias(k) for k, s in base_spans(F.col("text")).items())).where(F.size("found") > 0)
     known = F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     each = t.select("id", F.explode("found").alias("c"), known.alias("known")).select("id", "c", F.array_contains("known", F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"))).alias("y"))
