@@ -9,19 +9,26 @@ more within the rest, so that no link is lost and a bucket holds at most 2^11 fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import map_texts, parallelism, prepare, staged, word_offsets
+from recollect.llm.common import MULTIPLIER, hashed_words, map_texts, parallelism, prepare, staged, window_hashes, word_offsets
 from recollect.llm.components import components
 
 DISTANCE = 3
 SEED = 42
+#: near_copies(): words of a shingle, least Jaccard similarity, and fingerprints of a text.
+COPY_WORDS = 5
+COPY_LIKENESS = 0.8
+SEEDS = 4
+IN_WORD = np.ones(256, bool)
+IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -83,20 +90,24 @@ def links(prints: DataFrame, most: int = 512) -> DataFrame:
     The links of a bucket are a spanning forest of it, so that the components are those of all pairs while a
     bucket of m fingerprints gives fewer than m rows.
     """
-    # dealt anew after the distinct, whose few bytes adaptive execution would leave to a few tasks
-    level = prints.select("fp").where("fp is not null").distinct().repartition(parallelism(prints.sparkSession))
-    keys, width, part = [], 64, "fp"
-    found = None
-
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             out: set[tuple[int, int]] = set()
-            for members in x["members"]:
+            for members in x["fp"]:
                 values = np.sort(np.asarray(members, np.int64))
                 pairs = forest(values.view(np.uint64))
                 out.update((int(values[b]), int(values[a])) if values[a] < values[b] else (int(values[a]), int(values[b])) for a, b in pairs)
             yield pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
+    # dealt anew after the distinct, whose few bytes adaptive execution would leave to a few tasks
+    level = prints.select("fp").where("fp is not null").distinct().repartition(parallelism(prints.sparkSession))
+    return _in_buckets(level, linked, "a bigint, b bigint", most).distinct()
+
+
+def _in_buckets(level: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, most: int) -> DataFrame:
+    """What `work` makes of the buckets of level (fp bigint and more): lists of its columns, side by side."""
+    columns, keys, width, part = level.columns, [], 64, "fp"
+    found = None
     while width > 8:
         key = f"k{len(keys)}"
         keys.append(key)
@@ -107,14 +118,54 @@ def links(prints: DataFrame, most: int = 512) -> DataFrame:
             small = level.join(hot, keys, "left_anti")
         else:
             small = level
-        buckets = small.groupBy(*keys).agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
-        out = buckets.mapInPandas(linked, "a bigint, b bigint")
+        member = F.col("fp") if len(columns) == 1 else F.struct(*columns)
+        buckets = small.groupBy(*keys).agg(F.collect_list(member).alias("members")).where(F.size("members") > 1)
+        lists = buckets.select(*(F.col("members" if len(columns) == 1 else f"members.{c}").alias(c) for c in columns))
+        out = lists.mapInPandas(work, schema)
         found = out if found is None else found.union(out)
         if last or hot.isEmpty():
             break
         level = level.join(hot, keys, "left_semi")
         width, part = width // 2, "rest"
-    return found.distinct()
+    return found
+
+
+def across(nodes: Sequence[bytes], prints: np.ndarray, roots: Sequence[bytes], failed: Sequence[Sequence[bytes]], distance: int = DISTANCE) -> list[tuple[bytes, bytes]]:
+    """Pairs of nodes within the distance that would join all roots that such pairs connect, but none that failed."""
+    _, label = np.unique(np.array(roots, object), return_inverse=True)
+    if not label.any():
+        return []
+    out = []
+    for k in range(len(nodes)):
+        for j in np.flatnonzero((np.bitwise_count(prints ^ prints[k]) <= distance) & (label != label[k])).tolist():
+            if label[j] != label[k] and nodes[j] not in failed[k]:
+                out.append((max(nodes[k], nodes[j]), min(nodes[k], nodes[j])))
+                label[label == label[j]] = label[k]
+    return out
+
+
+def _further(each: DataFrame, pairs: DataFrame, linked: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs to compare next, where the pairs compared so far left near fingerprints apart.
+
+    Only texts matter that the compared pairs hold together with at least two others while the links do not.
+    """
+
+    def crossed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            out = set()
+            for nodes, prints, roots, failed in zip(x["node"], x["fp"], x["root"], x["failed"], strict=True):
+                out.update(across(list(nodes), np.asarray(prints, np.int64).view(np.uint64), list(roots), [set(f) for f in failed]))
+            yield pd.DataFrame(list(out), columns=["a", "b"])
+
+    groups = components(pairs).withColumnRenamed("root", "whole")
+    state = groups.join(components(linked), "node", "left").select("node", "whole", F.coalesce("root", "node").alias("root"))
+    apart = state.groupBy("whole").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("n > 2 AND r <> s").select("whole")
+    state = staged(state.join(apart, "whole", "left_semi").select("node", "root"), "apart")
+    lost = pairs.join(linked, ["a", "b"], "left_anti")
+    lost = lost.union(lost.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "node")
+    rows = state.join(lost, "node", "left").join(each.select("node", F.explode(F.array_distinct("fps")).alias("fp")), "node")
+    rows = rows.select("node", "fp", "root", F.coalesce("failed", F.expr("CAST(array() AS array<binary>)")).alias("failed"))
+    return staged(_in_buckets(rows, crossed, "a binary, b binary", most).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 512) -> DataFrame:
@@ -135,12 +186,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(each.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def word_prints(hashes: np.ndarray, seeds: int = SEEDS) -> list[int]:
+    """One 64-bit SimHash of the set of word hashes for each of `seeds` seeds, as signed numbers; 0 without words."""
+    words = np.unique(hashes)
+    out = []
+    for seed in range(seeds):
+        x = words * (MULTIPLIER + np.uint64(2 * seed))
+        x ^= x >> np.uint64(32)
+        x *= MULTIPLIER
+        x ^= x >> np.uint64(29)
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(x), 8192):
+            counts += np.unpackbits(x[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(x), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(words: np.ndarray, size: int = COPY_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `size` words; of fewer words, of the whole sequence."""
+    return np.unique(window_hashes(words, min(size, max(1, len(words)))))
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _words(text: str | None) -> tuple[bytes, np.ndarray]:
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    return data, hashed_words(data, IN_WORD)[2]
+
+
+def _copy_node(data: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(data.split()))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_WORDS, least: float = COPY_LIKENESS, most: int = 512) -> DataFrame:
+    """(id_col, node, component_id) for every row of docs; near copies by the Jaccard similarity of word shingles.
+
+    Texts of the same words have the same node, texts without words too. SEEDS fingerprints of a text's set
+    of words go through the deletion variants; texts that share a bucket's link are compared by their whole
+    sets of shingles and linked from `least` on. A bucket gives a spanning forest, whose edges are compared;
+    where some fail, further rounds compare other pairs of what is left apart, until none is left. component_id is the smallest id reachable, the row's own included; a row of null
+    id has that of its node, null if no id is in it. Repeated rows stay. Other columns are not read.
+    """
+    prepare(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def prints() -> Callable[[list], list]:
+        def work(texts: list) -> list:
+            read = [_words(t) for t in texts]
+            return [[_copy_node(d) for d, _ in read], [word_prints(h) for _, h in read]]
+
+        return work
+
+    def nodes() -> Callable[[list], list]:
+        return lambda texts: [[_copy_node((t or "").encode("utf-8", "surrogatepass").lower()) for t in texts]]
+
+    def alike(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in frames:
+            for lo in range(0, x.num_rows, 64):
+                part = x.slice(lo, 64)
+                pairs = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                keep = [_likeness(shingles(_words(s)[1], size), shingles(_words(t)[1], size)) >= least for s, t in pairs]
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep, pa.bool_())).columns[:2], names=["a", "b"])
+
+    rows = staged(map_texts(slim, "text", "node binary, fps array<bigint>", prints), "prints")
+    each = staged(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps")), "nodes")
+    marks = each.select("node", F.explode(F.array_distinct("fps")).alias("fp"))
+    owner = staged(marks.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
+    found = links(owner, most)
+    found = found.join(owner.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b")
+    pairs = found.select("x", "y").union(marks.join(owner, "fp").select("node", "owner")).where("x <> y")
+    pairs = staged(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+    def compared(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        # the texts by their smallest ids first, so that those of no other rows are moved
+        of_ids = each.join(wanted, "node").select(F.col("least").alias("id")).where("id is not null").distinct()
+        texts = map_texts(slim.join(of_ids, "id", "left_semi"), "text", "node binary", nodes, keep_text=True)
+        texts = staged(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+        return staged(both.select("a", "b", "s", "t").mapInArrow(alike, "a binary, b binary"), "links")
+
+    linked = compared(pairs)
+    while not (more := _further(each, pairs, linked, most)).isEmpty():
+        pairs, linked = pairs.union(more), linked.union(compared(more))
+    roots = components(linked)
+    each = each.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    each = staged(each, "classes")
+    named = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(each.join(named, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "node", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose component has a smaller id; of repeated rows one stays.
 
-    Rows of null id cannot be named and are kept, repeated ones once. The columns are those of docs.
+    `found` has the components: near_duplicates() of docs unless given, or near_copies(). Rows of null id
+    cannot be named and are kept, repeated ones once. The columns are those of docs.
     """
-    found = near_duplicates(docs, id_col, text_col, size)
+    found = staged((near_duplicates(docs, id_col, text_col) if found is None else found).select(id_col, "component_id"), "found")
     lost = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
     kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
