@@ -106,84 +106,6 @@ def test_keep_first(docs, rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def _shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-
-
-def _alike(a, b):
-    a, b = _shingles(a), _shingles(b)
-    return len(a & b) / len(a | b)
-
-
-@pytest.fixture(scope="module")
-def copied():
-    """(doc_id, text): texts with edited copies, the same words in another order, nulls, ties and repeated rows."""
-    rng = random.Random(11)
-    vocabulary = [f"w{k}" for k in range(3000)]
-    out = [(0, "the only words"), (1, "the ONLY\twords"), (2, "only the words"), (3, None), (4, ""), (5, " \n"), (None, "the only words"), (None, "alone here"), (None, "alone here")]
-    for k in range(30):
-        words = rng.choices(vocabulary, k=300 + 40 * k)
-        out.append((1000 - k, " ".join(words)))
-        for copy in range(3):
-            edited = list(words)
-            edited[rng.randrange(len(words))] = "changed"
-            out.append((2000 + 10 * k + copy, " ".join(edited)))
-        out.append((3000 + k, " ".join(words[len(words) // 2 :] + words[: len(words) // 2][::-1])))
-    return [*out, out[10], out[0], (1000, "another text of the same id")]
-
-
-@pytest.mark.parametrize("most", [512, 2])
-def test_near_copies(spark, copied, most):
-    """Also with buckets so small that every key is cut again and again."""
-    copied = [(i, t) for i, t in copied if i is None or most > 2 or i in (0, 1, 2, 3, 4, 5, 999, 3001) or 2010 <= i < 2013]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in copied], "doc_id bigint, text string, node string")
-    near = simhash.near_copies(docs, most=most).cache()
-    found = near.collect()
-    assert len(found) == len(copied)
-    got = {}
-    for r in found:
-        got.setdefault(r.doc_id, set()).add(r.component_id)
-    assert {got[k].pop() for k in (0, 1)} == {0} and got[2] == {2} and all(got[k] == {3} for k in (3, 4, 5))
-    assert got[None] == {0, None}
-    for k in range(1, 30 if most > 2 else 2):
-        assert {c for i in (1000 - k, *range(2000 + 10 * k, 2003 + 10 * k)) for c in got[i]} == {1000 - k}
-        assert got[3000 + k] == {3000 + k}
-    kept = simhash.keep_first(docs, found=near)
-    assert kept.columns == docs.columns
-    ids = sorted(((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()))
-    assert ids == ([-1, -1, 0, 2, 3, *range(971, 1001), 1000, *range(3000, 3030)] if most > 2 else [-1, -1, 0, 2, 3, 999, 3001])
-
-
-def test_likeness_is_the_jaccard_similarity(copied):
-    texts = [t for _, t in copied]
-    for a, b in zip(texts, texts[1:], strict=False):
-        assert abs(simhash._likeness(*(simhash.shingles(simhash._words(t)[1]) for t in (a, b))) - (_alike(a, b) if (a or "").split() or (b or "").split() else 0)) < 1e-9
-
-
-def test_near_copies_of_a_table(spark):
-    """Of the pairs of different texts from 0.8 on at least four fifths are linked, and no others."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    component = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
-    text = {r.doc_id: r.text for r in docs.collect()}
-    sets, holders = {i: _shingles(t) for i, t in text.items()}, {}
-    for i, s in sets.items():
-        for x in s:
-            holders.setdefault(x, []).append(i)
-    true = {(a, b) for h in holders.values() if len(h) > 1 for a, b in combinations(sorted(h), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    root = {i: i for i in text}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in true:
-        root[max(find(a), find(b))] = min(find(a), find(b))
-    assert all(find(i) == find(c) for i, c in component.items())
-    assert sum(component[a] == component[b] for a, b in true) >= 0.8 * len(true)
-
-
 def test_components_of_chain_and_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -379,5 +301,4 @@ def test_empty_tables(spark, docs):
     assert spotsigs.edit_likeness(none).count() == 0
     assert bpe.encode_decode(none, VOCABULARY).count() == 0
     assert simhash.keep_first(none).columns == docs.columns
-    assert simhash.near_copies(none).count() == 0
     assert spotsigs.edit_likeness(docs.where("doc_id = 6").limit(1)).first().near_next == 1.0
