@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-Near-duplicates are those of the SimHash operator's own contract: three-word shingles, three bits.
+Near-duplicates are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and those of the
+SimHash operator's own contract: three-word shingles, three bits.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, decontaminate, pii, quality, simhash
+from recollect.llm import bpe, copies, decontaminate, pii, quality, simhash
 from recollect.llm.common import staged
 from recollect.llm.queries import VOCABULARY, table
 
@@ -22,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """The document of the smallest id of each group of near copies."""
+    return simhash.keep_first(docs, found=copies.near_copies(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,12 +135,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(each.join(named, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, found: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose component has a smaller id; of repeated rows one stays.
 
-    Rows of null id cannot be named and are kept, repeated ones once. The columns are those of docs.
+    `found` has the components (id_col, component_id); near_duplicates() of docs unless given. Rows of null id
+    cannot be named and are kept, repeated ones once. The columns are those of docs.
     """
-    found = near_duplicates(docs, id_col, text_col, size)
+    found = near_duplicates(docs, id_col, text_col, size) if found is None else staged(found, "found")
     lost = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
     kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
