@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,12 +89,27 @@ def knn(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_approximate(vectors: DataFrame, k: int, cells: int = 64, probes: int = 8, sample: int = 20_000, seed: int = 5) -> DataFrame:
+def _probes(few: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 512) -> int:
+    """How many of the nearest cells hold the share `recall` of the k nearest others of the first `asked` vectors."""
+    own = np.argmax(few @ centres.T, axis=1)
+    q = few[:asked]
+    s = q @ few.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(few) - 1)]
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)
+    found = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(found[int(np.ceil(recall * len(found))) - 1]) + 1 if len(found) else len(centres)
+
+
+def knn_approximate(vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, sample: int = 20_000, seed: int = 5, recall: float = 0.95) -> DataFrame:
     """As knn, but each vector meets only the vectors of the `probes` cells whose centres are nearest to it.
 
-    The centres come from k-means on at most `sample` vectors; every vector is indexed, in one cell. Cells
-    scale with the data, so the work does too; recall is measured in the tests.
+    The centres come from k-means on at most `sample` vectors; every vector is indexed, in one cell. Unless
+    given, cells are the root of the number of vectors, and probes as many as find the share `recall` of the
+    neighbours within the sample; where vectors have no groups, that is a large part of the cells.
     """
+    if cells is None:
+        cells = max(1, min(math.isqrt(vectors.count()), sample // 4))
     few = np.array([r["embedding"] for r in vectors.select("embedding", "id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64)
     rng = np.random.default_rng(seed)
     centres = few[rng.choice(len(few), min(cells, len(few)), replace=False)] if len(few) else np.zeros((0, 1))
@@ -104,6 +121,7 @@ def knn_approximate(vectors: DataFrame, k: int, cells: int = 64, probes: int = 8
         np.add.at(sums, near, few)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    probes = probes or (_probes(few, centres, k, recall) if len(few) else 1)
     kind = dict(vectors.dtypes)["id"]
 
     def assign(frames):
