@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -246,6 +247,36 @@ def test_pii(spark, docs, rows):
     assert pii.find(docs, None).where("size(spans) <> size(base)").count() == 0
 
 
+def test_trees_find_what_no_pattern_does(spark):
+    """Values planted with another seed between other words: recall and precision of what the trees add."""
+    words = [("la casa verde", "y el río"), ("call me", "or not"), ("", ""), ("zwischen", "Häusern")]
+    docs = spark.createDataFrame([(k, f"{a} tree stone {b}") for k, (a, b) in enumerate(words * 5)], "doc_id bigint, text string")
+    trees = pii.train(docs)
+    texts = pii.planted(words, 1500, seed=77)
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string"), trees).collect()}
+    place = lambda spans: {(s.start, s.end) for s in spans}
+    more = [(place(found[k].spans) - place(found[k].base), set(own) - place(found[k].base)) for k, (_, own) in enumerate(texts)]
+    added, missed, right = (sum(map(len, x)) for x in ([a for a, _ in more], [w - a for a, w in more], [a & w for a, w in more]))
+    assert added > 150 and right >= 0.97 * added and right >= 0.75 * (right + missed)
+    known = ["two cards 7536784127813050 4845168114407329 here", "phone +1 (843) 555-7672 170.106.47.218 host", "nothing 2390409500648960 1.2.3 2024-05-17 at all"]
+    got = [r.spans for r in pii.find(spark.createDataFrame(list(enumerate(known)), "doc_id bigint, text string"), trees).orderBy("doc_id").collect()]
+    assert [[(pii.KINDS[s.kind], known[k][s.start : s.end]) for s in x] for k, x in enumerate(got)] == [[("card", "7536784127813050"), ("card", "4845168114407329")], [("ip", "170.106.47.218"), ("phone", "+1 (843) 555-7672")], []]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Training reads many spans of one text without pairing them."""
+    rng = random.Random(6)
+    words = ["alpha", "beta", "a.b@c.de", "10.0.0.1", "+49 (30) 1234567", "4242 4242 4242 4242", "77"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    took = []
+    for n in (2_000, 20_000):
+        docs = spark.createDataFrame([(1, text(n))], "doc_id bigint, text string")
+        began = time.time()
+        pii.redact(docs, pii.train(docs)).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 20
+
+
 def test_trees_apply_as_they_were_fitted(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, (400, len(pii.FEATURES))).astype(float)
