@@ -45,7 +45,7 @@ FEATURES = (
 
 #: The trees are fitted on so many planted values and at most so many other candidates, from about so many documents,
 #: by order of a hash of the id.
-PLANTED = 3000
+PLANTED = 4000
 MOST_CANDIDATES = 2000
 MOST_DOCUMENTS = 10_000
 TREES, DEPTH, RATE = 30, 4, 0.3
@@ -345,7 +345,7 @@ def planted(contexts: list[tuple[str, str]], n: int = PLANTED, seed: int = SEED)
     rng, out, left = random.Random(seed), [], n
     while left > 0 and contexts:
         text, own = rng.choice(contexts)[0] + " ", []
-        for k in range(min(left, rng.choice((1, 1, 2)))):
+        for k in range(min(left, rng.choice((1, 2)))):
             right, value = _value(rng)
             text += rng.choice((" ", " ", ", ", "\n")) if k else ""
             own += [(len(text), len(text) + len(value))] * right
