@@ -2,8 +2,9 @@
 
 A template is any function from a list of (role, text) to a string. Successive prefixes of a conversation are
 rendered and each output compared with the one before: what was appended is the new turn's span. Inside it,
-two stand-in texts show where the template puts the text. A template whose output for more turns does not
-begin with its output for fewer rewrites history; its spans are then located in the full rendering.
+a stand-in text of a character found nowhere else shows where the template puts the text. A template whose output
+for more turns does not begin with its output for fewer rewrites history; its spans are then located in the full
+rendering. Every prefix is rendered, whatever the number of turns.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ _CONTROL = [m for pair in MARKS.values() for m in pair] + list(OTHER)
 _ESCAPED = re.compile("\\\\|" + "|".join(map(re.escape, _CONTROL)))
 _BACK = re.compile(r"\\(\\|)")
 _OPENS = re.compile("|".join(re.escape(m) for m in [*(a for a, _ in MARKS.values()), OTHER[0]]))
-#: Prefixes are rendered whole for this many turns; beyond, the last few turns before each are its context.
-WHOLE, CONTEXT = 64, 8
 
 
 def escape(text: str) -> str:
@@ -81,45 +80,40 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def _text_place(render: Template, before: Turns, role: str, after: Turns) -> tuple[int, int]:
-    """Characters before and after a turn's text in the rendering, from two texts that differ throughout."""
-    a, b = (render([*before, (role, c), *after]) for c in ("", ""))
-    head = _common(a, b)
-    return head, min(_common(a[::-1], b[::-1]), len(a) - head)
+def _other(text: str) -> str:
+    """A character that text does not have."""
+    return next(c for c in map(chr, range(0xE000, 0x110000)) if c not in text)
+
+
+def _text_place(shown: str, changed: str) -> tuple[int, int]:
+    """Characters before and after what differs between two renderings that share no character inside it."""
+    head = _common(shown, changed)
+    return head, min(_common(shown[::-1], changed[::-1]), len(shown) - head)
 
 
 def locate(render: Template, turns: Turns) -> tuple[str, list[Span], bool]:
     """The rendering of all turns, each turn's span and whether the template rewrites history.
 
-    Up to WHOLE turns every prefix is rendered. Longer conversations take the CONTEXT turns before each as
-    its prefix; their pieces must join to exactly the full rendering, or every prefix is rendered after all.
+    Every prefix is rendered twice: as it is, and with a stand-in for its last text.
     """
-    full = render(turns)
-    for context in [CONTEXT] if len(turns) > WHOLE else [], [None]:
-        if not context:
-            continue
-        spans, at = [], 0
-        for k, (role, text) in enumerate(turns):
-            before = turns[max(0, k - context[0]) : k] if context[0] else turns[:k]
-            old, new = render(before), render([*before, (role, text)])
-            if not new.startswith(old):
-                return full, _located_in_full(render, turns), True
-            head, tail = _text_place(render, before, role, [])
-            if full[at : at + len(new) - len(old)] != new[len(old) :]:
-                break
-            spans.append((at, at + len(new) - len(old), at + head - len(old), at + len(new) - len(old) - tail))
-            at += len(new) - len(old)
-        if len(spans) == len(turns):
-            return full, spans, False
-    return full, _located_in_full(render, turns), True
-
-
-def _located_in_full(render: Template, turns: Turns) -> list[Span]:
-    full, spans = render(turns), []
+    full, spans, old = render(turns), [], render([])
+    for k, (role, _) in enumerate(turns):
+        new = full if k + 1 == len(turns) else render(turns[: k + 1])
+        changed = render([*turns[:k], (role, _other(new))])
+        if not new.startswith(old) or not changed.startswith(old):
+            return full, _located_in_full(render, full, turns), True
+        at = len(old)
+        head, tail = _text_place(new[at:], changed[at:])
+        spans.append((at, len(new), at + head, len(new) - tail))
+        old = new
+    return full, spans, False
+
+
+def _located_in_full(render: Template, full: str, turns: Turns) -> list[Span]:
+    spans, other = [], _other(full)
     for k, (role, _) in enumerate(turns):
-        head, tail = _text_place(render, turns[:k], role, turns[k + 1 :])
-        end = max(head, len(full) - tail)
-        spans.append((head, end, head, end))
+        head, tail = _text_place(full, render([*turns[:k], (role, other), *turns[k + 1 :]]))
+        spans.append((head, len(full) - tail, head, len(full) - tail))
     return spans
 
 

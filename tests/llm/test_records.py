@@ -38,6 +38,21 @@ def test_long_conversations_take_a_short_context():
     assert not rewrites and [full[c:d] for *_, c, d in spans] == [t for _, t in turns] and max(calls) == 400
 
 
+def test_history_rewritten_late_is_seen():
+    """A template that folds old turns only from 100 turns on, and shows them all again at the end."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(400)]
+    folds = lambda ts: "".join(f"{r}:{t};" for r, t in (ts if len(ts) < 100 or len(ts) == 400 else ts[-50:]))
+    full, spans, rewrites = chat.locate(folds, turns)
+    assert rewrites and [full[c:d] for *_, c, d in spans] == [t for _, t in turns]
+    assert not chat.locate(folds, turns[:99])[2]
+
+
+def test_places_of_repeated_and_empty_texts():
+    quoted = lambda ts: "^" + "".join(f"<{t}><>" for _, t in ts)
+    full, spans, rewrites = chat.locate(quoted, [("u", ""), ("u", "><"), ("u", "\ue000")])
+    assert not rewrites and [full[c:d] for *_, c, d in spans] == ["", "><", "\ue000"] and spans[0][0] == 1
+
+
 def test_rewritten_history_is_seen():
     def forgetful(ts):
         return "".join(f"{r}:{t if k == len(ts) - 1 or r != 'assistant' else '...'};" for k, (r, t) in enumerate(ts))
