@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import by_size, hashed_words, map_texts, prepare, runs, window_hashes
+from recollect.llm.common import by_size, hashed_words, map_texts, prepare, runs, staged, window_hashes
 
 #: A-Z become a-z, any other byte that is no ASCII letter, ASCII digit or part of a non-ASCII character a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 IS_WORD = np.array([b != 32 for b in range(256)])
 WINDOW = 10
 #: Most windows of the benchmark that one pass broadcasts; more are taken in several passes.
-MOST_WINDOWS = 1_000_000
+MOST_WINDOWS = 500_000
 
 
 def folded(text: str | None) -> bytes:
@@ -108,8 +108,8 @@ def _scan(docs: DataFrame, rows: list, text_col: str) -> DataFrame:
 
 
 def _dealt(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: int) -> tuple[DataFrame, int]:
-    """The windows with the number of the pass that takes them, and the number of passes, from a count of all."""
-    windows = _item_windows(benchmark, item_col, item_text, size)
+    """The windows, written once, with the number of the pass that takes them, and the number of passes."""
+    windows = staged(_item_windows(benchmark, item_col, item_text, size), "windows")
     passes = max(1, -(-windows.count() // most))
     return windows.select("item", "n", "window", F.pmod(F.xxhash64("window"), F.lit(passes)).alias("pass")), passes
 
@@ -128,7 +128,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     new names are replaced.
 
     The benchmark's size is counted first. Each pass broadcasts at most about `most` (window, item) rows, dealt
-    by hash; the passes follow each other over the same rows, without a shuffle.
+    by hash. Where there are several, each writes its rows in the shared folder and the next reads them, so that
+    one pass's hash set is in memory at a time; nothing is shuffled.
     """
     prepare(docs.sparkSession)
     dealt, passes = _dealt(benchmark, item_col, item_text, size, most)
@@ -141,6 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         if out is None:
             out = _scan(base.drop("u") if passes == 1 else base, rows, "t")
             continue
+        out = staged(out, "pass")
         again = _scan(out.select(*out.columns, F.col("spans").alias("s"), F.col("items").alias("i"), F.col("u").alias("t")), rows, "t")
         out = again.withColumn("spans", F.concat("s", "spans")).withColumn("items", F.array_sort(F.array_distinct(F.concat("i", "items")))).drop("s", "i")
     if passes > 1:

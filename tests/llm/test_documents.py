@@ -148,6 +148,13 @@ def test_decontaminate(spark, docs, rows, most):
     assert decontaminate.find(docs, spark.createDataFrame([], "item_id bigint, text string")).where("size(spans) > 0").count() == 0
 
 
+def test_one_hash_set_at_a_time(spark, docs):
+    """Of many passes the plan that is left runs the last alone."""
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(200)], "item_id bigint, text string")
+    plan = decontaminate.find(docs, items, most=100)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("chunks", [1, 7])
 def test_repeats(docs, rows, chunks):
     texts = {}
