@@ -11,8 +11,6 @@ pair of documents is ever formed. The answers return to the chunk, which finds i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -25,6 +23,8 @@ WORDS = 20
 BLOCK = 10
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 DIGEST = 12
+#: Bytes of text in a chunk, on average. Chunks times buckets are the rows that carry the index, each a packed array.
+CHUNK_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -52,9 +52,11 @@ class _Chunk:
         self.keys = ((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (h & _LOW)
         self.position = np.arange(len(h)) - np.repeat(self.first, self.counts)
 
-    def windows(self, hot: np.ndarray, size: int, block: int) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-        """Of each text with a hit: its row, the starts of windows that hold a hit, and their words' digests."""
+    def windows(self, hot: np.ndarray, size: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and digest of each window that holds a hit, in the order of ids and starts."""
         is_hot = np.isin(self.keys, hot) if len(hot) else np.zeros(len(self.keys), bool)
+        rows, starts_at, digests = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        digest = xxhash.xxh3_128_digest
         for row in np.unique(np.searchsorted(self.first, np.flatnonzero(is_hot), "right") - 1).tolist():
             while self.counts[row] == 0:  # rows without windows share their offset with the next
                 row -= 1
@@ -69,8 +71,19 @@ class _Chunk:
             words = self.texts[row].split()
             joined = b" ".join(words)
             starts, ends = word_offsets(words)
-            digest = xxhash.xxh3_128_digest
-            yield row, at, [digest(joined[s:e])[:DIGEST] for s, e in zip(starts[at].tolist(), ends[at + size - 1].tolist(), strict=True)]
+            digests.append(b"".join([digest(joined[s:e])[:DIGEST] for s, e in zip(starts[at].tolist(), ends[at + size - 1].tolist(), strict=True)]))
+            rows.append(np.full(len(at), row))
+            starts_at.append(at)
+        return np.concatenate(rows), np.concatenate(starts_at), _joined(digests, f"V{DIGEST}")
+
+
+def _ordered(digests: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by digest and then by `then`, and for each place in it that of the first of the same digest."""
+    parts = np.ascontiguousarray(digests).view("<u4").reshape(-1, 3)
+    order = np.lexsort((*then[::-1], parts[:, 0], parts[:, 1], parts[:, 2]))
+    same = (parts[order][1:] == parts[order][:-1]).all(axis=1)
+    first = np.concatenate(([True], ~same)) if len(order) else np.empty(0, bool)
+    return order, np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
 
 
 def _joined(blobs, dtype: str) -> np.ndarray:
@@ -87,13 +100,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least bigint stands for it; repeated rows of one id are one document, and so each stays as it is unless it repeats something earlier.
     Windows are judged on the input. Other columns are not read.
 
-    `chunks` (by default the number of shuffle partitions) times the size of a chunk is the size of docs; a
-    task holds one chunk and its hashes, about ten times the chunk's text.
+    There are `chunks` chunks, by default as many as shuffle partitions or more, so that each has about
+    CHUNK_BYTES of text. A task holds one chunk and its hashes, about ten times the chunk's text.
     """
     spark = prepare(docs.sparkSession)
     block = size // 2  # any `size` words hold a whole aligned block of half as many
-    parts = chunks or parallelism(spark)
-    dealt = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("chunk")).groupBy("chunk")
+    parts = chunks or max(parallelism(spark), -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // CHUNK_BYTES))
+    named = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("chunk"))
+    dealt = named.repartition(parts, "chunk").groupBy("chunk")
 
     def index(x: pd.DataFrame) -> pd.DataFrame:
         c = _Chunk(x, block, parts)
@@ -127,53 +141,52 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(rows, columns=["chunk", "kind", "data"])
 
     def extend(texts: pd.DataFrame, hot: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[int, tuple[list[bytes], list[int], list[int]]] = {}
-        if len(texts) and len(hot):
-            c, seen = _Chunk(texts, block, parts), set()
-            for row, at, digests in c.windows(_joined(hot["data"], "<u8"), size, block):
-                for p, d in zip(at.tolist(), digests, strict=True):
-                    if d not in seen:  # texts come by id, so this is the chunk's earliest
-                        seen.add(d)
-                        out = rows.setdefault(int.from_bytes(d[:4], "little") % parts, ([], [], []))
-                        out[0].append(d)
-                        out[1].append(int(c.ids[row]))
-                        out[2].append(p)
-            chunk = int(texts["chunk"].iloc[0])
-        return pd.DataFrame([(b, chunk, b"".join(d), np.array(i, "<i8").tobytes(), np.array(p, "<i4").tobytes()) for b, (d, i, p) in rows.items()], columns=["bucket", "chunk", "digests", "ids", "at"])
+        columns = ["bucket", "chunk", "digests", "ids", "at"]
+        if not len(texts) or not len(hot):
+            return pd.DataFrame([], columns=columns)
+        c = _Chunk(texts, block, parts)
+        row, at, digests = c.windows(_joined(hot["data"], "<u8"), size, block)
+        order, lead = _ordered(digests, c.ids[row], at)
+        earliest = order[lead == np.arange(len(order))]
+        bucket = (digests[earliest].view("<u4").reshape(-1, 3)[:, 0] % parts).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        earliest, bucket = earliest[by_bucket], bucket[by_bucket]
+        chunk, cuts = int(texts["chunk"].iloc[0]), np.flatnonzero(np.diff(bucket)) + 1
+        spans = zip([0, *cuts.tolist()], [*cuts.tolist(), len(earliest)], strict=True) if len(earliest) else []
+        return pd.DataFrame([(int(bucket[lo]), chunk, digests[e].tobytes(), c.ids[row[e]].astype("<i8").tobytes(), at[e].astype("<i4").tobytes()) for lo, hi in spans for e in [earliest[lo:hi]]], columns=columns)
 
     def earlier(x: pd.DataFrame) -> pd.DataFrame:
         digests = _joined(x["digests"], f"V{DIGEST}")
         ids, at = _joined(x["ids"], "<i8"), _joined(x["at"], "<i4")
         chunk = np.repeat(x["chunk"].to_numpy(), [len(d) // DIGEST for d in x["digests"]])
-        parts3 = digests.view("<u4").reshape(-1, 3)
-        order = np.lexsort((at, ids, parts3[:, 0], parts3[:, 1], parts3[:, 2]))
-        same = (parts3[order][1:] == parts3[order][:-1]).all(axis=1)
-        first = np.concatenate(([True], ~same))
-        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        order, lead = _ordered(digests, ids, at)
         late = np.zeros(len(order), bool)
-        late[order] = (ids[lead] != ids[order]) | (at[lead] != at[order])
+        late[order] = (ids[order[lead]] != ids[order]) | (at[order[lead]] != at[order])
         found = pd.DataFrame({"chunk": chunk[late], "k": np.flatnonzero(late)})
         return pd.DataFrame([(c, 1, digests[g["k"].to_numpy()].tobytes()) for c, g in found.groupby("chunk")], columns=["chunk", "kind", "data"])
 
     def settle(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(texts):
             return pd.DataFrame([], columns=[id_col, "n_words", "removed", "kept_text"])
-        c, foreign = _Chunk(texts, block, parts), set()
-        hot = _joined(replies["data"][replies["kind"] == 0], "<u8")
-        for blob in replies["data"][replies["kind"] == 1]:
-            foreign.update(blob[k : k + DIGEST] for k in range(0, len(blob), DIGEST))
-        first: dict[bytes, tuple[int, int]] = {}
+        c = _Chunk(texts, block, parts)
+        foreign = _joined(replies["data"][replies["kind"] == 1], f"V{DIGEST}")
+        row, at, digests = c.windows(_joined(replies["data"][replies["kind"] == 0], "<u8"), size, block)
+        none = np.full(len(foreign), -1)
+        own, place = np.concatenate((np.full(len(foreign), 0), np.full(len(row), 1))), np.concatenate((none, at))
+        ids = np.concatenate((none, c.ids[row]))
+        order, lead = _ordered(np.concatenate((foreign, digests)), own, ids, place)
+        head = order[lead]
+        late = np.zeros(len(order), bool)
+        late[order] = (own[head] == 0) | (ids[head] != ids[order]) | (place[head] != place[order])
+        late = late[len(foreign) :]
         spans: dict[int, list[tuple[int, int]]] = {}
-        for row, at, digests in c.windows(hot, size, block):
-            doc, late = int(c.ids[row]), []
-            for p, d in zip(at.tolist(), digests, strict=True):
-                if d in foreign or first.setdefault(d, (doc, p)) != (doc, p):
-                    late.append(p)
-            if late:
-                steps = np.zeros(c.n_words[row] + 1, np.int32)
-                np.add.at(steps, late, 1)
-                np.add.at(steps, np.array(late) + size, -1)
-                spans[row] = runs(np.cumsum(steps)[:-1] > 0)
+        edges = np.flatnonzero(np.diff(row[late])) + 1
+        for own_rows, own_at in zip(np.split(row[late], edges), np.split(at[late], edges), strict=True):
+            if len(own_rows):
+                steps = np.zeros(c.n_words[own_rows[0]] + 1, np.int32)
+                np.add.at(steps, own_at, 1)
+                np.add.at(steps, own_at + size, -1)
+                spans[int(own_rows[0])] = runs(np.cumsum(steps)[:-1] > 0)
         kept = []
         for row, text in enumerate(c.texts):
             words, out, at = text.split(), [], 0
