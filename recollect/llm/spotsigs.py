@@ -22,6 +22,8 @@ der die das und den dem ein eine ist von zu mit sich auf nicht auch im es sie er
 el los las y del una por con para se su al lo como no
 """.split()
 CHAIN = 2
+#: A text with more content words than this for each anchor gets the signatures of its runs of words too.
+SPARSE = 8
 #: Bytes of words in lower-cased text: ASCII letters and digits, and all non-ASCII characters.
 IS_WORD = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 _ANCHORS = np.unique(np.concatenate([hashed_words(w.encode(), IS_WORD)[2] for w in COMMON]))
@@ -31,25 +33,26 @@ def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     """The distinct signatures of a text, sorted; never none.
 
     A signature is an anchor with the `chain` content words (those that are no anchors) that follow it, or
-    as many as there are. A text without anchors or without content words has a signature for each run of
-    `chain` words, so that short lines, lists and other languages are told apart too; one without words has
-    that of the empty text.
+    as many as there are. A text without anchors, without content words or with over SPARSE content words for each
+    anchor has a signature for each run of `chain` words too, so that short lines, lists, tables and other
+    languages are told apart by all their words; one without words has that of the empty text.
     """
     _, _, h = hashed_words((text or "").lower().encode("utf-8", "surrogatepass"), IS_WORD)
     at = np.minimum(np.searchsorted(_ANCHORS, h), len(_ANCHORS) - 1)
     common = _ANCHORS[at] == h
-    content = h[~common]
-    if len(content) and common.any():
-        after = np.cumsum(~common)[common]  # content words before the anchor: the index of the next one
-        out, content = h[common], np.concatenate((content, np.zeros(chain, np.uint64)))
+    content, out = h[~common], np.empty(0, np.uint64)
+    after = np.cumsum(~common)[common]  # content words before the anchor: the index of the next one
+    if len(content):
+        out, padded = h[common], np.concatenate((content, np.zeros(chain, np.uint64)))
         for j in range(chain):
-            out = (out * MULTIPLIER) ^ content[np.minimum(after + j, len(content) - 1)]
+            out = (out * MULTIPLIER) ^ padded[np.minimum(after + j, len(padded) - 1)]
             out ^= out >> np.uint64(31)
-    else:
-        out, padded = h.copy(), np.concatenate((h, np.zeros(chain, np.uint64)))
+    if not len(content) or len(content) > SPARSE * len(after):
+        run, padded = h.copy(), np.concatenate((h, np.zeros(chain, np.uint64)))
         for j in range(1, chain):
-            out = (out * MULTIPLIER) ^ padded[j : j + len(h)]
-            out ^= out >> np.uint64(31)
+            run = (run * MULTIPLIER) ^ padded[j : j + len(h)]
+            run ^= run >> np.uint64(31)
+        out = np.concatenate((out, run))
     return np.unique(out * MULTIPLIER) if len(out) else np.zeros(1, np.uint64)
 
 
@@ -83,12 +86,16 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     `prints` is the result of fingerprints(); copies share a fingerprint and need no pairs. Sets are dealt
     into bands of set size, each 1/threshold as wide as it starts, and meet only their own band and the next.
-    Similar sets share one of the first size - ceil(threshold * size) + 1 signatures in the sorted order.
+    Similar sets share one of the first size - ceil(threshold * size) + 1 signatures in one order of all sets, the
+    rarest first: by the number of sets that have the signature, from a count of all.
     """
     base = float(1 / threshold)
-    sets = prints.select("fingerprint", "signatures").dropDuplicates(["fingerprint"]).withColumn("n", F.size("signatures"))
+    sets = staged(prints.select("fingerprint", "signatures").dropDuplicates(["fingerprint"]).withColumn("n", F.size("signatures")), "sets")
+    each = sets.select("fingerprint", "n", F.explode("signatures").alias("signature"))
+    counted = each.join(each.groupBy("signature").agg(F.count("*").alias("times")), "signature")
+    ordered = counted.groupBy("fingerprint", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("times", "signature"))), lambda x: x["signature"]).alias("signatures"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(base))) + 1e-9).cast("int")
-    lead = sets.withColumn("band", band).withColumn("signature", F.explode(F.expr(f"slice(signatures, 1, n - CAST(ceil({threshold} * n - 1e-9) AS INT) + 1)")))
+    lead = ordered.withColumn("band", band).withColumn("signature", F.explode(F.expr(f"slice(signatures, 1, n - CAST(ceil({threshold} * n - 1e-9) AS INT) + 1)")))
     left = lead.select(F.col("fingerprint").alias("a"), F.col("n").alias("na"), "signature", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     right = lead.select(F.col("fingerprint").alias("b"), F.col("n").alias("nb"), "signature", "band")
     met = left.join(right, ["signature", "band"]).where(f"(na < nb OR (na = nb AND a < b)) AND na >= {threshold} * nb - 1e-9").select("a", "b").distinct()

@@ -213,6 +213,25 @@ def test_spotsigs(docs, rows):
         assert abs(x.near_edited - spotsigs.jaccard(a, b)) < 1e-12 and abs(x.near_next - spotsigs.jaccard(a, c)) < 1e-12
 
 
+def test_signatures_are_the_chains(rows):
+    """The chains as tuples of words, written anew: as many, and as much in common, as the signatures."""
+    word = re.compile("(?:[0-9a-z]|[^\x00-\x7f])+")
+
+    def chains(text):
+        words = word.findall((text or "").lower())
+        content = [w for w in words if w not in spotsigs.COMMON]
+        out = {(w, *[x for x in words[k + 1 :] if x not in spotsigs.COMMON][:2]) for k, w in enumerate(words) if w in spotsigs.COMMON} if content else set()
+        if not content or len(content) > 8 * (len(words) - len(content)):
+            out |= {("run", *words[k : k + 2]) for k in range(len(words))}
+        return out or {()}
+
+    few = [t for _, t in rows if len(t or "") < 4000][:120] + ["of", "the of", "alpha of beta", "alpha beta gamma delta eps zeta eta theta iota of kappa"]
+    sets, want = [spotsigs.signatures(t) for t in few], [chains(t) for t in few]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    for i, j in combinations(range(len(few)), 2):
+        assert abs(spotsigs.jaccard(sets[i], sets[j]) - len(want[i] & want[j]) / len(want[i] | want[j])) < 1e-12
+
+
 def test_spotsigs_pairs(docs, rows):
     sets = {spotsigs.fingerprint(s): set(s.tolist()) for s in (spotsigs.signatures(t) for _, t in rows)}
     for least in (0.5, 0.8):
