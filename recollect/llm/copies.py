@@ -2,7 +2,8 @@
 
 The shingles are put in one order of all texts, the rarest first. Of n shingles, two texts of similarity t or
 more share one among the first n - ceil(t n) + 1 of both, and at the first that they share enough of both must
-be left. Texts that share such a shingle are compared by their whole sets: first each with the least text of
+be left. These first shingles travel as packed arrays, a few bytes each, and only those that different texts share
+become rows. Texts that share such a shingle are compared by their whole sets: first each with the least text of
 its shingle, then all those that are still in different groups. Before that, the parities of a set's shingles
 by their last bits bound how much two sets differ from below. No pair is lost; the counts that give the order
 come from a sample and bear on the work alone.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import hashed_words, map_texts, prepare, staged, window_hashes
+from recollect.llm.common import hashed_words, map_texts, parallelism, prepare, staged, window_hashes
 from recollect.llm.components import components
 from recollect.llm.simhash import fingerprint, links
 
@@ -30,6 +31,9 @@ SAMPLE = 10_000
 MOST_COMMON = 100_000
 #: Parities kept of a set, a power of two.
 BITS = 1024
+#: Bytes of text whose first shingles make up a bucket, on average; first shingles that a task packs at once.
+BUCKET_BYTES = 64 << 20
+PACKED = 1 << 20
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -75,6 +79,59 @@ def _common(slim: DataFrame, size: int, sample: int) -> tuple[np.ndarray, np.nda
     return values[order], found["count"].to_numpy(np.int64)[order]
 
 
+def _shared(slim: DataFrame, common: np.ndarray, counts: np.ndarray, size: int, least: float) -> DataFrame:
+    """(key, node, at): the first shingles that texts of different words share; at is a place in the first ones.
+
+    A key is the bucket and 32 further bits of a shingle's hash, so that shingles may meet that are not the same;
+    places over 65,535 are given as that.
+    """
+    text_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parallelism(slim.sparkSession), -(-text_bytes // BUCKET_BYTES))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, nodes, places, held, seen = [], [], [], 0, set()
+
+        def rows() -> pd.DataFrame:
+            h = np.concatenate(keys)
+            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            low, node, at = (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.concatenate(nodes)[order], np.concatenate(places)[order]
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            return pd.DataFrame([(b, low[x:y].tobytes(), node[x:y].tobytes(), at[x:y].tobytes()) for b in some for x, y in [(cuts[b], cuts[b + 1])]], columns=["bucket", "keys", "nodes", "places"])
+
+        for frame in frames:
+            for text in frame["text"]:
+                node = _node(text)
+                if node in seen:  # a copy within what is packed at once adds nothing
+                    continue
+                seen.add(node)
+                own = shingles(text, size)
+                first = prefix(own, common, counts, least) if len(own) else own
+                keys.append(first)
+                nodes.append(np.full(len(first), node, "<i8"))
+                places.append(np.minimum(np.arange(len(first)), 65_535).astype("<u2"))
+                held += len(first)
+                if held >= PACKED:
+                    yield rows()
+                    keys, nodes, places, held, seen = [], [], [], 0, set()
+        if held:
+            yield rows()
+
+    def meet(x: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, places = (np.frombuffer(b"".join(x[c]), kind) for c, kind in (("keys", "<u4"), ("nodes", "<i8"), ("places", "<u2")))
+        order = np.lexsort((places, nodes, keys))
+        keys, nodes, places = keys[order], nodes[order], places[order]
+        new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
+        new = new_key | np.concatenate(([True], nodes[1:] != nodes[:-1]))
+        group = np.cumsum(new_key) - 1
+        kept = new & (np.bincount(group, new) > 1)[group]
+        return pd.DataFrame({"key": (int(x["bucket"].iloc[0]) << 32) | keys[kept].astype(np.int64), "node": nodes[kept], "at": places[kept].astype(np.int32)})
+
+    packed = slim.select("text").mapInPandas(pack, "bucket int, keys binary, nodes binary, places binary")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "key bigint, node bigint, at int")
+
+
 def _may_reach(n: Column, at: Column, m: Column, to: Column, least: float) -> Column:
     """Whether sets of n and m shingles whose first common one stands at `at` and `to` can be similar enough."""
     return F.least(n - at, m - to) >= F.ceil(least / (1 + least) * (n + m) - 1e-9)
@@ -93,18 +150,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def read() -> Callable[[list], list]:
         def work(texts: list) -> list:
             sets = [shingles(t, size) for t in texts]
-            first = [prefix(s, common, counts, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), [_node(t) for t in texts], [len(s) for s in sets], first, [parities(s) for s in sets]]
+            return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), [_node(t) for t in texts], [len(s) for s in sets], [parities(s) for s in sets]]
 
         return work
 
-    rows = staged(map_texts(slim, "text", "fp bigint, node bigint, n int, first array<bigint>, bits array<bigint>", read), "prints")
+    rows = staged(map_texts(slim, "text", "fp bigint, node bigint, n int, bits array<bigint>", read), "prints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(rows))
     classes = staged(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    each = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits"))
+    each = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     each = staged(each.join(classes.select("fp", "root"), "fp").drop("fp"), "nodes")
-    marks = each.select("node", "root", "n", F.posexplode("first").alias("at", "key"))
+    marks = staged(_shared(slim, common, counts, size, least), "marks").join(each.select("node", "root", "n"), "node")
     several = marks.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
     shared = staged(marks.join(several, "key"), "shared")
 
