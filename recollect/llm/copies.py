@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ MOST_COMMON = 100_000
 BITS = 1024
 #: Bytes of text whose first shingles make up a bucket, on average; first shingles that a task packs at once.
 BUCKET_BYTES = 64 << 20
-PACKED = 1 << 20
+PACKED = 1 << 18
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -88,20 +89,22 @@ def _shared(slim: DataFrame, common: np.ndarray, counts: np.ndarray, size: int,
     text_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parallelism(slim.sparkSession), -(-text_bytes // BUCKET_BYTES))
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, places, held, seen = [], [], [], 0, set()
 
-        def rows() -> pd.DataFrame:
+        def rows() -> pa.RecordBatch:
             h = np.concatenate(keys)
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low, node, at = (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.concatenate(nodes)[order], np.concatenate(places)[order]
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            return pd.DataFrame([(b, low[x:y].tobytes(), node[x:y].tobytes(), at[x:y].tobytes()) for b in some for x, y in [(cuts[b], cuts[b + 1])]], columns=["bucket", "keys", "nodes", "places"])
+            parts = [[x[cuts[b] : cuts[b + 1]].tobytes() for b in some] for x in (low, node, at)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "keys", "nodes", "places"])
 
         for frame in frames:
-            for text in frame["text"]:
+            for value in frame.column(0):
+                text = value.as_py()
                 node = _node(text)
                 if node in seen:  # a copy within what is packed at once adds nothing
                     continue
@@ -128,7 +131,7 @@ def _shared(slim: DataFrame, common: np.ndarray, counts: np.ndarray, size: int,
         kept = new & (np.bincount(group, new) > 1)[group]
         return pd.DataFrame({"key": (int(x["bucket"].iloc[0]) << 32) | keys[kept].astype(np.int64), "node": nodes[kept], "at": places[kept].astype(np.int32)})
 
-    packed = slim.select("text").mapInPandas(pack, "bucket int, keys binary, nodes binary, places binary")
+    packed = slim.select("text").mapInArrow(pack, "bucket int, keys binary, nodes binary, places binary")
     return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "key bigint, node bigint, at int")
 
 
@@ -171,7 +174,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = F.aggregate(F.zip_with("s", "t", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda a, x: a + x)
         pairs = staged(both.where(apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("m")) + 1e-9).select("x", "y", "a", "b"), "close")
         wanted = staged(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "wanted")
-        ids = each.join(wanted, "node").where("id is not null").select("id").distinct()
+        # a written table has a known size, so that few ids are broadcast and the texts stay where they are
+        ids = staged(each.join(wanted, "node").where("id is not null").select("id").distinct(), "ids")
         own = slim.join(ids, "id", "left_semi").union(slim.where("id is null"))
         sets = map_texts(own, "text", "node bigint, s array<bigint>", lambda: lambda texts: [[_node(t) for t in texts], [shingles(t, size).view(np.int64) for t in texts]])
         sets = staged(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "sets")

@@ -142,7 +142,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cannot be named and are kept, repeated ones once. The columns are those of docs.
     """
     found = near_duplicates(docs, id_col, text_col, size) if found is None else staged(found, "found")
-    lost = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    lost = staged(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "lost")
     kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
