@@ -329,10 +329,11 @@ def decay_candidates(spark, d):
     return graph.decayed(nodes(spark, d), now())
 
 
-@query(f"WITH {S.NODES} SELECT id, access_count + 1 AS access_count, round(least(365.0::DOUBLE, stability * 1.5::DOUBLE * pow(exp(-greatest({S.days(S.MOMENT, 'last_accessed')}, 0.001) / stability), -0.2::DOUBLE)), 2) AS stability FROM nodes WHERE id % 3 = 0")
+@query(f"WITH {S.NODES} SELECT id, access_count + (id % 3 = 0)::INT AS access_count, CASE WHEN id % 3 <> 0 THEN stability ELSE round(least(365.0::DOUBLE, stability * 1.5::DOUBLE * pow(exp(-greatest({S.days(S.MOMENT, 'last_accessed')}, 0.001) / stability), -0.2::DOUBLE)), 2) END AS stability FROM nodes")
 def fsrs_touch(spark, d):
+    """All nodes after every third was touched."""
     n = nodes(spark, d)
-    return lifecycle.touch(n, n.select("id").where("id % 3 = 0"), now()).where("id % 3 = 0").select("id", "access_count", "stability")
+    return lifecycle.touch(n, n.select("id").where("id % 3 = 0"), now()).select("id", "access_count", "stability")
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT user_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id IS NOT NULL),
@@ -461,10 +462,12 @@ def undo_merge(spark, d):
     return lifecycle.undo(n2, e2, history)[1].select("source_id", "target_id", "edge_type", "weight")
 
 
-@query(f"""WITH {S.NODES}, {S.knn(6)}, p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS score FROM knn GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {S.NODES}, {S.knn(6)}, p AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS score FROM knn GROUP BY 1, 2),
 k AS (SELECT id, CASE tier WHEN 'core' THEN 3 WHEN 'working' THEN 2 ELSE 1 END AS r, length(content) AS n, updated FROM nodes),
-s AS (SELECT p.*, u AS node, row_number() OVER (PARTITION BY u ORDER BY score DESC, a, b) AS rn FROM (SELECT p.*, unnest([a, b]) AS u FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b) p),
-t AS (SELECT a, b, score FROM s WHERE rn = 1 GROUP BY a, b, score HAVING count(*) = 2)
+o AS (SELECT p.*, row_number() OVER (ORDER BY score DESC, a, b) AS rn FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b),
+g AS (SELECT 0::BIGINT AS rn, CAST([] AS BIGINT[]) AS taken, false AS ok UNION ALL
+SELECT o.rn, CASE WHEN list_has_any(taken, [a, b]) THEN taken ELSE list_concat(taken, [a, b]) END, NOT list_has_any(taken, [a, b]) FROM g JOIN o ON o.rn = g.rn + 1),
+t AS (SELECT a, b, score FROM g JOIN o USING (rn) WHERE ok)
 SELECT CASE WHEN w THEN a ELSE b END AS keep, CASE WHEN w THEN b ELSE a END AS dropped, score FROM (SELECT t.*, (x.r, x.n, x.updated) >= (y.r, y.n, y.updated) AS w FROM t JOIN k x ON x.id = a JOIN k y ON y.id = b)""")
 def merge_plan(spark, d):
     near = knn(vectors(spark, d), 6)
@@ -482,15 +485,16 @@ def tier_steps(spark, d):
     return nodes(spark, d).select("id", lifecycle.stepped(F.col("tier"), True).alias("up"), lifecycle.stepped(F.col("tier"), False).alias("down"), lifecycle.seeded_stability(F.col("access_count")).alias("seeded"))
 
 
-@query(f"WITH {S.NODES} SELECT id, {S.MOMENT} AS valid_until, content || chr(10) || chr(10) || '[Outdated: superseded]' AS content FROM nodes WHERE id % 25 = 0")
+@query(f"WITH {S.NODES} SELECT id, CASE WHEN id % 25 = 0 THEN {S.MOMENT} ELSE valid_until END AS valid_until, CASE WHEN id % 25 = 0 THEN content || chr(10) || chr(10) || '[Outdated: superseded]' ELSE content END AS content FROM nodes")
 def mark_outdated(spark, d):
+    """All nodes after some were marked."""
     n = nodes(spark, d)
-    return lifecycle.mark_outdated(n, n.select("id").where("id % 25 = 0"), now(), "superseded").where("id % 25 = 0").select("id", "valid_until", "content")
+    return lifecycle.mark_outdated(n, n.select("id").where("id % 25 = 0"), now(), "superseded").select("id", "valid_until", "content")
 
 
-@query(f"WITH {S.NODES} SELECT 'touch' AS operation, id AS node_id FROM nodes WHERE id % 5 = 0 ORDER BY id DESC LIMIT 20")
+@query(f"WITH {S.NODES} SELECT 'touch' AS operation, id AS node_id FROM nodes ORDER BY id DESC LIMIT 20")
 def audit_entries(spark, d):
-    log = lifecycle.audit("touch", nodes(spark, d).where("id % 5 = 0"), now())
+    log = lifecycle.audit("touch", nodes(spark, d), now())
     return lifecycle.audit_log(log, operation="touch").select("operation", "node_id")
 
 

@@ -73,8 +73,12 @@ def new_items(near: DataFrame, threshold: float = PARAMS.auto_merge) -> DataFram
 def merge_plan(duplicates: DataFrame, nodes: DataFrame, auto: float = PARAMS.auto_merge) -> DataFrame:
     """(keep, drop, score, auto): the keeper is of the higher tier, then longer, then newer, then of the smaller id.
 
-    A node merges at most once: a pair is taken if no better pair holds either of its nodes.
+    A node merges at most once, best pairs first: a pair is taken if no better pair holds either of its nodes, and
+    a pair that loses to one that is itself not taken is free again. Each round takes all pairs that are the best
+    of both their nodes and drops those that meet them, until no pair is left; rounds are written tables.
     """
+    from recollect.sources.tables import staged
+
     rank = F.when(F.col("tier") == "core", 3).when(F.col("tier") == "working", 2).otherwise(1)
     ranked = nodes.select("id", rank.alias("r"), F.length("content").alias("n"), "updated")
     p = _with(duplicates, ranked, "r", "n", "updated")
@@ -82,9 +86,15 @@ def merge_plan(duplicates: DataFrame, nodes: DataFrame, auto: float = PARAMS.aut
     keep = F.when(a >= b, F.col("a")).otherwise(F.col("b"))
     named = p.select(keep.alias("keep"), F.when(keep == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("drop"), "score", "a", "b")
     order = [F.desc("score"), "a", "b"]
-    sides = named.withColumn("node", F.explode(F.array("a", "b"))).withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy(*order)))
-    best = sides.where("_r = 1").groupBy("keep", "drop", "score").count().where("count = 2")
-    return best.select("keep", "drop", "score", (F.col("score") >= auto).alias("auto"))
+    left, out = staged(named, "pairs"), []
+    while not left.isEmpty():
+        sides = left.withColumn("node", F.explode(F.array("a", "b"))).withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy(*order)))
+        best = sides.where("_r = 1").groupBy("keep", "drop", "score", "a", "b").count().where("count = 2").drop("count")
+        out.append(staged(best, "best"))
+        gone = out[-1].select(F.explode(F.array("a", "b")).alias("g"))
+        left = staged(left.join(gone, left.a == gone.g, "left_anti").join(gone, left.b == gone.g, "left_anti"), "pairs")
+    taken = reduce(DataFrame.union, out) if out else named.limit(0)
+    return taken.select("keep", "drop", "score", (F.col("score") >= auto).alias("auto"))
 
 
 def clusters(near: DataFrame, nodes: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
