@@ -22,7 +22,37 @@ def test_each_content_is_handled_once(spark, tmp_path):
     run()
     (source / "a@3.md").write_text("second content of a")
     run()
-    assert handled == [("a", "first content of a"), ("b", "content of b here"), ("a", "second content of a")]
+    (source / "a@4.md").write_text("first content of a")
+    run()
+    assert handled == [("a.md", "first content of a"), ("b.md", "content of b here"), ("a.md", "second content of a"), ("a.md", "first content of a")]
+    seen = ingest.last_seen(spark, str(state))
+    assert {r.path for r in seen.collect()} == {"a.md", "b.md"}
+    assert [r.path for r in ingest.gone(seen, spark.createDataFrame([("a.md",)], "path string")).collect()] == ["b.md"]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    source = tmp_path / "in put"
+    names = ["a/notes.md", "b/notes@7.md", "x.v1.md", "x.v2.md", "c+d/100%.md"]
+    for n in names:
+        (source / n).parent.mkdir(parents=True, exist_ok=True)
+        (source / n).write_text(f"the content of {n}")
+    handled = []
+    for _ in range(2):
+        ingest.ingest(ingest.new_versions(spark, str(source)), str(tmp_path / "state"), str(tmp_path / "check"), lambda b: handled.extend(r.path for r in b.collect()), once=True).awaitTermination()
+    assert sorted(handled) == ["a/notes.md", "b/notes.md", "c+d/100%.md", "x.v1.md", "x.v2.md"]
+
+
+def test_state_is_written_whole_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+    source, state = tmp_path / "in", tmp_path / "state"
+    source.mkdir()
+    handled = []
+    for k, n in enumerate(["a@1.md", "b@1.md", "a@2.md"]):
+        (source / n).write_text("the same content" if k < 2 else "another content")
+        ingest.ingest(ingest.new_versions(spark, str(source)), str(state), str(tmp_path / "check"), lambda b: handled.extend(r.path for r in b.collect()), once=True).awaitTermination()
+    assert handled == ["a.md", "b.md", "a.md"]
+    assert sorted(p.name for p in state.iterdir()) == ["000000000000", "000000000001-whole", "000000000002"]
+    assert {(r.path, r.number) for r in ingest.last_seen(spark, str(state)).collect()} == {("a.md", 2), ("b.md", 1)}
 
 
 def test_prompt_buffers(spark, tmp_path):
