@@ -171,6 +171,34 @@ def test_markdown(spark):
     assert [tuple(c) for c in r[0].connections] == [("n2", "supports", 0.7)] and r[0].last_accessed == datetime(2024, 1, 1, 10)
 
 
+def test_markdown_on_disk(spark, tmp_path):
+    from recollect.model import NODE_SCHEMA
+
+    t = datetime(2024, 1, 2, 3, 4, 5)
+    titles = {"n1": "it's \"so\": a \\\\ b", "a/b": "two\nlines", ".x": "# no comment", "_y": "null", "ü ß": "'quoted'", "l" * 300: "---", "n%41": ""}
+    tags = {"n1": ["a, b", "c]d", 'e"f', "g'h"], ".x": ["x"]}
+    rows = [(i, "fact", "core", "me: you", None, v, f"content\n---\nof {i}", t, t, t, 3, 0.1, 0.5, None, 1e-5, None, tags.get(i, []), None) for i, v in titles.items()]
+    n = spark.createDataFrame(rows, NODE_SCHEMA)
+    e = spark.createDataFrame([("n1", "a/b", "supports", 0.7), ("n1", ".x", "part_of", 1e-7), (".x", "n1", "defines", 1.0), ("gone", "n1", "defines", 1.0)], "source_id string, target_id string, edge_type string, weight double")
+    folder = f"file://{tmp_path}/notes"
+    for _ in range(2):  # written again, the files are replaced
+        assert markdown.write(markdown.connected(n, e), folder) == len(titles)
+    assert len(list((tmp_path / "notes").iterdir())) == len(titles)
+    back = markdown.read(spark, folder)
+    got = {r.id: r for r in back.collect()}
+    assert {i: r.title for i, r in got.items()} == {**titles, "n%41": "content"}
+    assert {i: r.tags for i, r in got.items() if r.tags} == tags
+    assert all(r.content == f"content\n---\nof {i}" and (r.source, r.space, r.created, r.access_count, r.confidence, r.stability) == ("me: you", None, t, 3, 0.1, 1e-5) for i, r in got.items())
+    assert {tuple(r) for r in markdown.edges_of(back).collect()} == {("n1", "a/b", "supports", 0.7), ("n1", ".x", "part_of", 1e-7), (".x", "n1", "defines", 1.0)}
+    assert markdown.write(n.limit(0), folder) == 0
+
+
+def test_markdown_heads(spark):
+    texts = ["---\r\nid: a\r\ntags:\r\n- x\r\n- 'y z'\r\nid: b\r\n---\r\nbody", "---\nid: 'it''s'\ntags: [p, 'q, r', \"s\\u0041\"]\n---", "---\n---\nno id", "---\nid: c\nno end", "", None]
+    got = markdown.parse(spark.createDataFrame([(x,) for x in texts], "text string")).collect()
+    assert [(r.id, r.tags, r.content) for r in got] == [("b", ["x", "y z"], "body"), ("it's", ["p", "q, r", "sA"], "")]
+
+
 def test_transcripts(spark, tmp_path):
     lines = ['{"type": "user", "message": {"content": "hi"}}', "not json", '{"type": "assistant", "message": {"content": [{"type": "text", "text": " yes "}, {"type": "tool_use", "id": 1}]}}', '{"type": "user", "message": {"content": [{"type": "tool_result", "text": "x"}]}}', '{"type": "summary"}']
     (tmp_path / "-home-me-api").mkdir()
