@@ -629,12 +629,13 @@ def markdown_round_trip(spark, d):
     return back.select("id", "type", "tier", "space", "title", "created", "access_count", "confidence", "importance", "stability", F.array_join("tags", ",").alias("tags"), "content_hash")
 
 
-@query(f"WITH {S.EDGES}, more AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges) SELECT DISTINCT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, edge_type FROM more WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.target_id AND d.doc_id % 2 = 0) AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.source_id AND d.doc_id % 2 = 0)")
+@query(f"WITH {S.EDGES}, more AS (SELECT source_id, target_id, edge_type FROM edges UNION ALL SELECT target_id, source_id, edge_type FROM edges UNION ALL SELECT source_id, -1 - target_id, edge_type FROM edges) SELECT DISTINCT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, edge_type FROM more WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.target_id) AND EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = more.source_id)")
 def edges_indexed(spark, d):
-    """Edges given in both directions, of which one stays where the ends exist."""
+    """Edges given in both directions, of which one stays, and as many to ids that no node has, which go."""
     e = edges(spark, d)
-    twice = e.union(e.select("target_id", "source_id", "edge_type", "weight", "created"))
-    n = nodes(spark, d).where("id % 2 = 0")
+    lost = e.withColumn("target_id", -1 - F.col("target_id"))
+    twice = e.union(e.select("target_id", "source_id", "edge_type", "weight", "created")).union(lost)
+    n = nodes(spark, d)
     there = tables.valid_edges(twice.join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*e.columns), n)
     return there.select("source_id", "target_id", "edge_type")
 
@@ -652,11 +653,16 @@ def streamed_access_counts(spark, d):
 
 
 def _drained(spark, counts: DataFrame) -> DataFrame:
-    """The rows of a stream in complete mode after all input, by way of a table of the session's catalogue in memory."""
-    name = f"drained_{abs(hash(str(counts.schema)))}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The rows of a stream in complete mode after all input, which each batch writes whole to the shared folder."""
+    path, last = tables.scratch_path(spark, "counts"), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [f"{path}/{number}"]
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", tables.scratch_path(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(*last) if last else spark.createDataFrame([], counts.schema)
 
 
 __all__ = ["FLAGSHIP", "NODE_TYPES", "ORACLE", "QUERIES", "days_between", "dot"]

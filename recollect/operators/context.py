@@ -103,7 +103,7 @@ def whisper(results: DataFrame, nodes: DataFrame, identities: DataFrame, tempora
     r = results.where((F.col("score") >= least) | (F.col("source") == "temporal"))
     if not temporal:
         r = r.where(F.col("score") >= params.injection_gate)
-    d = nodes.join(F.broadcast(r.select("id", "score", "source")), "id").join(F.broadcast(identities.select("id", F.lit(True).alias("_own"))), "id", "left").withColumn("own", F.coalesce("_own", F.lit(False))).drop("_own")
+    d = nodes.join(F.broadcast(r.select("id", "score", "source")), "id").join(identities.select("id", F.lit(True).alias("_own")), "id", "left").withColumn("own", F.coalesce("_own", F.lit(False))).drop("_own")
     everything = W.partitionBy(F.lit(1))
     topical, best_own = F.max((~F.col("own")).cast("int")).over(everything), F.max(F.when(F.col("own"), F.col("score"))).over(everything)
     if not identity_only:
@@ -149,7 +149,7 @@ def core_context(nodes: DataFrame, edges: DataFrame, self_id, space: str | None,
     Nodes whose id or title an identity memory has are left out of the other sections.
     """
     live = nodes.where(alive(now) & F.col("tier").isin("core", "working"))
-    own = live.join(F.broadcast(identity_ids(nodes, edges, self_id)), "id", "left_semi").where("tier = 'core'")
+    own = live.join(identity_ids(nodes, edges, self_id), "id", "left_semi").where("tier = 'core'")
     rest = live.join(own.select("id"), "id", "left_anti").join(own.select("title").where("title is not null").distinct(), "title", "left_anti")
     picked = by_space_and_importance(rest, space, cap).join(rest.select("id", "title", "tier"), "id")
     return own.select(F.lit("identity").alias("section"), "id", "title", "importance").union(picked.select(F.col("tier").alias("section"), "id", "title", "importance"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollect.functions.text import is_question, words
+from recollect.functions.text import QUESTION, words
 from recollect.model import PARAMS, Params, days_between
 from recollect.operators.vectors import top_k
 
@@ -146,7 +146,7 @@ def recall(nodes: DataFrame, vectors: DataFrame | None, query: str, vector: list
     base score before the boosts reorder, so a boost lifts no row past the cut. Without vectors the full-text
     list stands alone. All joins meet at most 2 * overfetch * limit candidates.
     """
-    asks = nodes.sparkSession.range(1).select(is_question(F.lit(query))).first()[0]
+    asks = re.search(QUESTION, query or "", re.ASCII) is not None
     text_weight, vector_weight = (params.fts_weight * params.question_fts_scale, params.vector_weight * params.question_vector_scale) if asks else (params.fts_weight, params.vector_weight)
     k = limit * overfetch
     text = ranked(bm25(nodes, query_terms(query), params, stem=stem), "score", k)

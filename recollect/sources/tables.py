@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions.text import content_hash
@@ -15,12 +15,8 @@ from recollect.functions.text import content_hash
 _OWN: list[str] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; cuts the lineage of loops.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="recollect-"))
@@ -28,6 +24,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     sc = spark.sparkContext
     jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again; cuts the lineage of loops."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
