@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, decontaminate, pii, quality, simhash, spotsigs, substring, toxicity, warc
+from recollect.llm import bpe, chat, decontaminate, periodic, pii, quality, simhash, spotsigs, substring, toxicity, warc
 
 
 #: The vocabulary file of op8 and of the pipeline; a path on the driver.
@@ -126,6 +126,35 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the texts, by the checksum of the id, the words repeat from some word on."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", code.alias("h"), F.floor(code / 10).alias("g"))
+    again = r"""array_join(transform(array(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '')), w ->
+        array_join(transform(array(CAST(g % greatest(size(w), 1) AS INT)), a -> array_join(transform(array(1 + CAST(floor((size(w) - a) / (3 + g % 8)) AS INT)), p ->
+        array_join(transform(w, (x, i) -> if(i < a, x, w[a + (i - a) % p])), ' ')), '')), '')), '')"""
+    return split.select("doc_id", F.when(F.col("h") % 10 == 0, F.expr(again)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its runs of repeated words, the longest of them, and the text without the repetitions."""
+    found = periodic.find_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", best)
+    length = -F.col("best.less")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
@@ -137,6 +166,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substring": op9_substring,
     "op10_spotsigs": op10_spotsigs,
+    "op11_periodic": op11_periodic,
 }
 
 ORACLE = {
