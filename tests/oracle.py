@@ -25,9 +25,9 @@ def spark_rows(df):
     return names, sorted(str(tuple(plain(r[c]) for c in names)) for r in df.collect())
 
 
-def duck_rows(sql, folder):
+def duck_rows(sql, folder, tables=TABLES):
     c = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     rel = c.sql(sql)
     cols, names = list(rel.columns), sorted(rel.columns)
