@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, decontaminate, periodic, pii, quality, simhash, spotsigs, substring, toxicity, warc
+from recollect.llm import bpe, chat, decontaminate, periodic, pii, quality, simhash, spotsigs, substring, toxicity, trie, warc
 
 
 #: The vocabulary file of op8 and of the pipeline; a path on the driver.
@@ -155,6 +155,27 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and all of these: h first turns of another one, then the own ones after h."""
+    own = turns.where("position = 0").select("conv_id", "n_turns")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    plan = own.select("conv_id", "n_turns", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("donor"))
+    plan = plan.join(own.select(F.col("conv_id").alias("donor"), F.col("n_turns").alias("given")), "donor", "left")
+    plan = plan.withColumn("taken", F.least("h", F.coalesce("given", F.lit(0)))).withColumn("length", F.expr("taken + greatest(n_turns - h, 0)"))
+    heads = turns.where("position < 8").select(F.col("conv_id").alias("donor"), "position", "key", "size")
+    given = plan.join(heads, "donor").where("position < taken").select("conv_id", "position", "key", "size", F.col("length").alias("n_turns"))
+    parts = turns.select("conv_id", "part").distinct().join(plan.select("conv_id", "h", "taken", "length"), "conv_id")
+    kept = turns.drop("n_turns").join(parts, ["conv_id", "part"]).where("position >= h")
+    kept = kept.select("conv_id", F.expr("position - h + taken").alias("position"), "key", "size", F.col("length").alias("n_turns"))
+    return given.unionByName(kept), plan.select("conv_id", F.col("length").alias("n_turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per node of the trie of rebuilt conversations its members, and its subtree's leaves and saved bytes."""
+    found = trie.prefix_nodes(*_spliced(trie.order_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_decontaminate": op2_decontaminate,
@@ -167,6 +188,7 @@ QUERIES = {
     "op9_substring": op9_substring,
     "op10_spotsigs": op10_spotsigs,
     "op11_periodic": op11_periodic,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE = {
@@ -187,6 +209,22 @@ list_reduce(list_transform(fives, lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ23
   || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (f >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', f % 32 + 1, 1)), lambda a, b: a || b) AS payload_digest,
 CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
 FROM v""",
+    "op13_prefix_trie": r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 5 AS donor, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h FROM ids),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS k FROM conversations),
+head AS (SELECT h.c, p, k FROM h JOIN o ON o.c = h.donor AND p < h), n AS (SELECT c, count(*) AS n FROM head GROUP BY c),
+r AS (SELECT c, p, k FROM head UNION ALL SELECT h.c, p - h + coalesce(n, 0), k FROM h JOIN o ON o.c = h.c AND p >= h LEFT JOIN n ON n.c = h.c),
+l AS (SELECT h.c, list(k ORDER BY p) FILTER (k IS NOT NULL) AS ks, count(k) AS n FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+x AS (SELECT c, n, d, md5(CAST(coalesce(ks, [])[1:d] AS VARCHAR) || '|' || coalesce(list_aggregate(list_transform(ks[1:d], lambda k: len(k.r) || ':' || len(k.t)), 'string_agg', ','), '')) AS id,
+  CASE WHEN d > 0 THEN octet_length(encode(ks[d].t)) ELSE 0 END AS size FROM (SELECT *, unnest(range(n + 1)) AS d FROM l)),
+g AS (SELECT id, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n) AS ends FROM x GROUP BY id, d),
+pairs AS (SELECT DISTINCT a.id AS top, b.id AS low, b.d - a.d AS far FROM x a JOIN x b ON a.c = b.c AND b.d >= a.d),
+kids AS (SELECT top AS id, count(*) FILTER (far = 1) AS n_children FROM pairs GROUP BY top),
+s AS (SELECT top AS id, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM pairs JOIN g ON g.id = low JOIN kids ON kids.id = low GROUP BY top)
+SELECT g.conv_id, g.d AS depth, up.conv_id AS parent_conv_id, g.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN kids USING (id) JOIN s USING (id) LEFT JOIN (SELECT low, top FROM pairs WHERE far = 1) e ON e.low = g.id LEFT JOIN g up ON up.id = e.top""",
     "op2_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
