@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, decontaminate, periodic, pii, quality, simhash, spotsigs, substring, toxicity, trie, warc
+from recollect.llm import bpe, chat, decontaminate, extract, periodic, pii, quality, simhash, spotsigs, substring, toxicity, trie, warc
 
 
 #: The vocabulary file of op8 and of the pipeline; a path on the driver.
@@ -155,6 +155,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page the main text, from the container that its host's pages agree on."""
+    found = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def _spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns of the rebuilt conversations, and all of these: h first turns of another one, then the own ones after h."""
     own = turns.where("position = 0").select("conv_id", "n_turns")
@@ -188,6 +194,7 @@ QUERIES = {
     "op9_substring": op9_substring,
     "op10_spotsigs": op10_spotsigs,
     "op11_periodic": op11_periodic,
+    "op12_extract": op12_extract,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
