@@ -289,7 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
         found = found.join(F.broadcast(leading), "host", "left")
     else:  # a host of many pages is dealt over the salts
         salted = leading.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = found.withColumn("salt", F.pmod(F.xxhash64(url, html), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        found = found.withColumn("salt", F.pmod(F.xxhash64(*plain.values()), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     keep = [c for name, c in plain.items() if name not in ("html", "text")]
     slim = found.select(*keep, html, "paths")
 
