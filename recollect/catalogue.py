@@ -15,7 +15,7 @@ from recollect.model import NODE_TYPES, PARAMS, days_between, edges, events, nod
 from recollect.operators import context, graph, lifecycle, pairs, search
 from recollect.operators.vectors import dot, knn, knn_approximate, top_k
 from recollect.session import prepare
-from recollect.sources import markdown, tables, transcripts
+from recollect.sources import fulltext, markdown, tables, transcripts
 from recollect.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,6 +188,11 @@ def _vector(spark, d, vec_id: int) -> list[float]:
     return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
 
 
+def _index(spark, d, **options) -> fulltext.TextIndex:
+    """The stored postings of the folder's nodes, written at the first query that asks for them."""
+    return fulltext.stored(spark, d, lambda: nodes(spark, d).select("id", "title", "content", "tags"), **options)
+
+
 TERMS = ["reation", "token"]
 LOOSE = replace(PARAMS, similarity_threshold=0.1, min_result_score=0.0)
 
@@ -209,22 +214,22 @@ def knn_approximate_join(spark, d):
 
 @query(f"WITH {S.NODES}, {S.bm25(TERMS, mode='and')} SELECT id, score FROM found")
 def bm25_and(spark, d):
-    return search.bm25(nodes(spark, d), TERMS, mode="and")
+    return _index(spark, d).search(TERMS, PARAMS.field_weights, "and")
 
 
 @query(f"WITH {S.NODES}, {S.bm25(TERMS, mode='or')} SELECT id, score FROM found")
 def bm25_or(spark, d):
-    return search.bm25(nodes(spark, d), TERMS, mode="or")
+    return _index(spark, d).search(TERMS, PARAMS.field_weights, "or")
 
 
 @query(f"WITH {S.NODES}, {S.bm25(['the', 'nosuchword'])} SELECT id, score FROM found")
 def bm25_fallback(spark, d):
-    return search.bm25(nodes(spark, d), ["the", "nosuchword"])
+    return _index(spark, d).search(["the", "nosuchword"], PARAMS.field_weights)
 
 
 @query()
 def bm25_porter(spark, d):
-    return search.bm25(nodes(spark, d), ["erring", "tokens"], mode="or", fold=True, stem=stemming)
+    return _index(spark, d, fold=True, stem=stemming).search(["erring", "tokens"], PARAMS.field_weights, "or")
 
 
 @query(f"WITH {S.NODES}, {S.tokens('content').join(['t AS (SELECT id, ', ' AS w FROM nodes)'])} SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, unnest(w) AS term FROM t) GROUP BY term")
@@ -237,13 +242,13 @@ def term_statistics(spark, d):
 b AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM (SELECT vec_id AS id, round({S.dot('e.embedding', 'qv.embedding')}, 6) AS similarity FROM embeddings e, qv) QUALIFY rank <= 30)
 SELECT id, round(sum(p), 9) AS rrf FROM (SELECT id, 0.4::DOUBLE / (60 + rank) AS p FROM a UNION ALL SELECT id, 0.6::DOUBLE / (60 + rank) FROM b) GROUP BY id""")
 def rrf_fusion(spark, d):
-    a = search.ranked(search.bm25(nodes(spark, d), TERMS, mode="or"), "score", 30)
+    a = search.ranked(_index(spark, d).search(TERMS, PARAMS.field_weights, "or"), "score", 30)
     b = search.ranked(top_k(vectors(spark, d), _vector(spark, d, 0), 30), "similarity", 30)
     return search.fuse([(a, 0.4), (b, 0.6)]).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 def _recalled(spark, d, q: str, **options) -> DataFrame:
-    return search.recall(nodes(spark, d), vectors(spark, d), q, _vector(spark, d, 0), now(), params=LOOSE, **options)
+    return search.recall(nodes(spark, d), vectors(spark, d), q, _vector(spark, d, 0), now(), params=LOOSE, index=_index(spark, d), **options)
 
 
 @query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1)} SELECT id, tier, type, score FROM result")

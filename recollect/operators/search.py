@@ -21,7 +21,7 @@ in on at by with from as into about what which who whom when where why how all a
 some such than too very just because also
 """.split()
 IDENTITY_WORDS = ["user", "i", "me", "my", "we", "our", "you", "your"]
-TOKEN = r"[\p{L}\p{N}]+"
+BETWEEN = r"[^\p{L}\p{N}]+"
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 K1, B = 1.2, 0.75
 
@@ -35,12 +35,17 @@ def query_terms(query: str) -> list[str]:
 
 def tokens(text: Column, fold: bool = False) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_extract_all(F.translate(low, *ACCENTS) if fold else low, F.lit(f"({TOKEN})"))
+    return F.array_remove(F.split(F.translate(low, *ACCENTS) if fold else low, BETWEEN), "")
+
+
+def phrase(term: str) -> list[str]:
+    """The words of a term; more than one are a phrase."""
+    return re.findall(r"[^\W_]+", term)
 
 
 def _occurrences(tokens: Column, term: str) -> Column:
     """How often a term stands among the tokens; a term of several words is a phrase."""
-    parts = re.findall(r"[^\W_]+", term)
+    parts = phrase(term)
     if len(parts) == 1:
         return F.size(F.filter(tokens, lambda t: t == parts[0]))
     here = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - len(parts) + 1, F.lit(0))) for k in range(len(parts))]
@@ -68,13 +73,19 @@ def bm25(nodes: DataFrame, terms: list[str], params: Params = PARAMS, mode: str
         t, terms = stem(t, ["f0", "f1", "f2"]), stem(None, terms)
     counts = [sum((F.lit(w) * _occurrences(F.col(f"f{k}"), term) for k, w in enumerate(params.field_weights)), F.lit(0.0)) for term in terms]
     t = t.select("id", (F.size("f0") + F.size("f1") + F.size("f2")).alias("n"), F.array(*counts).alias("tf"))
+    return scored(t, len(terms), mode)
+
+
+def scored(counts: DataFrame, terms: int, mode: str, docs: float | None = None, mean: float | None = None) -> DataFrame:
+    """(id, score) from counts (id, n, tf: weighted count of each term); unless given, docs and mean are those of counts."""
     every = F.forall("tf", lambda x: x > 0)
-    found = [F.sum(F.when(F.col("tf")[k] > 0, 1).otherwise(0)).alias(f"d{k}") for k in range(len(terms))]
-    stats = t.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.max(every).alias("some_all"), *found)
-    t = t.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+    found = [F.sum(F.when(F.col("tf")[k] > 0, 1).otherwise(0)).alias(f"d{k}") for k in range(terms)]
+    known = [F.lit(docs), F.lit(mean)] if docs is not None else [F.count("*"), F.avg("n")]
+    stats = counts.agg(known[0].alias("docs"), known[1].alias("mean"), F.max(every).alias("some_all"), *found)
+    t = counts.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
     wanted = {"and": every, "or": F.lit(True), "and_or": every | ~F.col("some_all")}[mode]
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(terms):
         ratio = (F.col("docs") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5)
         idf = F.when(F.log(ratio) > 0, F.log(ratio)).otherwise(1e-6)
         f = F.col("tf")[k]
@@ -139,17 +150,19 @@ def wanted(types=None, tiers=None, spaces=None, tags=None, after: Column | None
     return out
 
 
-def recall(nodes: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, now: Column, limit: int = 10, filters: Column | None = None, params: Params = PARAMS, overfetch: int = 3, stem=None) -> DataFrame:
+def recall(nodes: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, now: Column, limit: int = 10, filters: Column | None = None, params: Params = PARAMS, overfetch: int = 3, stem=None, index=None) -> DataFrame:
     """Hybrid search: id, score, source and the node's columns, best first, at most `limit` rows.
 
     The candidates are the best of either list; filters run after the lists are cut, and `limit` cuts by the
     base score before the boosts reorder, so a boost lifts no row past the cut. Without vectors the full-text
-    list stands alone. All joins meet at most 2 * overfetch * limit candidates.
+    list stands alone. All joins meet at most 2 * overfetch * limit candidates. With a stored `index` of the
+    nodes' texts (sources.fulltext) the terms are looked up there, without reading the texts.
     """
     asks = re.search(QUESTION, query or "", re.ASCII) is not None
     text_weight, vector_weight = (params.fts_weight * params.question_fts_scale, params.vector_weight * params.question_vector_scale) if asks else (params.fts_weight, params.vector_weight)
     k = limit * overfetch
-    text = ranked(bm25(nodes, query_terms(query), params, stem=stem), "score", k)
+    terms = query_terms(query)
+    text = ranked(index.search(terms, params.field_weights) if index else bm25(nodes, terms, params, stem=stem), "score", k)
     lists, near = [(text, text_weight)], None
     if vectors is not None and vector is not None:
         near = ranked(top_k(vectors, vector, k, params.similarity_threshold), "similarity", k)
@@ -158,7 +171,9 @@ def recall(nodes: DataFrame, vectors: DataFrame | None, query: str, vector: list
     fused = fused.join(near.select("id", "similarity"), "id", "left") if near is not None else fused.withColumn("similarity", F.lit(None).cast("double"))
     candidates = fused.select("id", normalised(F.col("rrf"), W.partitionBy(F.lit(1)), params).alias("rrf"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     question = F.lit(asks)
-    joined = nodes.join(F.broadcast(candidates), "id")  # at most 2k rows
+    few = candidates.collect()  # at most 2k rows; their ids reach the scan of the nodes
+    candidates = nodes.sparkSession.createDataFrame(few, candidates.schema)
+    joined = nodes.where(F.col("id").isin([r["id"] for r in few])).join(F.broadcast(candidates), "id")
     base = F.round(blended(F.col("rrf"), F.col("similarity"), F.length("content"), question, params), 9)
     kept = joined.withColumn("base", base).where(alive(now) & (filters if filters is not None else F.lit(True)))
     cut = kept.orderBy(F.desc("base"), "id").limit(limit)
