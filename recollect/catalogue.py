@@ -12,7 +12,7 @@ from recollect import sqltext as S
 from recollect.functions import temporal, text
 from recollect.functions.porter import stemming
 from recollect.model import NODE_TYPES, PARAMS, days_between, edges, events, nodes, now, table, vectors
-from recollect.operators import context, graph, lifecycle, pairs, search
+from recollect.operators import batch, context, graph, lifecycle, pairs, search
 from recollect.operators.vectors import dot, knn, knn_approximate, top_k
 from recollect.session import prepare
 from recollect.sources import fulltext, markdown, tables, transcripts
@@ -261,6 +261,25 @@ def hybrid_recall_question(spark, d):
     return _recalled(spark, d, "what is the reation token").select("id", "score")
 
 
+PROMPTS = f"""SELECT conv_id * 1000 + turn AS pid, CASE WHEN conv_id % 10 = 3 THEN 'what did we do' WHEN conv_id % 5 = 2 THEN 'what is ' || text ELSE text END AS query,
+CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} - INTERVAL 31 DAY WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 60 DAY END AS after, CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 30 DAY END AS before,
+conv_id % 10 = 3 AS only_time, CASE WHEN conv_id % 4 > 0 THEN embedding END AS embedding FROM conversations LEFT JOIN embeddings ON vec_id = conv_id WHERE role = 'user'"""
+
+
+def _prompts(spark, d) -> DataFrame:
+    """What users say, some of it with time phrases or as a question; the vector of the conversation's number stands for it."""
+    c, text = table(spark, d, "conversations").where("role = 'user'"), F.col("text")
+    said = F.when(F.col("conv_id") % 10 == 3, "what did we do in the past 31 days").when(F.col("conv_id") % 5 == 2, F.concat(F.lit("what is "), text)).when(F.col("conv_id") % 5 == 1, F.concat(text, F.lit(" last month"))).otherwise(text)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding").where("conv_id % 4 > 0")
+    return c.join(v, "conv_id", "left").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), said.alias("prompt"), "embedding")
+
+
+@query(f"WITH {S.NODES}, {S.EDGES}, {S.recall_all(PROMPTS, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)} SELECT pid AS prompt_id, id, score, source, activated_by FROM activated")
+def recall_prompts(spark, d):
+    found = batch.recall_all(_prompts(spark, d), nodes(spark, d), vectors(spark, d), _index(spark, d), edges(spark, d), now(), params=LOOSE)
+    return found.select("prompt_id", "id", "score", "source", "activated_by")
+
+
 @query(f"WITH {S.NODES}, {S.recall(TERMS, 'reation token', False, 0, 10, 0.1, condition="tier IN ('core', 'working') AND list_has_any(tags, ['en'])")} SELECT id, score FROM result")
 def hybrid_filters(spark, d):
     return _recalled(spark, d, "reation token", filters=search.wanted(tiers=["core", "working"], tags=["en"])).select("id", "score")

@@ -86,7 +86,7 @@ class TextIndex:
     def _write_postings(self, rows: DataFrame, path: str, docs: int) -> None:
         """Rows by bucket and term; a bucket is dealt over more tasks with more nodes, since each may hold one term."""
         salt = F.pmod(F.xxhash64("id"), F.lit(1 + docs // NODES_A_FILE))
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        n = self.parallelism()
         rows.repartition(n, "bucket", salt).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def remove(self, ids: DataFrame) -> TextIndex:
@@ -147,6 +147,19 @@ class TextIndex:
         """(term, docs, n): live document and term frequencies, over all fields."""
         return self.postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.expr("tf0 + tf1 + tf2")).alias("n"))
 
+    def parallelism(self) -> int:
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def counts(self, keys: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+        """(key, id, n, tf): the weighted counts of many terms (key, parts: its words; several are a phrase)."""
+        split = keys.select("key", F.posexplode("parts").alias("k", "term"), F.size("parts").alias("parts")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
+        found = self.postings().join(split, ["bucket", "term"])
+        single = found.where("parts = 1").select("key", "id", "n", _sum(weights, lambda k: F.col(f"tf{k}")).alias("tf"))
+        starts = found.where("parts > 1").select("key", "id", "n", "parts", F.explode("places").alias("at"), "k").withColumn("at", F.col("at") - F.col("k"))
+        whole = starts.groupBy("key", "id", "n", "parts", "at").agg(F.count("*").alias("met")).where("met = parts")
+        phrases = whole.groupBy("key", "id", "n").agg(_sum(weights, lambda k: F.sum((F.floor(F.col("at") / SPAN) == k).cast("int"))).alias("tf"))
+        return single.unionByName(phrases)
+
     def search(self, query: list[str], weights: tuple[float, ...], mode: str = "and_or") -> DataFrame:
         """(id, score) as search.bm25 over the nodes, read from the buckets of the query's terms."""
         known = self._manifest()
@@ -200,12 +213,16 @@ def _bucket(term: Column, buckets: int) -> Column:
     return (F.crc32(F.encode(term, "UTF-8")) % buckets).cast("int")
 
 
+def _sum(weights: tuple[float, ...], count: Callable[[int], Column]) -> Column:
+    return reduce(Column.__add__, [F.lit(float(w)) * count(k) for k, w in enumerate(weights)])
+
+
 def _weighted(parts: list[str], words: list[str], weights: tuple[float, ...]) -> Column:
     """The weighted count of a term, or of a phrase from the places of its words."""
     if len(parts) == 1:
-        return reduce(Column.__add__, [F.lit(float(w)) * F.col(f"c{words.index(parts[0])}_{k}") for k, w in enumerate(weights)])
+        return _sum(weights, lambda k: F.col(f"c{words.index(parts[0])}_{k}"))
     both = reduce(F.array_intersect, [_shifted(F.col(f"p{words.index(w)}"), k) for k, w in enumerate(parts)])
-    return reduce(Column.__add__, [F.lit(float(w)) * F.coalesce(F.size(_inside(both, k)), F.lit(0)) for k, w in enumerate(weights)])
+    return _sum(weights, lambda k: F.coalesce(F.size(_inside(both, k)), F.lit(0)))
 
 
 def _shifted(places: Column, by: int) -> Column:

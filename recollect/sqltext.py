@@ -97,3 +97,39 @@ ba AS (SELECT n.*, round(CASE WHEN coalesce(similarity, 0) > 0 THEN (1 - {blend}
   FROM nodes n JOIN nm USING (id) LEFT JOIN vl USING (id) WHERE (valid_until IS NULL OR valid_until > {MOMENT}) AND ({condition})),
 cu AS (SELECT *, base * {boost} * (0.4::DOUBLE + 0.6::DOUBLE * confidence) AS adj FROM ba ORDER BY base DESC, id LIMIT {limit}),
 {name} AS (SELECT *, round(adj * CASE tier WHEN 'core' THEN 1.1::DOUBLE WHEN 'archival' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END + adj * 0.05::DOUBLE * exp(-greatest({days(MOMENT, "last_accessed")}, 0) * 0.6931471805599453::DOUBLE / 7.0::DOUBLE) + adj * 0.05::DOUBLE * ln(1 + access_count) / 3.044522437723423::DOUBLE, 6) AS score FROM cu)"""
+
+
+def recall_all(prompts: str, stop: list[str], identity: list[str], question: str, threshold: float, limit: int = 10, overfetch: int = 3) -> str:
+    """CTEs ending in `activated` for prompts(pid, query, after, before, only_time, embedding), as operators.batch computes it."""
+    k, asked = limit * overfetch, question.replace("'", "''").replace("(?i)", "")
+    pair = lambda f: f"len(list_filter(range(1, len({f})), lambda i: {f}[i] = 'about' AND {f}[i + 1] = 'self'))"
+    raw = rf"list_filter(regexp_split_to_array(lower(regexp_replace(query, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: w <> '')"
+    return f"""prompts AS ({prompts}), pr AS (SELECT *, regexp_matches(query, '{asked}', 'i') AS asks, {raw} AS raw FROM prompts),
+pl AS (SELECT *, list_filter(raw, lambda w: length(w) > 1) AS long, list_filter(raw, lambda w: length(w) > 1 AND NOT list_contains({text_list(stop)}, w)) AS topical FROM pr),
+pk AS (SELECT *, CASE WHEN len(topical) > 0 THEN topical ELSE long END AS own FROM pl),
+pt AS (SELECT pid, unnest(CASE WHEN len(own) > 0 AND list_has_any(raw, {text_list(identity)}) THEN list_append(own, 'about self') ELSE own END) AS term FROM pk),
+mt AS (SELECT pid, term, count(*) AS m FROM pt GROUP BY ALL), nt AS (SELECT pid, count(*) AS terms FROM mt GROUP BY pid),
+tk AS (SELECT id, {tokens("title")} AS ft, {tokens("content")} AS fc, {tokens("array_to_string(tags, ' ')")} AS fg FROM nodes),
+ln AS (SELECT id, len(ft) + len(fc) + len(fg) AS n FROM tk), st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, CAST(avg(n) AS DOUBLE) AS mean FROM ln),
+ps AS (SELECT term, id, sum(w)::DOUBLE AS tf FROM (SELECT id, unnest(ft) AS term, 1 AS w FROM tk UNION ALL SELECT id, unnest(fc), 5 FROM tk UNION ALL SELECT id, unnest(fg), 3 FROM tk) GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT 'about self', id, CAST({pair("ft")} + 5 * {pair("fc")} + 3 * {pair("fg")} AS DOUBLE) AS tf FROM tk) WHERE tf > 0),
+df AS (SELECT term, CASE WHEN ln((docs - d + 0.5) / (d + 0.5)) > 0 THEN ln((docs - d + 0.5) / (d + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT term, count(*) AS d FROM ps GROUP BY term), st),
+bm AS (SELECT pid, id, round(sum(m * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score, count(*) = any_value(terms) AS every
+  FROM mt JOIN nt USING (pid) JOIN ps USING (term) JOIN df USING (term) JOIN ln USING (id), st GROUP BY pid, id),
+tl AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS rank FROM (SELECT *, bool_or(every) OVER (PARTITION BY pid) AS some_all FROM bm) WHERE every OR NOT some_all QUALIFY rank <= {k}),
+vl AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY similarity DESC, id) AS rank FROM (SELECT pid, vec_id AS id, round({dot("e.embedding", "p.embedding")}, 6) AS similarity FROM embeddings e, prompts p WHERE p.embedding IS NOT NULL) WHERE similarity >= {threshold} QUALIFY rank <= {k}),
+fu AS (SELECT pid, id, sum(part) AS rrf FROM (SELECT pid, id, CASE WHEN asks THEN 0.4 * 0.3::DOUBLE ELSE 0.4::DOUBLE END / (60 + rank) AS part FROM tl JOIN pr USING (pid) UNION ALL SELECT pid, id, CASE WHEN asks THEN 0.6::DOUBLE * 1.5 ELSE 0.6::DOUBLE END / (60 + rank) FROM vl JOIN pr USING (pid)) GROUP BY pid, id),
+nm AS (SELECT pid, id, CASE WHEN hi > 0 AND hi - lo > hi * 0.05 THEN (rrf - lo) / (hi - lo) WHEN hi > 0 THEN rrf / hi ELSE rrf END AS rrf FROM (SELECT *, max(rrf) OVER (PARTITION BY pid) AS hi, min(rrf) OVER (PARTITION BY pid) AS lo FROM fu)),
+ba AS (SELECT n.*, pid, asks, query, CASE WHEN asks THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS bl, round(CASE WHEN coalesce(similarity, 0) > 0 THEN (1 - bl) * rrf + bl * similarity * CASE WHEN length(content) > 300 THEN greatest(0.1::DOUBLE, 300.0::DOUBLE / length(content)) ELSE 1.0::DOUBLE END ELSE rrf * 0.5::DOUBLE END, 9) AS base
+  FROM nodes n JOIN nm USING (id) JOIN pr USING (pid) LEFT JOIN vl USING (pid, id) WHERE (valid_until IS NULL OR valid_until > {MOMENT}) AND (after IS NULL OR created BETWEEN after AND before)),
+cu AS (SELECT *, list_distinct({words("query")}) AS asked, base * CASE WHEN asks OR len(asked) = 0 THEN 1.0 ELSE 1 + 2.0 * len(list_intersect(list_filter(asked, lambda w: length(w) > 2), list_distinct({words("title")}))) / len(asked) END * (0.4::DOUBLE + 0.6::DOUBLE * confidence) AS adj FROM ba QUALIFY row_number() OVER (PARTITION BY pid ORDER BY base DESC, id) <= {limit}),
+hy AS (SELECT pid, id, round(adj * CASE tier WHEN 'core' THEN 1.1::DOUBLE WHEN 'archival' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END + adj * 0.05::DOUBLE * exp(-greatest({days(MOMENT, "last_accessed")}, 0) * 0.6931471805599453::DOUBLE / 7.0::DOUBLE) + adj * 0.05::DOUBLE * ln(1 + access_count) / 3.044522437723423::DOUBLE, 6) AS score
+  FROM cu WHERE pid NOT IN (SELECT pid FROM prompts WHERE only_time AND after IS NOT NULL)),
+hv AS (SELECT pid, after, before, count(hy.id) AS have FROM prompts LEFT JOIN hy USING (pid) WHERE after IS NOT NULL GROUP BY ALL HAVING count(hy.id) < {limit}),
+mo AS (SELECT pid, id FROM (SELECT pid, n.id, have, row_number() OVER (PARTITION BY pid ORDER BY created DESC, n.id) AS r FROM hv JOIN nodes n ON n.created BETWEEN after AND before ANTI JOIN hy ON hy.pid = hv.pid AND hy.id = n.id) WHERE r <= {limit} - have),
+res AS (SELECT pid, id, score, 'hybrid' AS source FROM hy UNION ALL SELECT pid, id, 0.001::DOUBLE, 'temporal' FROM mo),
+sd AS (SELECT pid, id AS seed, score AS ss FROM res QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) <= 5),
+mx AS (SELECT pid, seed, other AS id, edge_type, round(ss * weight * {FACTOR} * 0.5::DOUBLE, 6) AS score FROM sd JOIN both_ways w ON w.id = seed ANTI JOIN res ON res.pid = sd.pid AND res.id = w.other),
+tp AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY pid, seed ORDER BY score DESC, id, edge_type) <= 3),
+ac AS (SELECT * FROM tp WHERE id IN (SELECT id FROM nodes) QUALIFY row_number() OVER (PARTITION BY pid, id ORDER BY score DESC, seed, edge_type DESC) = 1),
+activated AS (SELECT pid, id, score, source, CAST(NULL AS BIGINT) AS activated_by FROM res UNION ALL SELECT pid, id, score, CASE edge_type WHEN 'contradicts' THEN 'conflict' ELSE 'activated' END, seed FROM ac)"""
