@@ -12,7 +12,7 @@ from recollect import sqltext as S
 from recollect.functions import temporal, text
 from recollect.functions.porter import stemming
 from recollect.model import NODE_TYPES, PARAMS, days_between, edges, events, nodes, now, table, vectors
-from recollect.operators import batch, context, graph, lifecycle, pairs, search
+from recollect.operators import batch, context, graph, lifecycle, pairs, remember, search
 from recollect.operators.vectors import dot, knn, knn_approximate, top_k
 from recollect.session import prepare
 from recollect.sources import fulltext, markdown, tables, transcripts
@@ -261,6 +261,43 @@ def hybrid_recall_question(spark, d):
     return _recalled(spark, d, "what is the reation token").select("id", "score")
 
 
+_EARLIER = "(a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 AND b.vec_id < a.vec_id) OR (a.vec_id % 2 = 1 AND (b.vec_id % 2 = 0 OR b.vec_id < a.vec_id))"
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, near AS (SELECT a.vec_id AS id, b.vec_id AS other, round({S.dot('a.embedding', 'b.embedding')}, 6) AS s FROM embeddings a JOIN embeddings b ON {_EARLIER} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) <= 6),
+p AS (SELECT near.id, other, round(s - CASE WHEN coalesce(x.space, '') <> coalesce(y.space, '') THEN 0.1::DOUBLE ELSE 0 END, 6) AS s FROM near JOIN nodes x ON x.id = near.id JOIN nodes y ON y.id = other)
+SELECT id AS source_id, other AS target_id, round(s, 3) AS weight FROM p WHERE s >= 0.15 AND NOT EXISTS (SELECT 1 FROM both_ways w WHERE edge_type = 'supports' AND w.id = p.id AND w.other = p.other)""")
+def link_on_remember(spark, d):
+    """The vectors of even ids are remembered first, then those of odd ids; each meets what was there."""
+    n, v, e = nodes(spark, d), vectors(spark, d).withColumn("place", F.col("id")), edges(spark, d).where("edge_type = 'supports'")
+    first, later = v.where("id % 2 = 0"), v.where("id % 2 = 1")
+    found = remember.links_on_remember(first, n, None, e, now(), 0.15).union(remember.links_on_remember(later, n, first, e, now(), 0.15))
+    return found.select("source_id", "target_id", "weight")
+
+
+@query(rf"""WITH RECURSIVE u AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10)) AS c FROM conversations WHERE role = 'user' GROUP BY conv_id), n AS (SELECT count(*) AS n FROM embeddings),
+it AS (SELECT conv_id, turn, {S.strip("coalesce(text, '')")} AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item FROM conversations JOIN u USING (conv_id) WHERE role = 'assistant' AND length({S.strip("c")}) >= 50),
+e AS (SELECT conv_id * 1000 + item AS id, *, row_number() OVER (ORDER BY conv_id, item) AS i FROM it JOIN n ON TRUE JOIN embeddings ON vec_id = (conv_id * 5 + item) % n WHERE content <> ''),
+st AS (SELECT DISTINCT e.vec_id FROM (SELECT DISTINCT vec_id, embedding FROM e) e JOIN embeddings s ON s.vec_id % 5 = 0 WHERE {S.dot('e.embedding', 's.embedding')} >= 0.4),
+sim AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON {S.dot('a.embedding', 'b.embedding')} >= 0.4),
+f AS (SELECT id, i, vec_id, vec_id IN (SELECT vec_id FROM st) AS known, (SELECT list(y) FROM sim WHERE x = e.vec_id) AS nb FROM e),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS vs, NULL::BIGINT AS id, FALSE AS new UNION ALL SELECT f.i, CASE WHEN known OR list_has_any(nb, vs) THEN vs ELSE list_append(vs, vec_id) END, f.id, NOT (known OR list_has_any(nb, vs)) FROM r JOIN f ON f.i = r.i + 1)
+SELECT id, {S.title("content")} AS title, CASE turn % 3 WHEN 0 THEN 'goal' ELSE 'fact' END AS type, CASE WHEN turn % 2 = 0 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence, 'auto-ingested' AS tag FROM r JOIN e USING (id) WHERE new""")
+def ingest_conversations(spark, d):
+    """What assistants say as a model's answer in three wrappings; of memories like a stored or earlier one the first stays."""
+    c = table(spark, d, "conversations")
+    item = F.struct(F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, "goal").otherwise("thing").alias("type"), F.when(F.col("turn") % 2 == 0, 0.9).alias("confidence"))
+    said = c.where("role = 'assistant'").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x["item"])).alias("j"))
+    wrapped = F.when(F.col("conv_id") % 3 == 0, F.col("j")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Sure:\n```json\n"), "j", F.lit("\n```\n"))).otherwise(F.concat(F.lit('{"memories": '), "j", F.lit("}")))
+    asked = c.where("role = 'user'").groupBy("conv_id").agg(F.concat_ws("\n", F.collect_list(F.coalesce("text", F.lit("")))).alias("content"))
+    found = remember.memories_in(asked.join(said, "conv_id").select("conv_id", "content", wrapped.alias("answer")))
+    v = table(spark, d, "embeddings")
+    found = found.withColumn("vec_id", (F.col("conv_id") * 5 + F.col("item")) % v.count()).join(v, "vec_id").withColumn("id", F.col("conv_id") * 1000 + F.col("item"))
+    found = tables.staged(found.withColumn("place", F.col("id")), "memories")
+    new = remember.new_memories(found, v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "embedding"), 0.4)
+    return found.join(new, "id", "left_semi").select("id", "title", "type", "confidence", F.col("tags")[0].alias("tag"))
+
+
 PROMPTS = f"""SELECT conv_id * 1000 + turn AS pid, CASE WHEN conv_id % 10 = 3 THEN 'what did we do' WHEN conv_id % 5 = 2 THEN 'what is ' || text ELSE text END AS query,
 CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} - INTERVAL 31 DAY WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 60 DAY END AS after, CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 30 DAY END AS before,
 conv_id % 10 = 3 AS only_time, CASE WHEN conv_id % 4 > 0 THEN embedding END AS embedding FROM conversations LEFT JOIN embeddings ON vec_id = conv_id WHERE role = 'user'"""
@@ -413,7 +450,14 @@ def ingest_dedupe(spark, d):
     return pairs.new_items(knn(vectors(spark, d), 1), 0.4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.NODES}, {S.knn(20)}, wk AS (SELECT id FROM nodes WHERE tier = 'working'),
+near AS (SELECT id, other, similarity FROM knn WHERE similarity >= 0.3 AND id IN (SELECT id FROM wk) AND other IN (SELECT id FROM wk)),
+nb AS (SELECT id, list(other ORDER BY similarity DESC, other) AS o FROM near GROUP BY id), al AS (SELECT id FROM near UNION SELECT other FROM near),
+w AS (SELECT id, coalesce(o, []) AS o, row_number() OVER (ORDER BY id) AS i FROM al LEFT JOIN nb USING (id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS seed, []::BIGINT[] AS mine UNION ALL
+SELECT i, CASE WHEN free THEN list_concat(list_append(taken, id), m) ELSE taken END, id, CASE WHEN free THEN m ELSE [] END FROM
+(SELECT w.i, w.id, taken, NOT list_contains(taken, w.id) AS free, list_filter(o, lambda x: NOT list_contains(taken, x))[1:4] AS m FROM r JOIN w ON w.i = r.i + 1))
+SELECT seed, unnest(list_prepend(seed, mine)) AS id FROM r WHERE len(mine) > 0""")
 def consolidation_clusters(spark, d):
     return pairs.clusters(knn(vectors(spark, d), 20), nodes(spark, d), threshold=0.3)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from recollect.model import BELIEF_TYPES, PARAMS, Params
 from recollect.operators.graph import unassigned
 
 
+#: After this many rounds what is left is settled in order in one task, once it is no more than SETTLED rows.
+ROUNDS, SETTLED = 3, 200_000
+
+
 def sorted_pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -75,7 +80,8 @@ def merge_plan(duplicates: DataFrame, nodes: DataFrame, auto: float = PARAMS.aut
 
     A node merges at most once, best pairs first: a pair is taken if no better pair holds either of its nodes, and
     a pair that loses to one that is itself not taken is free again. Each round takes all pairs that are the best
-    of both their nodes and drops those that meet them, until no pair is left; rounds are written tables.
+    of both their nodes and drops those that meet them, until no pair is left; rounds are written tables. A chain
+    settles a link a round, so that after a few rounds a leftover of bounded size is settled in one task.
     """
     from recollect.sources.tables import staged
 
@@ -86,8 +92,20 @@ def merge_plan(duplicates: DataFrame, nodes: DataFrame, auto: float = PARAMS.aut
     keep = F.when(a >= b, F.col("a")).otherwise(F.col("b"))
     named = p.select(keep.alias("keep"), F.when(keep == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("drop"), "score", "a", "b")
     order = [F.desc("score"), "a", "b"]
+
+    def settle(x: pd.DataFrame) -> pd.DataFrame:
+        met, kept = set(), []
+        for i, (a, b) in enumerate(zip(*(x.sort_values(["score", "a", "b"], ascending=[False, True, True])[c] for c in "ab"), strict=True)):
+            if a not in met and b not in met:
+                met |= {a, b}
+                kept.append(i)
+        return x.sort_values(["score", "a", "b"], ascending=[False, True, True]).iloc[kept]
+
     left, out = staged(named, "pairs"), []
-    while not left.isEmpty():
+    while n := left.count():
+        if len(out) >= ROUNDS and n <= SETTLED:
+            out.append(staged(left.groupBy().applyInPandas(settle, left.schema), "rest"))
+            break
         sides = left.withColumn("node", F.explode(F.array("a", "b"))).withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy(*order)))
         best = sides.where("_r = 1").groupBy("keep", "drop", "score", "a", "b").count().where("count = 2").drop("count")
         out.append(staged(best, "best"))
@@ -102,15 +120,31 @@ def clusters(near: DataFrame, nodes: DataFrame, threshold: float = 0.6, most: in
 
     In the order of ids each free node claims up to most - 1 free similar nodes, the most similar first. A
     round settles all nodes that come before every free neighbour of theirs and of those, which is what the
-    order would do; nodes without a free neighbour are done. Every round is a few joins over the free edges.
+    order would do; nodes without a free neighbour are done. Every round is a few joins over the free edges, and
+    after a few rounds a leftover of bounded size is settled in one task.
     """
     from recollect.sources.tables import staged
 
     working = nodes.where("tier = 'working'").select("id")
     e = near.where((F.col("similarity") >= threshold) & (F.col("id") != F.col("other"))).select("id", "other", "similarity")
     e = staged(e.join(working, "id", "left_semi").join(working.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other", "similarity"), "edges")
+
+    def settle(x: pd.DataFrame) -> pd.DataFrame:
+        near = {i: g["other"].tolist() for i, g in x.sort_values(["similarity", "other"], ascending=[False, True]).groupby("id")}
+        taken, rows = set(), []
+        for i in sorted(set(x["id"]) | set(x["other"])):
+            if i not in taken:
+                mine = [o for o in near.get(i, []) if o not in taken][: most - 1]
+                taken |= {i, *mine}
+                rows += [(i, o) for o in mine]
+        return pd.DataFrame(rows, columns=["seed", "id"])
+
+    kind = dict(e.dtypes)["id"]
     out = []
-    while not e.isEmpty():
+    while n := e.count():
+        if len(out) >= ROUNDS and n <= SETTLED:
+            out.append(staged(e.groupBy().applyInPandas(settle, f"seed {kind}, id {kind}"), "rest"))
+            break
         # a seed is the least id within two steps over the free edges, either way: nothing earlier can claim what it wants
         both = e.select("id", "other").union(e.select("other", "id")).distinct()
         least = both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("m"))

@@ -89,6 +89,36 @@ def knn(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_before(asked: DataFrame, stored: DataFrame | None, k: int, block: int = 20_000) -> DataFrame:
+    """(id, other, similarity, rank): for each asked vector (id, embedding, place) the k nearest that were there before.
+
+    These are all stored vectors (id, embedding) and the asked ones of a smaller place; ties by id. Only products of an
+    asked block with another are formed: pairs of stored vectors are not met again.
+    """
+    kind = dict(asked.dtypes)["id"]
+    new = asked.select("id", "embedding", F.col("place").cast("bigint").alias("place"))
+    every = new if stored is None else stored.select("id", "embedding", F.lit(-1).cast("bigint").alias("place")).unionByName(new)
+    left, right = max(1, math.ceil(asked.count() / block)), max(1, math.ceil(every.count() / block))
+    parts = lambda rows, own, n, other, m: rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out, b, after, m = [], y["id"].to_numpy(), y["place"].to_numpy(), _matrix(y)
+        for lo in range(0, len(x) if len(y) else 0, 1024):
+            part = x.iloc[lo : lo + 1024]
+            a = part["id"].to_numpy()
+            s = np.round(_matrix(part) @ m.T, 6)
+            s[after[None, :] >= part["place"].to_numpy()[:, None]] = -2
+            order = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, :k]
+            i = np.repeat(np.arange(len(s)), order.shape[1])
+            out.append(pd.DataFrame({"id": a[i], "other": b[order.ravel()], "similarity": s[i, order.ravel()]}))
+        found = pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "similarity": []})
+        return found[found["similarity"] > -2]
+
+    pairs = parts(new, "g", left, "b", right).groupBy("g", "b").cogroup(parts(every, "b", right, "g", left).groupBy("g", "b"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    return pairs.applyInPandas(compare, f"id {kind}, other {kind}, similarity double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _probes(few: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 512) -> int:
     """How many of the nearest cells hold the share `recall` of the k nearest others of the first `asked` vectors."""
     own = np.argmax(few @ centres.T, axis=1)
