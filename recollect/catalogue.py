@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from recollect import sqltext as S
 from recollect.functions import temporal, text
 from recollect.functions.porter import stemming
-from recollect.model import NODE_TYPES, PARAMS, days_between, edges, events, nodes, now, table, vectors
-from recollect.operators import batch, context, graph, lifecycle, pairs, remember, search
+from recollect.model import NODE_TYPES, PARAMS, PROPOSAL_SCHEMA, days_between, edges, events, nodes, now, table, vectors
+from recollect.operators import batch, context, graph, lifecycle, pairs, proposals, remember, search
 from recollect.operators.vectors import dot, knn, knn_approximate, top_k
 from recollect.session import prepare
-from recollect.sources import fulltext, markdown, tables, transcripts
+from recollect.sources import fulltext, lookup, markdown, tables, transcripts
 from recollect.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,6 +261,30 @@ def hybrid_recall_question(spark, d):
     return _recalled(spark, d, "what is the reation token").select("id", "score")
 
 
+@query("""WITH n AS (SELECT md5(doc_id::VARCHAR) AS id FROM documents), a AS (SELECT DISTINCT substr(md5(conv_id::VARCHAR), 1, CASE WHEN conv_id % 9 = 0 THEN 32 ELSE 1 + conv_id % 8 END) AS asked FROM conversations)
+SELECT asked, min(id) AS id FROM a JOIN n ON starts_with(id, asked) GROUP BY asked""")
+def node_lookup(spark, d):
+    """Whole ids and beginnings of ids, of one to eight letters."""
+    n = table(spark, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("id"))
+    size = F.when(F.col("conv_id") % 9 == 0, 32).otherwise(1 + F.col("conv_id") % 8).cast("int")
+    asked = table(spark, d, "conversations").select(F.md5(F.col("conv_id").cast("string")).substr(F.lit(1), size).alias("asked"))
+    return lookup.resolved_ids(asked, n)
+
+
+@query(f"""WITH {S.NODES}, {S.knn(1)}, p AS (SELECT id AS keep, other AS drop, similarity AS score FROM knn WHERE id < other),
+open AS (SELECT unnest([keep, drop]) AS node FROM p WHERE keep % 3 = 0)
+SELECT keep::VARCHAR AS keep, drop::VARCHAR AS dropped, CASE WHEN keep % 3 > 0 THEN 'pending' WHEN keep % 2 = 0 THEN 'approved' ELSE 'pending' END AS status FROM p WHERE keep % 3 = 0 OR (keep NOT IN (FROM open) AND drop NOT IN (FROM open))""")
+def proposal_log(spark, d):
+    """Nearest pairs, a third proposed first and half of that approved after the rest was held against what is pending."""
+    near = knn(vectors(spark, d), 1).where("id < other").select(F.col("id").alias("keep"), F.col("other").alias("drop"), F.col("similarity").alias("score"))
+    log = spark.createDataFrame([], PROPOSAL_SCHEMA)
+    log = tables.staged(proposals.propose(log, near.where("keep % 3 = 0"), "merge", now(), "merge two memories"), "log")
+    log = tables.staged(log.union(proposals.propose(log, near, "merge", now(), "merge two memories")), "log")
+    said = log.where("CAST(source_nodes[0] AS BIGINT) % 6 = 0").select("id", F.lit("approved").alias("status"))
+    log = log.union(proposals.resolve(log, said, now()))
+    return proposals.current(log).select(F.col("source_nodes")[0].alias("keep"), F.col("source_nodes")[1].alias("dropped"), "status")
+
+
 _EARLIER = "(a.vec_id % 2 = 0 AND b.vec_id % 2 = 0 AND b.vec_id < a.vec_id) OR (a.vec_id % 2 = 1 AND (b.vec_id % 2 = 0 OR b.vec_id < a.vec_id))"
 
 
