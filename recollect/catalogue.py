@@ -665,16 +665,33 @@ def hint_scores(spark, d):
     return context.hint_scores(nodes(spark, d), vectors(spark, d), _vector(spark, d, 3), 25)
 
 
-@query()
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.identity(0)}, live AS (SELECT * FROM nodes WHERE (valid_until IS NULL OR valid_until > {S.MOMENT}) AND tier IN ('core', 'working')),
+own AS (SELECT * FROM live WHERE tier = 'core' AND id IN (FROM own_ids)), rest AS (SELECT * FROM live WHERE id NOT IN (SELECT id FROM own) AND (title IS NULL OR title NOT IN (SELECT title FROM own WHERE title IS NOT NULL))),
+b AS (SELECT *, CASE WHEN tier = 'core' THEN CASE WHEN space = 'src1' THEN 0 WHEN space IS NULL THEN 1 ELSE 2 END WHEN space = 'src1' THEN 3 END AS bucket FROM rest)
+SELECT 'identity' AS section, id, title, importance FROM own UNION ALL SELECT * FROM (SELECT tier, id, title, importance FROM b WHERE bucket IS NOT NULL ORDER BY bucket, importance DESC, id LIMIT 20)""")
 def core_context(spark, d):
     return context.core_context(nodes(spark, d), edges(spark, d), 0, "src1", now())
 
 
-@query()
+LOUD = replace(LOOSE, whisper_min_score=0.1, injection_gate=0.1)
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.identity(0)}, {S.recall(TERMS, 'reation token', False, 0, 13, 0.1)}, {S.whisper("SELECT 0 AS pid, id, score, 'hybrid' AS source, FALSE AS temporal FROM result", 0.1, 0.1)}
+SELECT section, place, id, type, score, content FROM said""")
 def whisper(spark, d):
     found = tables.staged(_recalled(spark, d, "reation token", limit=13), "results")
     n, e = nodes(spark, d), edges(spark, d)
-    return context.whisper(found.select("id", "score", "source"), n, context.identity_ids(n, e, 0), params=replace(LOOSE, whisper_min_score=0.1, injection_gate=0.1))
+    return context.whisper(found.select("id", "score", "source"), n, context.identity_ids(n, e, 0), params=LOUD)
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.identity(0)}, {S.recall_all(PROMPTS, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)},
+{S.whisper("SELECT a.pid, a.id, a.score, a.source, p.after IS NOT NULL AS temporal FROM activated a JOIN prompts p USING (pid)", 0.1, 0.1)} SELECT pid AS prompt_id, section, place, id, type, score, content FROM said""")
+def whisper_prompts(spark, d):
+    """What stands before each user's prompt: recall of all of them, then the whisper's sections."""
+    n, e, asked = nodes(spark, d), tables.staged(edges(spark, d), "edges"), _prompts(spark, d)
+    found = tables.staged(batch.recall_all(asked, n, vectors(spark, d), _index(spark, d), e, now(), params=LOOSE), "results")
+    flags = asked.select("prompt_id", temporal.has_phrase(F.col("prompt")).alias("temporal"), F.lit(False).alias("identity_only"))
+    return context.whisper_all(found, flags, n, context.identity_ids(n, e, 0), params=LOUD)
 
 
 # Ingestion

@@ -92,37 +92,44 @@ def content_limit(count: Column, params: Params = PARAMS) -> Column:
 
 
 def whisper(results: DataFrame, nodes: DataFrame, identities: DataFrame, temporal: bool = False, identity_only: bool = False, defined: DataFrame | None = None, params: Params = PARAMS) -> DataFrame:
-    """What to put before a prompt, from ranked results (id, score, source): section, place, id, type, score, content.
+    """whisper_all for one prompt's results (id, score, source): section, place, id, type, score, content."""
+    one = results.sparkSession.createDataFrame([(0, temporal, identity_only)], "prompt_id int, temporal boolean, identity_only boolean")
+    return whisper_all(results.withColumn("prompt_id", F.lit(0)), one, nodes, identities, defined, params).drop("prompt_id")
+
+
+def whisper_all(results: DataFrame, prompts: DataFrame, nodes: DataFrame, identities: DataFrame, defined: DataFrame | None = None, params: Params = PARAMS) -> DataFrame:
+    """What to put before each prompt (prompt_id, temporal, identity_only), from its results (prompt_id, id, score,
+    source): prompt_id, section, place, id, type, score, content.
 
     Results below the least score go, unless they only fill up by time; without a time intent the gate drops
     all below it. Identity memories come first, persons and preferences always, the others up to a few; the
     rest share what is left. Identity hits alone need the least score themselves. For prompts about identity
-    without a hit, `defined` nodes stand in. All of this runs over the results, tens of rows.
+    without a hit, `defined` nodes stand in. A prompt's windows hold its results, tens of rows.
     """
-    least = min(0.30, params.whisper_min_score) if temporal else params.whisper_min_score
-    r = results.where((F.col("score") >= least) | (F.col("source") == "temporal"))
-    if not temporal:
-        r = r.where(F.col("score") >= params.injection_gate)
-    d = nodes.join(F.broadcast(r.select("id", "score", "source")), "id").join(identities.select("id", F.lit(True).alias("_own")), "id", "left").withColumn("own", F.coalesce("_own", F.lit(False))).drop("_own")
-    everything = W.partitionBy(F.lit(1))
+    timed, least = F.col("temporal"), params.whisper_min_score
+    r = results.select("prompt_id", "id", "score", "source").join(prompts.select("prompt_id", "temporal", "identity_only"), "prompt_id")
+    r = r.where((F.col("score") >= F.when(timed, min(0.30, least)).otherwise(least)) | (F.col("source") == "temporal")).where(timed | (F.col("score") >= params.injection_gate))
+    facts = ["type", "tier", "created", "content"]
+    d = r.join(nodes.select("id", *facts), "id").join(identities.select("id", F.lit(True).alias("_own")), "id", "left").withColumn("own", F.coalesce("_own", F.lit(False))).drop("_own")
+    everything = W.partitionBy("prompt_id")
     topical, best_own = F.max((~F.col("own")).cast("int")).over(everything), F.max(F.when(F.col("own"), F.col("score"))).over(everything)
-    if not identity_only:
-        d = d.withColumn("_t", topical).withColumn("_b", best_own).where((F.col("_t") == 1) | (F.col("_b") >= params.whisper_min_score)).drop("_t", "_b")
-    elif defined is not None:
-        stand_in = defined.withColumn("score", F.lit(0.0)).withColumn("source", F.lit("identity")).withColumn("own", F.lit(True))
-        none_own = d.agg(F.coalesce(F.max(F.col("own").cast("int")), F.lit(0)).alias("_o"))
-        d = d.unionByName(stand_in.crossJoin(F.broadcast(none_own)).where("_o = 0").select(*d.columns))
-    order = [F.desc("created"), "id"] if temporal else [F.desc("score"), "id"]
+    d = d.withColumn("_t", topical).withColumn("_b", best_own).where(F.col("identity_only") | (F.col("_t") == 1) | (F.col("_b") >= least)).drop("_t", "_b")
+    if defined is not None:
+        bare = prompts.where("identity_only").select("prompt_id", "temporal", "identity_only").join(d.where("own").select("prompt_id").distinct(), "prompt_id", "left_anti")
+        stand_in = defined.select("id", *facts).withColumns({"score": F.lit(0.0), "source": F.lit("identity"), "own": F.lit(True), "identity_only": F.lit(True)})
+        d = d.unionByName(stand_in.join(bare, "identity_only").select(*d.columns))
+    moment = F.when(timed, F.col("created"))
+    order = [moment.desc(), F.when(timed, 0.0).otherwise(F.col("score")).desc(), "id"]
     always = F.col("own") & F.col("type").isin(*ALWAYS_KEPT_TYPES)
     d = d.withColumn("_k", F.when(always, 0).when(F.col("own"), 1).otherwise(2))
-    d = d.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(*order))).withColumn("_always", F.sum((F.col("_k") == 0).cast("int")).over(everything))
+    d = d.withColumn("_n", F.row_number().over(W.partitionBy("prompt_id", "_k").orderBy(*order))).withColumn("_always", F.sum((F.col("_k") == 0).cast("int")).over(everything))
     d = d.where((F.col("_k") != 1) | (F.col("_n") <= F.greatest(F.lit(params.whisper_identity) - F.col("_always"), F.lit(0))))
     d = d.withColumn("_own_n", F.sum((F.col("_k") < 2).cast("int")).over(everything))
     d = d.where((F.col("_k") < 2) | (F.col("_n") <= F.greatest(F.lit(params.whisper_max) - F.col("_own_n"), F.lit(0))))
     limit = content_limit(F.count("*").over(everything), params)
     section = F.when(F.col("_k") < 2, "identity").when(F.col("tier") == "core", "core").otherwise("working")
-    place = F.row_number().over(W.partitionBy("section").orderBy("_k", "_n"))
-    return d.withColumn("_l", limit).withColumn("section", section).withColumn("place", place).select("section", "place", "id", "type", "score", first_sentence(F.col("content"), F.col("_l")).alias("content"))
+    place = F.row_number().over(W.partitionBy("prompt_id", "section").orderBy("_k", "_n"))
+    return d.withColumn("_l", limit).withColumn("section", section).withColumn("place", place).select("prompt_id", "section", "place", "id", "type", "score", first_sentence(F.col("content"), F.col("_l")).alias("content"))
 
 
 def by_space_and_importance(nodes: DataFrame, space: str | None, cap: int = PARAMS.context_cap) -> DataFrame:

@@ -24,8 +24,15 @@ def top_k(vectors: DataFrame, query: list[float], k: int, least: float | None =
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def _blocks(vectors: DataFrame, blocks: int) -> DataFrame:
-    """Each vector once for every pair of blocks that holds its own; `side` says in which place."""
+#: Vectors of a block at most, and with fewer blocks than tasks at least, unless the number of blocks is given.
+MOST_IN_BLOCK, LEAST_IN_BLOCK = 25_000, 1_000
+
+
+def _blocks(vectors: DataFrame, blocks: int | None) -> DataFrame:
+    """Each vector once for every pair of blocks that holds its own; the number of blocks comes from the data."""
+    if blocks is None:
+        n = vectors.count()
+        blocks = max(1, math.ceil(n / MOST_IN_BLOCK), min(8, n // LEAST_IN_BLOCK))
     own = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return other.select("id", "embedding", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -35,11 +42,11 @@ def _matrix(x: pd.DataFrame) -> np.ndarray:
     return np.array(x["embedding"].tolist(), np.float64).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
 
 
-def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+def pairs_above(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, similarity): exactly the pairs a < b whose similarity reaches threshold.
 
     Vectors are dealt into `blocks`; each pair of blocks is one task's matrix product, so a task holds two
-    blocks whatever the data. The work is quadratic, as exactness over dense vectors asks; knn_approximate
+    blocks, of at most MOST_IN_BLOCK vectors or so unless their number is given. The work is quadratic, as exactness over dense vectors asks; knn_approximate
     is the one to use where that is too much.
     """
 
@@ -60,7 +67,7 @@ def pairs_above(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFr
     return _blocks(vectors, blocks).groupBy("low", "high").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
 
 
-def knn(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def knn(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(id, other, similarity, rank): the k nearest others of every vector, exactly; ties by id.
 
     Every pair of blocks keeps only its k best for each vector before the shuffle.

@@ -133,3 +133,24 @@ mx AS (SELECT pid, seed, other AS id, edge_type, round(ss * weight * {FACTOR} *
 tp AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY pid, seed ORDER BY score DESC, id, edge_type) <= 3),
 ac AS (SELECT * FROM tp WHERE id IN (SELECT id FROM nodes) QUALIFY row_number() OVER (PARTITION BY pid, id ORDER BY score DESC, seed, edge_type DESC) = 1),
 activated AS (SELECT pid, id, score, source, CAST(NULL AS BIGINT) AS activated_by FROM res UNION ALL SELECT pid, id, score, CASE edge_type WHEN 'contradicts' THEN 'conflict' ELSE 'activated' END, seed FROM ac)"""
+
+
+def identity(self_id: int) -> str:
+    return f"own_ids AS (SELECT id FROM nodes WHERE id = {self_id} UNION SELECT target_id FROM edges WHERE source_id = {self_id} AND edge_type = 'defines' UNION SELECT id FROM nodes WHERE list_contains(tags, 'about_self'))"
+
+
+def first_sentence(c: str, most: str) -> str:
+    t = strip(c)
+    ends = " ".join(f"WHEN strpos({t}, {e}) - 1 BETWEEN 1 AND {most} - 1 THEN substr({t}, 1, strpos({t}, {e}))" for e in ("'. '", "'.' || chr(10)", "'; '", "chr(10)"))
+    return f"CASE WHEN length({t}) <= {most} THEN {t} {ends} ELSE substr({t}, 1, {most}) END"
+
+
+def whisper(results: str, least: float, gate: float) -> str:
+    """CTEs ending in `said` (pid, section, place, id, type, score, content) from results (pid, id, score, source, temporal)."""
+    return f"""w0 AS (SELECT * FROM ({results}) WHERE (score >= CASE WHEN temporal THEN least(0.30::DOUBLE, {least}::DOUBLE) ELSE {least}::DOUBLE END OR source = 'temporal') AND (temporal OR score >= {gate}::DOUBLE)),
+w1 AS (SELECT w0.*, n.type, n.tier, n.created, n.content, id IN (SELECT id FROM own_ids) AS own FROM w0 JOIN nodes n USING (id)),
+w2 AS (SELECT *, CASE WHEN own AND type IN ('person', 'preference') THEN 0 WHEN own THEN 1 ELSE 2 END AS k FROM w1 QUALIFY bool_or(NOT own) OVER (PARTITION BY pid) OR max(CASE WHEN own THEN score END) OVER (PARTITION BY pid) >= {least}::DOUBLE),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY pid, k ORDER BY CASE WHEN temporal THEN epoch_us(created) ELSE 0 END DESC, CASE WHEN temporal THEN 0 ELSE score END DESC, id) AS n, sum(CAST(k = 0 AS INT)) OVER (PARTITION BY pid) AS fixed FROM w2),
+w4 AS (SELECT *, sum(CAST(k < 2 AS INT)) OVER (PARTITION BY pid) AS own_n FROM (SELECT * FROM w3 WHERE k <> 1 OR n <= greatest(5 - fixed, 0))),
+w5 AS (SELECT *, CAST(least(600, greatest(100, 1500 // (count(*) OVER (PARTITION BY pid)))) AS INT) AS most, CASE WHEN k < 2 THEN 'identity' WHEN tier = 'core' THEN 'core' ELSE 'working' END AS section FROM (SELECT * FROM w4 WHERE k < 2 OR n <= greatest(8 - own_n, 0))),
+said AS (SELECT pid, section, row_number() OVER (PARTITION BY pid, section ORDER BY k, n) AS place, id, type, score, {first_sentence("content", "most")} AS content FROM w5)"""
