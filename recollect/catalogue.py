@@ -322,12 +322,12 @@ def ingest_conversations(spark, d):
     return found.join(new, "id", "left_semi").select("id", "title", "type", "confidence", F.col("tags")[0].alias("tag"))
 
 
-PROMPTS = f"""SELECT conv_id * 1000 + turn AS pid, CASE WHEN conv_id % 10 = 3 THEN 'what did we do' WHEN conv_id % 5 = 2 THEN 'what is ' || text ELSE text END AS query,
+ASKED = f"""SELECT conv_id * 1000 + turn AS pid, CASE WHEN conv_id % 10 = 3 THEN 'what did we do' WHEN conv_id % 5 = 2 THEN 'what is ' || text ELSE text END AS query,
 CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} - INTERVAL 31 DAY WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 60 DAY END AS after, CASE WHEN conv_id % 10 = 3 THEN {S.MOMENT} WHEN conv_id % 5 = 1 THEN {S.MOMENT} - INTERVAL 30 DAY END AS before,
 conv_id % 10 = 3 AS only_time, CASE WHEN conv_id % 4 > 0 THEN embedding END AS embedding FROM conversations LEFT JOIN embeddings ON vec_id = conv_id WHERE role = 'user'"""
 
 
-def _prompts(spark, d) -> DataFrame:
+def _asked(spark, d) -> DataFrame:
     """What users say, some of it with time phrases or as a question; the vector of the conversation's number stands for it."""
     c, text = table(spark, d, "conversations").where("role = 'user'"), F.col("text")
     said = F.when(F.col("conv_id") % 10 == 3, "what did we do in the past 31 days").when(F.col("conv_id") % 5 == 2, F.concat(F.lit("what is "), text)).when(F.col("conv_id") % 5 == 1, F.concat(text, F.lit(" last month"))).otherwise(text)
@@ -335,9 +335,9 @@ def _prompts(spark, d) -> DataFrame:
     return c.join(v, "conv_id", "left").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), said.alias("prompt"), "embedding")
 
 
-@query(f"WITH {S.NODES}, {S.EDGES}, {S.recall_all(PROMPTS, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)} SELECT pid AS prompt_id, id, score, source, activated_by FROM activated")
+@query(f"WITH {S.NODES}, {S.EDGES}, {S.recall_all(ASKED, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)} SELECT pid AS prompt_id, id, score, source, activated_by FROM activated")
 def recall_prompts(spark, d):
-    found = batch.recall_all(_prompts(spark, d), nodes(spark, d), vectors(spark, d), _index(spark, d), edges(spark, d), now(), params=LOOSE)
+    found = batch.recall_all(_asked(spark, d), nodes(spark, d), vectors(spark, d), _index(spark, d), edges(spark, d), now(), params=LOOSE)
     return found.select("prompt_id", "id", "score", "source", "activated_by")
 
 
@@ -684,11 +684,11 @@ def whisper(spark, d):
     return context.whisper(found.select("id", "score", "source"), n, context.identity_ids(n, e, 0), params=LOUD)
 
 
-@query(f"""WITH {S.NODES}, {S.EDGES}, {S.identity(0)}, {S.recall_all(PROMPTS, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)},
+@query(f"""WITH {S.NODES}, {S.EDGES}, {S.identity(0)}, {S.recall_all(ASKED, search.STOP_WORDS, search.IDENTITY_WORDS, text.QUESTION, 0.1)},
 {S.whisper("SELECT a.pid, a.id, a.score, a.source, p.after IS NOT NULL AS temporal FROM activated a JOIN prompts p USING (pid)", 0.1, 0.1)} SELECT pid AS prompt_id, section, place, id, type, score, content FROM said""")
 def whisper_prompts(spark, d):
     """What stands before each user's prompt: recall of all of them, then the whisper's sections."""
-    n, e, asked = nodes(spark, d), tables.staged(edges(spark, d), "edges"), _prompts(spark, d)
+    n, e, asked = nodes(spark, d), tables.staged(edges(spark, d), "edges"), _asked(spark, d)
     found = tables.staged(batch.recall_all(asked, n, vectors(spark, d), _index(spark, d), e, now(), params=LOOSE), "results")
     flags = asked.select("prompt_id", temporal.has_phrase(F.col("prompt")).alias("temporal"), F.lit(False).alias("identity_only"))
     return context.whisper_all(found, flags, n, context.identity_ids(n, e, 0), params=LOUD)
