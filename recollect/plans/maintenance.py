@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recollect.model import PARAMS, Params
 from recollect.operators import graph, lifecycle, pairs
 from recollect.operators.vectors import knn
-from recollect.sources.tables import upsert
+from recollect.sources.tables import staged, upsert
 
 #: The order of a full pass.
 ORDER = ("importance", "duplicates", "conflicts", "links", "spaces", "consolidation", "decay")
@@ -44,8 +44,8 @@ def batches(store: Store, params: Params = PARAMS, most: int | None = 8, most_cl
 
     `most` and `most_clusters` are the size of a report; None gives all candidates.
     """
-    near = knn(store.vectors, 15)
-    close = near.where("rank <= 6")
+    nearest = staged(knn(store.vectors, 20), "nearest")  # once for all of them
+    near, close = nearest.where("rank <= 15"), nearest.where("rank <= 6")
     found = {
         "links": pairs.link_candidates(close, store.nodes, store.edges, store.checked, params.link_threshold, params),
         "conflicts": pairs.conflict_candidates(near, store.nodes, store.edges, params.similarity_threshold),
@@ -59,7 +59,7 @@ def batches(store: Store, params: Params = PARAMS, most: int | None = 8, most_cl
         for s in "ab":
             p = p.join(text.select(F.col("id").alias(s), F.col("content").alias(f"content_{s}")), s)
         out[name] = p
-    members = pairs.clusters(knn(store.vectors, 20), store.nodes)
+    members = pairs.clusters(nearest, store.nodes)
     if most_clusters:
         members = members.join(members.groupBy("seed").count().orderBy(F.desc("count"), "seed").limit(most_clusters).select("seed"), "seed", "left_semi")
     return out | {"clusters": members.join(text, "id")}

@@ -18,6 +18,8 @@ _OWN: list[str] = []
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, whose files go when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="recollect-"))
     path = f"{(folder or _OWN[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
