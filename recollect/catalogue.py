@@ -12,7 +12,7 @@ from recollect import sqltext as S
 from recollect.functions import temporal, text
 from recollect.functions.porter import stemming
 from recollect.model import NODE_TYPES, PARAMS, PROPOSAL_SCHEMA, days_between, edges, events, nodes, now, table, vectors
-from recollect.operators import batch, context, graph, lifecycle, pairs, proposals, remember, search
+from recollect.operators import batch, context, formats, graph, lifecycle, pairs, proposals, remember, search
 from recollect.operators.vectors import dot, knn, knn_approximate, top_k
 from recollect.session import prepare
 from recollect.sources import fulltext, lookup, markdown, tables, transcripts
@@ -694,6 +694,32 @@ def whisper_prompts(spark, d):
     return context.whisper_all(found, flags, n, context.identity_ids(n, e, 0), params=LOUD)
 
 
+_SHOWN = S.strip("content")
+_ENTRY = f"""'. [' || type || '] ' || coalesce(nullif(title, ''), {S.cut(f"replace({_SHOWN}, chr(10), ' ')", "...")}) || chr(10) || '   ID: ' || id || CASE WHEN source = 'hybrid' THEN ' | Tier: ' || tier ELSE '' END || ' | Score: ' || printf('%.3f', score)
+|| CASE WHEN source = 'hybrid' THEN ' | Created: ' || strftime(created, '%Y-%m-%dT%H:%M:%S') WHEN source = 'activated' THEN ' | via ' || activation_edge || ' from ' || activated_by || '...' ELSE ' | contradicts ' || activated_by || '...' END || chr(10)
+|| CASE WHEN {_SHOWN} <> '' THEN '   ' || substr({_SHOWN}, 1, 200) || CASE WHEN length({_SHOWN}) > 200 THEN '...' ELSE '' END || chr(10) ELSE '' END"""
+
+
+@query(f"""WITH {S.NODES}, {S.EDGES}, res AS (SELECT vec_id % 8 AS pid, vec_id AS id, round((vec_id % 97) / 97.0::DOUBLE, 6) AS score FROM embeddings WHERE vec_id % 8 < 7),
+seeds AS (SELECT pid, id AS seed, score AS ss FROM res QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) <= 5),
+met AS (SELECT s.pid, seed, other AS id, edge_type, round(ss * weight * {S.FACTOR} * 0.5::DOUBLE, 6) AS score FROM seeds s JOIN both_ways b ON b.id = seed ANTI JOIN res ON res.pid = s.pid AND res.id = b.other),
+top AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY pid, seed ORDER BY score DESC, id, edge_type) <= 3),
+best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY pid, id ORDER BY score DESC, seed, edge_type DESC) = 1),
+everything AS (SELECT pid, id, score, 'hybrid' AS source, NULL AS activated_by, NULL AS activation_edge FROM res UNION ALL SELECT pid, id, score, CASE WHEN edge_type = 'contradicts' THEN 'conflict' ELSE 'activated' END, seed, edge_type FROM best),
+e AS (SELECT pid, CASE source WHEN 'hybrid' THEN 0 WHEN 'activated' THEN 1 ELSE 2 END AS sec, row_number() OVER (PARTITION BY pid, source ORDER BY score DESC, id) AS i, {_ENTRY} AS entry FROM everything JOIN nodes USING (id)),
+t AS (SELECT pid, sec, count(*) AS n, string_agg(i || entry, chr(10) ORDER BY i) AS body FROM e GROUP BY pid, sec),
+u AS (SELECT pid, 'Found ' || coalesce(sum(n) FILTER (sec = 0), 0)::BIGINT || ' memories' || CASE WHEN coalesce(sum(n) FILTER (sec > 0), 0) > 0 THEN ' (+' || (sum(n) FILTER (sec > 0))::BIGINT || ' related)' ELSE '' END || ':' || chr(10) AS head,
+string_agg(CASE sec WHEN 0 THEN '' WHEN 1 THEN '--- Related (via graph) ---' || chr(10) || chr(10) ELSE '--- Conflicting context ---' || chr(10) || chr(10) END || body, chr(10) ORDER BY sec) AS body FROM t GROUP BY pid)
+SELECT pid AS prompt_id, CASE WHEN body IS NULL THEN 'No memories found matching your query.' ELSE head || chr(10) || body END AS text FROM range(8) p(pid) LEFT JOIN u USING (pid)""")
+def formatted_results(spark, d):
+    """Results of eight prompts, the last without any, as texts in their three sections."""
+    v = vectors(spark, d).where("id % 8 < 7")
+    found = tables.staged(v.select((F.col("id") % 8).alias("prompt_id"), "id", F.round((F.col("id") % 97) / F.lit(97.0), 6).alias("score"), F.lit("hybrid").alias("source")), "results")
+    n = nodes(spark, d)
+    rows = batch.activate_all(found, edges(spark, d), n).join(n.select("id", "type", "tier", "title", "content", "created"), "id")
+    return formats.search_results(rows, vectors(spark, d).select((F.col("id") % 8).alias("prompt_id")))
+
+
 # Ingestion
 
 
