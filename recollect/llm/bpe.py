@@ -3,10 +3,15 @@
 The symbols of many distinct words stand in one flat array. A round finds, by binary search over the sorted
 pair keys, the rank of every adjacent pair, takes each word's lowest, merges that pair wherever it stands in
 the word from the left, and drops the words in which nothing is left to merge.
+
+A long word would need a round over all its symbols for nearly each merge. Words above LONG bytes therefore share
+rounds of another kind: a round takes the lowest rank of all of them, merges at the places known for it, and looks
+up the pairs beside those places alone, so that it costs what it merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -26,6 +31,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split(), not for the pattern
 #: Most distinct chunks of text whose ids a task remembers.
 REMEMBER = 200_000
+#: Bytes above which a word is merged by the places of each rank; the ids are the same on either side.
+LONG = 256
 
 
 def byte_symbols() -> list[str]:
@@ -70,7 +77,84 @@ class Encoder:
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def merge(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word, all words (none empty) together."""
+        """The ids of each word (none empty): the words up to LONG bytes together, and the longer ones together."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        for part, merged in (([k for k, w in enumerate(words) if len(w) <= LONG], self.merge_short), ([k for k, w in enumerate(words) if len(w) > LONG], self.merge_long)):
+            for k, ids in zip(part, merged([words[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the sorted keys, or -1."""
+        key = left * self.v.size + right
+        at = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
+        return np.where(self.v.keys[at] == key, at, -1)
+
+    def merge_long(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each word, by rounds that touch only the symbols that stand beside a merge.
+
+        Words don't meet, so the lowest rank of all of them is the lowest of each word that has it. Symbols are
+        linked to the next and the one before; a place stands for the pair that begins there.
+        """
+        if not words:
+            return []
+        v = self.v
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ids = v.inner[data]
+        ids[ends - 1] = v.last[data[ends - 1]]
+        n = len(ids)
+        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following[ends - 1] = n  # n and -1: none
+        before[ends[:-1]] = -1
+        pair = np.full(n, -1)  # the place in the keys of the pair that begins here
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            """Look up the pairs that begin at `places` and queue them by rank."""
+            at = np.full(len(places), -1)
+            inside = following[places] < n
+            at[inside] = self.look_up(ids[places[inside]], ids[following[places[inside]]])
+            pair[places] = at
+            places, at = places[at >= 0], at[at >= 0]
+            rank = v.ranks[at]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cut = np.flatnonzero(np.diff(rank)) + 1
+            for r, part in zip(rank[np.concatenate(([0], cut))].tolist() if len(rank) else [], np.split(places, cut), strict=False):
+                if r not in waiting:
+                    heapq.heappush(queue, r)
+                    waiting[r] = []
+                waiting[r].append(part)
+
+        note(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[pair[places] >= 0]
+            places = places[v.ranks[pair[places]] == r]  # the others have changed since
+            if not len(places):
+                continue
+            # of pairs that overlap, aaa, every other one from the left
+            chained = np.concatenate(([False], following[places[:-1]] == places[1:]))
+            at = np.arange(len(places))
+            first = places[(at - np.maximum.accumulate(np.where(chained, -1, at))) % 2 == 0]
+            second = following[first]
+            ids[first] = v.merged[pair[first]]
+            pair[second] = -1
+            ids[second] = -1
+            after = following[second]
+            following[first] = after
+            before[after[after < n]] = first[after < n]
+            previous = before[first]
+            note(np.unique(np.concatenate((first, previous[previous >= 0]))))
+        return [tuple(map(v.numbers.__getitem__, part[part >= 0].tolist())) for part in np.split(ids, ends[:-1])]
+
+    def merge_short(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each word, by rounds over the symbols of all words."""
+        if not words:
+            return []
         v, out = self.v, [()] * len(words)
         data = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))

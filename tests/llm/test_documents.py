@@ -195,6 +195,23 @@ def test_bpe_is_the_librarys(docs, rows):
     assert got == sorted(whole)
 
 
+def test_bpe_of_long_words():
+    """Long words go by places of ranks: the library's ids, those of the other rounds, and no quadratic time."""
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.Vocabulary(VOCABULARY))
+    rng = random.Random(4)
+    words = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (bpe.LONG, bpe.LONG + 1, 1000, 50_000) for alphabet in ("a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "éßя漢字")]
+    for word, ids in zip(words, encoder.merge([w.encode() for w in words]), strict=True):
+        assert list(ids) == library.encode(word, add_special_tokens=False).ids
+    some = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 600))).encode() for _ in range(400)]
+    assert encoder.merge(some) == encoder.merge_long(some) == encoder.merge_short(some)
+    assert encoder.merge([]) == []
+    started = time.process_time()
+    encoder.merge(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20)).encode()])
+    assert time.process_time() - started < 20
+
+
 def test_spotsigs(docs, rows):
     r = spotsigs.edit_likeness(docs).collect()
     assert len(r) == len(rows)
