@@ -20,11 +20,13 @@ from recollect.llm.spotsigs import IS_WORD
 #: Sizes of the n-grams in bytes of UTF-8, with < and > around each word.
 SIZES = (3, 4, 5, 6, 7, 8)
 BITS = 18
-DIM = 4
+DIM = 16
 #: Most labelled rows of each class that the model is fitted on, by order of a hash of the id.
 MOST_LABELLED = 1500
-#: Occurrences at which the contrast of an n-gram counts half.
-SHRINK = 5
+#: Texts that damp the step of an n-gram: one that occurs in as many moves half as far as its gradient asks for.
+SHRINK = 20
+#: Length taken from each vector in a batch of an epoch, at rate 1 and for an n-gram whose curvature is of one text.
+LASSO = 10
 SEED = 7
 
 
@@ -103,22 +105,54 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def _contrast(word_counts: tuple[np.ndarray, np.ndarray], buckets: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket's rates in toxic and other texts, drawn to 0 where it occurs seldom."""
-    toxic, other = (np.bincount(buckets, c[owner], 1 << BITS) for c in word_counts)
-    share = word_counts[0].sum() / max(1e-9, word_counts[0].sum() + word_counts[1].sum())
-    total = toxic + other
-    ratio = np.log((toxic + 2 * share) / (other + 2 * (1 - share))) - np.log(share / (1 - share))
-    return ratio * total / (total + SHRINK)
+def text_grams(n_texts: int, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, buckets: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct n-gram buckets with their shares in the mean over its words of the means over n-grams."""
+    at = np.cumsum(n) - n
+    edge = np.searchsorted(rows, np.arange(n_texts + 1))
+    out = []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        word, times = cols[lo:hi], counts[lo:hi]
+        size = n[word]
+        place = np.repeat(at[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own, of = np.unique(buckets[place], return_inverse=True)
+        out.append((own.astype(np.int32), np.bincount(of, np.repeat(times / (times.sum() * size), size), len(own)).astype(np.float32)))
+    return out
 
 
-def fit(texts: Sequence[bytes], toxic: Sequence[int], share: float, epochs: int = 40, rate: float = 0.02) -> Model:
-    """Fit embeddings and softmax together by Adam on all texts at once.
+def _together(bags: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-gram, share and text of all entries of some texts."""
+    gram, share = (np.concatenate([np.zeros(0, t), *(x[k] for x in bags)]) for k, t in ((0, np.int32), (1, np.float32)))
+    return gram, share, np.repeat(np.arange(len(bags), dtype=np.int32), [len(x[0]) for x in bags])
 
-    N-grams that tell the classes apart by a factor of e or more get vectors, which begin at that contrast;
-    the vectors of all others are zero. A fifth of the rows is left out of the fit: it chooses the epoch with
-    the least loss, and calibrates the scores with classes weighted to `share`, the share of toxic rows among
-    all that are labelled. Without rows of both classes every text gets the same score, `share`.
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def gradients(e: np.ndarray, w: np.ndarray, b: float, entries: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """The weighted log loss of some texts; its gradient by n-gram, to be multiplied by w; that of w; that of b.
+
+    A softmax of two classes depends on the difference w of its two columns alone. All texts' gradients by their
+    vectors are then multiples of w, so those of the n-grams are kept as one number each.
+    """
+    gram, share, text = entries
+    p = _sigmoid(np.bincount(text, share * (e @ w)[gram], len(y)) + b)
+    d = weight * (p - y)
+    by_gram = np.bincount(gram, share * d[text], len(e)).astype(e.dtype)
+    loss = -float((weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum())
+    return loss, by_gram, by_gram @ e, float(d.sum())
+
+
+def fit(texts: Sequence[bytes], toxic: Sequence[int], share: float, epochs: int = 24, rate: float = 0.5, batch: int = 64) -> Model:
+    """Fit the vectors of all n-grams and the softmax together, from random starts, in minibatches.
+
+    A step of an n-gram's vector is its gradient over the curvature it can have, the sum of its squared shares in
+    the texts, raised by SHRINK texts: so n-grams of one text move little and those of very many texts no further
+    than need be. After each epoch all vectors are shortened by LASSO (a group lasso), by which those that tell
+    nothing become zero, and the rate falls linearly. Both classes weigh the same. A fifth of the rows is left
+    out of the fit: it chooses the epoch with the least loss, and calibrates the scores with classes weighted to
+    `share`, the share of toxic rows among all that are labelled. Without rows of both classes every text gets
+    the same score, `share`.
     """
     y = np.asarray(toxic, np.float64)
     blank = Model(np.zeros(1 << BITS), 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
@@ -133,63 +167,43 @@ def fit(texts: Sequence[bytes], toxic: Sequence[int], share: float, epochs: int
     if not words:
         return blank
     buckets, n = grams(words)
-    owner = np.repeat(np.arange(len(words)), n)
-    fitted = ~held[rows]
-    by_class = tuple(np.bincount(cols[fitted], (y[rows] == k)[fitted], len(words)) for k in (1, 0))
-    contrast = _contrast(by_class, buckets, owner)
-    telling = np.abs(contrast) >= 1
-    used = np.flatnonzero(telling)
-    if not len(used):
-        return blank
-    size = np.maximum(1, np.bincount(rows, counts, len(y)))
-    picked = telling[buckets]
-    gram, gram_word = np.searchsorted(used, buckets[picked]), owner[picked]
-    # words without a telling n-gram have the zero vector and drop out of the sums, not out of the means
-    some, word_at, of_word = np.unique(gram_word, return_index=True, return_inverse=True)
-    share_of = (1 / n[some]).astype(np.float32)[:, None]
-    entry = np.isin(cols, some)
-    text, word = rows[entry], np.searchsorted(some, cols[entry])
-    tf = (counts / size[rows])[entry].astype(np.float32)[:, None]
-    present, text_at = np.unique(text, return_index=True)
-    by_gram, by_word = np.argsort(gram, kind="stable"), np.argsort(word, kind="stable")
-    gram_at, text_word_at = np.searchsorted(gram[by_gram], np.arange(len(used))), np.searchsorted(word[by_word], np.arange(len(some)))
-    e = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
-    e[:, 0] += contrast[used]
-    w = rng.normal(0, 0.01, (DIM, 2)).astype(np.float32)
-    w[0] += (-1, 1)
-    b = np.zeros(2, np.float32)
-    target = np.stack((1 - y, y), axis=1).astype(np.float32)
+    used, buckets = np.unique(buckets, return_inverse=True)
+    text = text_grams(len(y), rows, cols, counts, buckets, n)
+    own = np.flatnonzero(~held)
+    left_out = held if 0 < y[held].sum() < held.sum() else ~held
 
     def weights(part: np.ndarray) -> np.ndarray:
-        return np.where(part, np.where(y == 1, 0.5 / max(1, (y * part).sum()), 0.5 / max(1, ((1 - y) * part).sum())), 0).astype(np.float32)
-
-    check = held if 0 < y[held].sum() < held.sum() else ~held
-    weight, check_weight = weights(~held), weights(check)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
-    gain, best = np.float32(20), (np.inf, None)  # a mean over hundreds of words is small; gain is the scale of the steps
-    for step in range(1, epochs + 1):
-        vectors = np.add.reduceat(e[gram], word_at) * share_of
-        mean = np.zeros((len(y), DIM), np.float32)
-        mean[present] = np.add.reduceat(vectors[word] * tf, text_at)
-        logits = gain * mean @ w + b
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -float((np.log((p * target).sum(axis=1) + 1e-9) * check_weight).sum())
-        if loss < best[0]:
-            best = (loss, (e @ (w[:, 1] - w[:, 0])).astype(np.float64))
-        d = (p - target) * weight[:, None]
-        d_word = np.add.reduceat((gain * d @ w.T)[text[by_word]] * tf[by_word], text_word_at) * share_of
-        d_e = np.add.reduceat(d_word[of_word[by_gram]], gram_at)
-        for param, grad, (m, v) in zip((e, w, b), (d_e, gain * mean.T @ d, d.sum(axis=0)), moments, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    margin = np.zeros(1 << BITS)
-    margin[used] = best[1]
-    value = np.bincount(owner, margin[buckets], len(words)) / n
-    x = np.bincount(rows, value[cols] * counts, len(y)) / size
-    prior = np.where(y == 1, share / max(1, y[check].sum()), (1 - share) / max(1, (1 - y[check]).sum()))[check]
-    return Model(margin, *_platt(x[check], y[check], prior * check.sum()))
+        ones = y[part].sum()
+        return np.where(y == 1, part.sum() / (2 * max(1, ones)), part.sum() / (2 * max(1, part.sum() - ones)))
+
+    weight, check_weight = weights(~held), weights(left_out)[left_out]
+    check, check_y = _together([text[i] for i in np.flatnonzero(left_out)]), y[left_out]
+    parts = np.array_split(rng.permutation(own), max(1, len(own) // batch))
+    entries = [_together([text[i] for i in part]) for part in parts]
+    squares = sum(np.bincount(g, s.astype(np.float64) ** 2, len(used)) for g, s, _ in entries)
+    typical = squares.sum() / max(1, sum(len(g) for g, _, _ in entries)) or 1.0
+    curvature = squares + SHRINK * typical
+    step = (1 / curvature).astype(np.float32)
+    shorten = (LASSO * len(parts) * np.sqrt(typical / curvature)).astype(np.float32)
+    e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    w = rng.normal(0, DIM**-0.5, DIM).astype(np.float32)
+    b, best, margin = 0.0, np.inf, np.zeros(1 << BITS)
+    for epoch in range(epochs):
+        r = np.float32(rate * (1 - epoch / epochs))
+        for k in rng.permutation(len(parts)).tolist():
+            _, by_gram, d_w, d_b = gradients(e, w, b, entries[k], y[parts[k]], weight[parts[k]])
+            e -= np.outer(r * step * by_gram, w)
+            w -= np.float32(0.01) * r * d_w / max(1e-9, float(np.sqrt(d_w @ d_w)))
+            b -= 0.02 * float(r) * d_b / len(parts[k])
+        length = np.sqrt(np.einsum("ij,ij->i", e, e))
+        e *= np.maximum(0, 1 - r * shorten / np.maximum(length, 1e-9))[:, None]
+        loss = gradients(e, w, b, check, check_y, check_weight)[0]
+        if loss < best:
+            best = loss
+            margin[used] = e @ w
+    x = np.bincount(check[2], check[1] * margin[used][check[0]], len(check_y))
+    prior = np.where(check_y == 1, share / max(1, check_y.sum()), (1 - share) / max(1, (1 - check_y).sum()))
+    return Model(margin, *_platt(x, check_y, prior * len(check_y)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> tuple[DataFrame, float]:

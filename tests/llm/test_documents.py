@@ -340,6 +340,7 @@ def _accuracy(spark, name, label, parts, held, train, score, least, share):
     r = score(docs.where(rest == held).join(labels, "doc_id"), model).select("score", label).collect()
     right = sum((x.score >= share) == (x[label] == 1) for x in r)
     assert right / len(r) > least, (name, right, len(r))
+    return [(x.score, x[label]) for x in r]
 
 
 def test_quality_of_held_out_rows(spark):
@@ -347,7 +348,32 @@ def test_quality_of_held_out_rows(spark):
 
 
 def test_toxicity_of_held_out_rows(spark):
-    _accuracy(spark, "toxicity", "toxic", 4, 2, toxicity.train, toxicity.score, 0.94, 0.3)
+    scored = sorted(_accuracy(spark, "toxicity", "toxic", 4, 2, toxicity.train, toxicity.score, 0.94, 0.3), reverse=True)
+    hits = np.cumsum([k for _, k in scored])
+    assert max(h for i, h in enumerate(hits.tolist(), 1) if h >= 0.9 * i) >= 0.8 * hits[-1]
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    """One step's gradients by vectors, softmax and offset against finite differences."""
+    rng = np.random.default_rng(3)
+    texts = [toxicity.folded(t) for t in ("walk tree house", "stupid idiot walk walk", "", "river stone tree idiots")]
+    words, rows, cols, counts = toxicity.bags(texts)
+    used, buckets = np.unique(toxicity.grams(words)[0], return_inverse=True)
+    text = toxicity.text_grams(4, rows, cols, counts, buckets, toxicity.grams(words)[1])
+    assert [round(float(s.sum()), 5) for _, s in text] == [1, 1, 0, 1]
+    entries, y, weight = toxicity._together(text), np.array([0.0, 1, 0, 1]), np.array([1.0, 2, 0.5, 3])
+    e, w, b = rng.normal(0, 1, (len(used), 3)), rng.normal(0, 1, 3), 0.2
+    loss = lambda e, w, b: toxicity.gradients(e, w, b, entries, y, weight)[0]
+    _, by_gram, d_w, d_b = toxicity.gradients(e, w, b, entries, y, weight)
+    t = 1e-6
+    for i, j in ((0, 0), (5, 1), (len(used) - 1, 2)):
+        shift = np.zeros_like(e)
+        shift[i, j] = t
+        assert np.isclose((loss(e + shift, w, b) - loss(e - shift, w, b)) / (2 * t), by_gram[i] * w[j], atol=1e-6)
+    for j in range(3):
+        shift = np.eye(3)[j] * t
+        assert np.isclose((loss(e, w + shift, b) - loss(e, w - shift, b)) / (2 * t), d_w[j], atol=1e-6)
+    assert np.isclose((loss(e, w, b + t) - loss(e, w, b - t)) / (2 * t), d_b, atol=1e-6)
 
 
 def test_scores_of_odd_rows(spark, docs):
@@ -356,6 +382,7 @@ def test_scores_of_odd_rows(spark, docs):
         for some in (labels, labels.limit(0), labels.where("quality = 1 OR quality IS NULL")):
             out = m.score(docs, m.train(docs, some, lambda i: F.lit(True)))
             assert out.count() == docs.count() and out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+        assert m.score(docs.limit(0), m.train(docs.limit(0), labels, lambda i: F.lit(True))).count() == 0
 
 
 def test_a_misspelling_nobody_labelled_counts():
