@@ -46,6 +46,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that staged() wrote; nothing may read them any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            jpath = jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(conf).delete(jpath, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -5,14 +5,15 @@ more share one among the first n - ceil(t n) + 1 of both, and at the first that
 be left. These first shingles travel as packed arrays, a few bytes each, and only those that different texts share
 become rows. Texts that share such a shingle are compared by their whole sets: first each with the least text of
 its shingle, then all those that are still in different groups. Before that, the parities of a set's shingles
-by their last bits bound how much two sets differ from below. No pair is lost; the counts that give the order
-come from a sample and bear on the work alone.
+by their last bits, as many parities as the set has shingles or more, bound how much two sets differ from below.
+No pair is lost; the counts that give the order come from a sample and bear on the work alone.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import hashed_words, map_texts, parallelism, prepare, staged, window_hashes
+from recollect.llm.common import discard, hashed_words, map_texts, parallelism, prepare, staged, window_hashes
 from recollect.llm.components import components
 from recollect.llm.simhash import fingerprint, links
 
@@ -30,8 +31,10 @@ LIKENESS = 0.8
 #: Shingles are counted in about so many documents; at most so many common ones are put last.
 SAMPLE = 10_000
 MOST_COMMON = 100_000
-#: Parities kept of a set, a power of two.
-BITS = 1024
+#: Least number of parities kept of a set, a power of two.
+BITS = 64
+#: Pairs of texts that a task looks at at once.
+AT_ONCE = 1 << 19
 #: Bytes of text whose first shingles make up a bucket, on average; first shingles that a task packs at once.
 BUCKET_BYTES = 64 << 20
 PACKED = 1 << 18
@@ -64,11 +67,26 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Whether the shingles of each BITS last bits are odd in number; two sets differ in at least as many as these do."""
-    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Whether the shingles of each value of their last bits are odd in number, for a power of two of values.
+
+    Two sets differ in at least as many shingles as their parities do. There are as many as shingles or more: with
+    far fewer, the parities of any two long sets differ in about half, which tells nothing.
+    """
+    size = max(BITS, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differing(s: str, t: str) -> Column:
+    """The number of parities that differ between two arrays, the longer one folded to the other's length."""
+    least = F.least(F.size(s), F.size(t))
+
+    def folded(v: str, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(v) - 1, least), F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.element_at(v, k + 1)))
+
+    return F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(s, i).bitwiseXOR(folded(t, i))))
+
+
 def _common(slim: DataFrame, size: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles of about `sample` documents, sorted, and their counts."""
     share = min(1.0, sample / max(1, slim.count()))
@@ -171,8 +189,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """(a, b) of roots: the pairs (x, y, a, b) whose whole sets are similar."""
         own = each.select("node", "n", "bits")
         both = pairs.join(own.toDF("x", "n", "s"), "x").join(own.toDF("y", "m", "t"), "y")
-        apart = F.aggregate(F.zip_with("s", "t", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda a, x: a + x)
-        pairs = staged(both.where(apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("m")) + 1e-9).select("x", "y", "a", "b"), "close")
+        pairs = staged(both.where(_differing("s", "t") <= (1 - least) / (1 + least) * (F.col("n") + F.col("m")) + 1e-9).select("x", "y", "a", "b"), "close")
         wanted = staged(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "wanted")
         # a written table has a known size, so that few ids are broadcast and the texts stay where they are
         ids = staged(each.join(wanted, "node").where("id is not null").select("id").distinct(), "ids")
@@ -181,7 +198,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = staged(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "sets")
         both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("t")), "y")
         both = both.withColumn("both", F.size(F.array_intersect("s", "t")))
-        return staged(both.where(F.col("both") / (F.size("s") + F.size("t") - F.col("both")) >= least).select("a", "b").distinct(), "links")
+        found = staged(both.where(F.col("both") / (F.size("s") + F.size("t") - F.col("both")) >= least).select("a", "b").distinct(), "links")
+        discard(pairs, wanted, ids, sets)
+        return found
 
     heads = shared.groupBy("key").agg(F.min(F.struct("node", "root", "n", "at")).alias("h"))
     stars = shared.join(heads, "key").where((F.col("root") != F.col("h.root")) & _may_reach(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), least))
@@ -193,26 +212,48 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a key of many texts is dealt out as pairs of blocks
     dealt = now.join(apart, "key").withColumn("blocks", F.ceil(F.col("m") / most)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("node", "root", "whole", "n", "at", "block")).alias("v"))
-    dealt = dealt.where(F.size("v") > 1).select("low", "high", *(F.col(f"v.{c}").alias(c) for c in ("node", "root", "whole", "n", "at", "block")))
-
-    def crossed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            out = set()
-            for r in x.itertuples(index=False):
-                node, root, whole, n, at, block = (np.asarray(v, np.int64) for v in (r.node, r.root, r.whole, r.n, r.at, r.block))
-                left, right = np.flatnonzero(block == r.low), np.flatnonzero(block == r.high)
-                need = np.ceil(least / (1 + least) * (n[left][:, None] + n[right][None, :]) - 1e-9)
-                rest = n - at
-                fit = (np.minimum(rest[left][:, None], rest[right][None, :]) >= need) & (whole[left][:, None] != whole[right][None, :])
-                for i, j in zip(*np.nonzero(fit), strict=True):
-                    k, m = left[i], right[j]
-                    if node[k] < node[m]:
-                        k, m = m, k
-                    out.add((int(node[k]), int(node[m]), int(root[k]), int(root[m])))
-            yield pd.DataFrame(list(out), columns=["x", "y", "a", "b"], dtype="int64")
-
-    rest = dealt.mapInPandas(crossed, "x bigint, y bigint, a bigint, b bigint").distinct().join(stars, ["x", "y"], "left_anti")
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "whole", "n", "at")
+    # as rows in order, not as lists: a batch of lists can take any number of bytes
+    dealt = dealt.repartition(parallelism(docs.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def crossed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((9, 0), np.int64)
+        for frame in chain(frames, [None]):
+            if frame is not None:
+                held = np.concatenate((held, [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in frame.columns]), axis=1)
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, held.shape[1]), bool), (held[:3, 1:] != held[:3, :-1]).any(axis=0))))
+            if frame is not None:
+                starts, end = starts[:-1], starts[-1] if len(starts) else 0  # the last group may go on
+            else:
+                end = held.shape[1]
+            size = np.diff(np.append(starts, end))
+            before = np.cumsum(size * (size - 1) // 2)
+            lo = 0
+            while lo < len(size):
+                hi = max(lo + 1, int(np.searchsorted(before, (before[lo - 1] if lo else 0) + AT_ONCE)))
+                yield met(held[:, starts[lo] : starts[hi] if hi < len(size) else end], size[lo:hi])
+                lo = hi
+            held = held[:, end:]
+
+    def met(rows: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        """The pairs within groups of these sizes that can be similar enough, each once."""
+        _, low, high, block, node, root, whole, n, at = rows
+        later = np.repeat(np.cumsum(size), size) - np.arange(len(node)) - 1
+        i = np.repeat(np.arange(len(node)), later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        fit = (whole[i] != whole[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+        i, j = i[fit], j[fit]
+        fit = np.minimum(n[i] - at[i], n[j] - at[j]) >= np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
+        i, j = i[fit], j[fit]
+        i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
+        order = np.lexsort((node[j], node[i]))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])
+        i, j = i[new], j[new]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], names=["x", "y", "a", "b"])
+
+    rest = dealt.mapInArrow(crossed, "x bigint, y bigint, a bigint, b bigint").distinct().join(stars, ["x", "y"], "left_anti")
     found = found.union(compared(staged(rest, "pairs")))
     grouped = components(found)
     ends = staged(classes.join(grouped.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("fp", "least", F.coalesce("whole", "root").alias("root")), "ends")

@@ -61,3 +61,28 @@ def test_pipeline_keeps_one_of_near_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
     assert kept == set(_groups(texts)[0])
+
+
+def test_parities_tell_long_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (60, 4000):  # a fixed 1,024 parities of 4,000 shingles never reached the bound
+        own, other = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        a, b = (np.unpackbits(copies.parities(x).view(np.uint8)) for x in (own, other))
+        assert len(a) == len(b) >= n
+        assert (a != b).sum() > (1 - copies.LIKENESS) / (1 + copies.LIKENESS) * 2 * n
+        near = np.append(own[: -n // 20], other[: n // 20])
+        c = np.unpackbits(copies.parities(near).view(np.uint8))
+        assert (a != c).sum() <= len(np.setxor1d(own, near))
+
+
+def test_parities_of_different_lengths_are_folded(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    own = np.unique(rng.integers(0, 1 << 63, 140).astype(np.uint64))  # 256 parities; 120 of these have 128
+    rows = [(copies.parities(own).tolist(), copies.parities(own[:k]).tolist(), 140 - k) for k in (140, 130, 120, 50)]
+    found = spark.createDataFrame(rows, "s array<bigint>, t array<bigint>, d int").select(copies._differing("s", "t").alias("n"), copies._differing("t", "s").alias("m"), "d").collect()
+    assert all(r.n == r.m <= r.d for r in found)
+    assert [r.n for r in found][0] == 0 < found[1].n
