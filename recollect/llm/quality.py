@@ -2,26 +2,31 @@
 
 A pair prefers a document of label 1 to one of label 0. The chance that i beats j is the logistic function of
 the difference of their scores, and a score is linear in the features, so the fit is a logistic regression on
-differences of features.
+differences of features. All pairs of all labelled rows count: with the rows of each class summed by narrow bins of
+their score, a pass over the rows gives the loss over all pairs and its gradient.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import by_size, hashed_words, map_texts, prepare
-from recollect.llm.toxicity import _platt, labelled
+from recollect.llm.common import by_size, discard, hashed_words, map_texts, prepare, staged
+from recollect.llm.toxicity import _platt
 
 IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-#: Most labelled rows of each class, and preference pairs, that the model is fitted on.
-MOST_LABELLED = 1500
-MOST_PAIRS = 20_000
-SEED = 11
+#: Bins of the scores in a pass over the labelled rows.
+BINS = 2048
+#: Weight of the ridge on the squared weights; most Newton steps.
+RIDGE = 1e-3
+STEPS = 40
+#: Deviations beyond which a feature counts as so many.
+MOST = 8
 
 _CLASS = np.zeros(256, np.uint8)  # of bytes: 1 upper, 2 lower or part of a non-ASCII character, 3 digit, 4 space, 5 , or ., 6 other
 for _b in range(256):
@@ -79,58 +84,137 @@ class Model:
     threshold: float
 
     def rank(self, x: np.ndarray) -> np.ndarray:
-        """Bradley-Terry scores. A feature beyond 8 deviations counts as 8."""
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        """Bradley-Terry scores. A feature beyond MOST deviations counts as MOST."""
+        return np.clip((x - self.mean) / self.scale, -MOST, MOST) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.rank(x) - self.threshold), -40, 40)))
 
 
-def fit(x: np.ndarray, good: Sequence[int], share: float, epochs: int = 300) -> Model:
-    """Fit scores to preference pairs, then set the threshold.
+def _pairs(n1: np.ndarray, z1: np.ndarray, n0: np.ndarray, z0: np.ndarray, within: Sequence[np.ndarray], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean loss over all pairs of a row of label 1 and one of label 0, its gradient and about its curvature.
 
-    Pairs are drawn at random, each of a row of either class, MOST_PAIRS of them. The threshold is the quantile
-    of the ranked sample, weighted to all labelled rows, at the share of label 0: as many rows as are labelled
-    0 fall below it. It lies midway between the scores around that quantile, and there the probability is 0.5.
-    Without rows of both classes all texts get a score of 1 or 0, the one label known, or 0.5 for none.
+    n and z are the number and the mean features of the rows of each bin; a bin's rows count with its mean score.
+    `within` has each class's mean covariance in a bin, which the curvature alone needs.
     """
-    y = np.asarray(good, np.int64)
-    if not 0 < y.sum() < len(y):
-        k = x.shape[1]
-        return Model(np.zeros(k), np.ones(k), np.zeros(k), 1.0, 0.0 if not len(y) else -20.0 if y[0] else 20.0)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    gap = (z1 @ w)[:, None] - (z0 @ w)[None, :]
+    share = (n1 / n1.sum())[:, None] * (n0 / n0.sum())[None, :]
+    wrong = 1 / (1 + np.exp(np.clip(gap, -40, 40)))
+    loss = float((share * np.logaddexp(0, -gap)).sum()) + RIDGE / 2 * float(w @ w)
+    p = share * wrong
+    grad = z0.T @ p.sum(axis=0) - z1.T @ p.sum(axis=1) + RIDGE * w
+    h = p * (1 - wrong)
+    a, b, cross = h.sum(axis=1), h.sum(axis=0), z1.T @ h @ z0
+    curved = (z1.T * a) @ z1 + (z0.T * b) @ z0 - cross - cross.T + a.sum() * within[1] + b.sum() * within[0]
+    return loss, grad, curved + RIDGE * np.eye(len(w))
+
+
+def _nth(values: DataFrame, n: int) -> float:
+    """Midway between the n-th smallest s of `values` (from 1) and the one after it, exactly, by passes over bins."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    rest = n
+    while low < high:
+        at = F.least(F.lit(BINS - 1), F.floor((F.col("s") - low) / (high - low) * BINS))
+        for _, count, first, last in sorted(values.where(F.col("s").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*"), F.min("s"), F.max("s")).collect()):
+            if rest <= count:
+                low, high = first, last
+                break
+            rest -= count
+    up_to, after = values.agg(F.count(F.when(F.col("s") <= low, 1)), F.min(F.when(F.col("s") > low, F.col("s")))).first()
+    return low if up_to > n or after is None else (low + after) / 2
+
+
+def _exact(x: np.ndarray | float) -> np.ndarray:
+    """x to nine digits: sums in another order give the same model."""
+    return np.array([float(f"{v:.9g}") for v in np.ravel(x)])
+
+
+def fit(rows: DataFrame) -> Model:
+    """Fit scores to all preference pairs of `rows` (y 0 or 1, x the FEATURES), then set the threshold.
+
+    Newton steps, each a pass over the rows that brings sums by class and bin of the score to the driver. The
+    threshold is the quantile of all labelled rows at the share of label 0: as many rows as are labelled 0 fall
+    below it. It lies midway between the scores around that quantile, and there the probability is 0.5. Without rows
+    of both classes all texts get a score of 1 or 0, the one label known, or 0.5 for none.
+    """
+    k = len(FEATURES)
+    x = [F.col("x")[i] for i in range(k)]
+    n, ones, *stats = rows.agg(F.count("*"), F.sum("y"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
+    if not n or not 0 < ones < n:
+        return Model(np.zeros(k), np.ones(k), np.zeros(k), 1.0, 0.0 if not n else -20.0 if ones else 20.0)
+    mean, scale = _exact(stats[:k]), _exact(stats[k:])
     scale[scale < 1e-9] = 1.0
-    z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(SEED)
-    better, worse = rng.choice(np.flatnonzero(y == 1), MOST_PAIRS), rng.choice(np.flatnonzero(y == 0), MOST_PAIRS)
-    d = z[better] - z[worse]
-    w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
-    for step in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # the chance of the wrong order
-        grad = -(d * p[:, None]).mean(axis=0) + 1e-3 * w
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    s = z @ w
-    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
-    order = np.argsort(s, kind="stable")
-    k = int(np.searchsorted(np.cumsum(weight[order]), 1 - share - 1e-9))
-    cut = (s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2
-    slope, _ = _platt(s - cut, y.astype(float), weight * len(y))
-    return Model(mean, scale, w, max(slope, 1e-3), float(cut))
+    names = [f"z{i}" for i in range(k)]
+    z = rows.select("y", *(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), (c - float(m)) / float(d))).alias(a) for c, m, d, a in zip(x, mean, scale, names, strict=True)))
+
+    def scored(w: np.ndarray) -> DataFrame:
+        return z.withColumn("s", sum((F.col(a) * float(v) for a, v in zip(names, w, strict=True)), F.lit(0.0)))
+
+    def products(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, k, k))
+        for frame in frames:
+            y, *columns = (c.to_numpy(zero_copy_only=False) for c in frame.columns)
+            own = np.stack(columns)
+            for side in (0, 1):
+                total[side] += own[:, y == side] @ own[:, y == side].T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
+
+    square = np.zeros(2 * k * k)
+    for at, v in z.mapInArrow(products, "at bigint, v double").groupBy("at").agg(F.sum("v")).collect():
+        square[at] = v
+    square = square.reshape(2, k, k)
+
+    def measured(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        wide = max(2 * MOST * float(np.abs(w).sum()), 1e-9) / BINS
+        got = np.array([tuple(r) for r in scored(w).groupBy("y", F.floor(F.col("s") / wide).alias("bin")).agg(F.count("*"), *(F.sum(a) for a in names)).drop("bin").collect()], float)
+        sides = [(r[:, 1], r[:, 2:] / r[:, 1:2]) for r in (got[got[:, 0] == side] for side in (0, 1))]
+        within = [(square[side] - (means.T * count) @ means) / count.sum() for side, (count, means) in enumerate(sides)]
+        return _pairs(*sides[1], *sides[0], within, w)
+
+    w = np.zeros(k)
+    loss, grad, curved = measured(w)
+    for _ in range(STEPS):
+        step = -np.linalg.solve(curved, grad)
+        if float(-grad @ step) < 1e-10:
+            break
+        size = 1.0
+        while True:
+            then = measured(w + size * step)
+            if then[0] <= loss or size < 1e-3:
+                break
+            size /= 2
+        if then[0] > loss:
+            break
+        w, (loss, grad, curved) = w + size * step, then
+    w = _exact(np.round(w, 6))
+    found = scored(w)
+    cut = float(_exact(_nth(found, n - ones))[0])
+    low, high = found.agg(F.min("s"), F.max("s")).first()
+    wide = max(high - low, 1e-9) / (2 * BINS)
+    bins = found.groupBy("y", F.floor((F.col("s") - low) / wide).alias("bin")).agg(F.count("*"), F.sum("s")).collect()
+    y, _, count, total = (np.array(c, float) for c in zip(*sorted(bins, key=lambda r: (r[0], r[1])), strict=True))
+    slope, _ = _platt(total / count - cut, y, count)
+    return Model(mean, scale, w, max(float(_exact(slope)[0]), 1e-3), cut)
 
 
 def _bytes(texts: Sequence[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    """Fit a Model on at most `most` labelled rows of each class; only their features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit a Model on all labelled rows whose id meets the condition `learn`.
+
+    Labels that are null or without a text are left out. The texts become features before they meet the labels, so
+    that only features are shuffled.
+    """
     prepare(docs.sparkSession)
-    rows, share = labelled(docs, labels, label, learn, id_col, text_col, most)
-    got = sorted((r[id_col], r[label], *r["features"]) for r in map_texts(rows, text_col, "features array<double>", lambda: lambda texts: [list(features(_bytes(texts)))]).collect())
-    x = np.array([r[2:] for r in got]).reshape(len(got), len(FEATURES))
-    return fit(x, [r[1] for r in got], share)
+    usable = labels.where(F.col(label).isin(0, 1) & learn(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).distinct()
+    texts = docs.where(learn(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = map_texts(texts, "text", "x array<double>", lambda: lambda texts: [list(features(_bytes(texts)))])
+    rows = staged(rows.join(usable, "id").select("y", "x"), "labelled")
+    model = fit(rows)
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:

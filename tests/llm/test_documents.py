@@ -347,6 +347,26 @@ def test_quality_of_held_out_rows(spark):
     _accuracy(spark, "quality", "quality", 3, 1, quality.train, quality.score, 0.99, 0.5)
 
 
+def test_quality_is_fitted_on_all_labelled_rows_and_pairs(spark):
+    """More rows of either class than the 1,500 that once were taken."""
+    rng = random.Random(8)
+    words = ["plain", "words", "of", "text", "42", "###", "a,b", "|", "SHOUT", "wonderfulness"]
+    texts = [" ".join(rng.choices(words, range(1, 11) if rng.random() < 0.5 else range(10, 0, -1), k=rng.randrange(1, 30))) for _ in range(4000)]
+    good = [int(t.count("#") + t.count("|") < 5 + rng.randrange(3)) for t in texts]
+    assert 1600 < sum(good) < 2400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id bigint, quality int")
+    model = quality.train(docs, labels, lambda i: F.lit(True))
+    x, y = quality.features([t.encode() for t in texts]), np.array(good)
+    assert np.allclose(model.mean, x.mean(axis=0))
+    z = np.clip((x - x.mean(axis=0)) / model.scale, -quality.MOST, quality.MOST)
+    a, b = z[y == 1], z[y == 0]
+    wrong = 1 / (1 + np.exp((a @ model.weights)[:, None] - (b @ model.weights)[None, :]))
+    grad = (b.T @ wrong.sum(axis=0) - a.T @ wrong.sum(axis=1)) / wrong.size + quality.RIDGE * model.weights
+    assert np.abs(grad).max() < 2e-3  # the least loss over all pairs; at no weights it is about 0.3
+    assert (model.rank(x) < model.threshold).sum() == (y == 0).sum()
+
+
 def test_toxicity_of_held_out_rows(spark):
     scored = sorted(_accuracy(spark, "toxicity", "toxic", 4, 2, toxicity.train, toxicity.score, 0.94, 0.3), reverse=True)
     hits = np.cumsum([k for _, k in scored])
