@@ -29,7 +29,7 @@ from recollect.llm.common import prepare
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split(), not for the pattern
-#: Most distinct chunks of text whose ids a task remembers.
+#: Most distinct chunks of text, and most words, whose ids a task remembers.
 REMEMBER = 200_000
 #: Bytes above which a word is merged by the places of each rank; the ids are the same on either side.
 LONG = 256
@@ -72,9 +72,10 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.split = regex.compile(SPLIT)
+        self.split = regex.compile(SPLIT + "|\n")  # chunks have no white space: a line each
         self.specials = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, words: Sequence[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word (none empty): the words up to LONG bytes together, and the longer ones together."""
@@ -166,19 +167,18 @@ class Encoder:
         while len(names):
             starts = np.cumsum(lengths) - lengths
             owner = np.repeat(np.arange(len(names)), lengths)
-            rank = np.full(len(ids), never)
-            if len(ids) > 1:
-                key = ids[:-1] * v.size + ids[1:]
-                at = np.minimum(np.searchsorted(v.keys, key), never - 1)
-                good = (v.keys[at] == key) & (owner[:-1] == owner[1:])
-                rank[:-1][good] = v.ranks[at[good]]
+            at, rank = np.full(len(ids), -1), np.full(len(ids), never)
+            inside = np.flatnonzero(owner[:-1] == owner[1:])
+            at[inside] = self.look_up(ids[inside], ids[inside + 1])
+            good = np.flatnonzero(at >= 0)
+            rank[good] = v.ranks[at[good]]
             best = np.minimum.reduceat(rank, starts)
             done = best == never
             if done.any():
                 for k in np.flatnonzero(done).tolist():
                     out[names[k]] = tuple(map(v.numbers.__getitem__, ids[starts[k] : starts[k] + lengths[k]].tolist()))
                 stay = ~done[owner]
-                ids, rank, owner = ids[stay], rank[stay], owner[stay]
+                ids, at, rank = ids[stay], at[stay], rank[stay]
                 names, lengths, best = names[~done], lengths[~done], best[~done]
                 if not len(names):
                     break
@@ -188,7 +188,7 @@ class Encoder:
             run = place - np.maximum.accumulate(np.where(chosen, -1, place))
             chosen &= run % 2 == 1  # of pairs that overlap, aaa, every other one from the left
             first = np.flatnonzero(chosen)
-            ids[first] = v.merged[np.searchsorted(v.keys, ids[first] * v.size + ids[first + 1])]
+            ids[first] = v.merged[at[first]]
             lengths = lengths - np.bincount(owner[first], minlength=len(names))
             keep = np.ones(len(ids), bool)
             keep[first + 1] = False
@@ -197,25 +197,35 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of all chunks (text without white space) into `seen`."""
-        new = chunks - self.seen.keys()
+        new = list(chunks - self.seen.keys())
         if len(self.seen) + len(new) > REMEMBER:
-            self.seen.clear()
-            new = chunks
-        plans: dict[str, list[int | bytes]] = {}
-        for chunk in new:
-            plan: list[int | bytes] = []
-            for piece in self.specials.split(chunk) if self.specials else [chunk]:
-                if piece in self.v.special:
-                    plan.append(self.v.special[piece])
-                elif piece:
-                    # each character is lower-cased alone, so a capital sigma never becomes a final one
-                    low = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                    plan += [w.encode("utf-8") for w in self.split.findall(low)]
-            plans[chunk] = plan
-        words = list({w for plan in plans.values() for w in plan if isinstance(w, bytes)})
-        ids = dict(zip(words, self.merge(words), strict=True))
+            self.seen = {c: self.seen[c] for c in chunks if c in self.seen}
+        if len(self.words) > REMEMBER:
+            self.words.clear()
+        plans: dict[str, list[int | list[str]]] = {}
+        if self.specials and self.specials.search("\n".join(new)):
+            for chunk in filter(self.specials.search, new):
+                plans[chunk] = [self.v.special[p] if p in self.v.special else self.split.findall(self.folded(p)) for p in self.specials.split(chunk)]
+            new = [c for c in new if c not in plans]
+        found = self.split.findall(self.folded("\n".join(new)))
+        words = list({*found, *(w for plan in plans.values() for p in plan if isinstance(p, list) for w in p)} - self.words.keys() - {"\n"})
+        self.words.update(zip(words, self.merge([w.encode("utf-8") for w in words]), strict=True))
+        at, ids = 0, ()
+        for w in found:
+            if w == "\n":
+                self.seen[new[at]] = ids
+                at, ids = at + 1, ()
+            else:
+                ids = ids + self.words[w] if ids else self.words[w]
+        if new:
+            self.seen[new[at]] = ids
         for chunk, plan in plans.items():
-            self.seen[chunk] = tuple(i for w in plan for i in (ids[w] if isinstance(w, bytes) else (w,)))
+            self.seen[chunk] = tuple(i for p in plan for i in ([p] if isinstance(p, int) else (i for w in p for i in self.words[w])))
+
+    @staticmethod
+    def folded(text: str) -> str:
+        """Each character is lower-cased alone, so a capital sigma never becomes a final one."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def encode(self, texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[list[int]]:
         """The ids of each text; chunks are learnt for about `most` characters at a time."""

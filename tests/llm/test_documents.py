@@ -195,6 +195,25 @@ def test_bpe_is_the_librarys(docs, rows):
     assert got == sorted(whole)
 
 
+def test_bpe_merges_a_word_once(monkeypatch):
+    """With other punctuation beside it, in another text, and when what is remembered is cut."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBER", 12)
+    library, encoder = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.Vocabulary(VOCABULARY))
+    special = next(iter(encoder.v.special))
+    merged, merge = [], encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda words: (merged.extend(words), merge(words))[1])
+    texts = ["ciónarción, Ciónarción.", f"(ciónarción) x{special}Σας{special} {special}", None, "", "ciónarción; \x1c e\u0301t\u00e9 \u0301a 12it's"]
+    texts += [" ".join(f"ciónarción w{k}{c}" for c in "abcdefgh") for k in range(6)] + texts
+    for at, text in enumerate(texts):
+        ids = next(encoder.encode([text]))
+        assert ids == library.encode(text or "", add_special_tokens=False).ids
+        assert len(encoder.seen) <= 12 + len((text or "").split()) and len(encoder.words) <= 12 + 3 * len((text or "").split())
+        if at == 1:
+            assert merged.count("ciónarción".encode()) == 1
+
+
 def test_bpe_of_long_words():
     """Long words go by places of ranks: the library's ids, those of the other rounds, and no quadratic time."""
     from tokenizers import Tokenizer
