@@ -217,7 +217,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.repartition(parallelism(docs.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def crossed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((9, 0), np.int64)
+        held, out, waiting = np.zeros((9, 0), np.int64), [], 0
         for frame in chain(frames, [None]):
             if frame is not None:
                 held = np.concatenate((held, [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in frame.columns]), axis=1)
@@ -231,12 +231,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lo = 0
             while lo < len(size):
                 hi = max(lo + 1, int(np.searchsorted(before, (before[lo - 1] if lo else 0) + AT_ONCE)))
-                yield met(held[:, starts[lo] : starts[hi] if hi < len(size) else end], size[lo:hi])
+                out.append(met(held[:, starts[lo] : starts[hi] if hi < len(size) else end], size[lo:hi]))
+                waiting += out[-1].shape[1]
                 lo = hi
+                if waiting >= AT_ONCE:  # pairs share many shingles
+                    yield once(out)
+                    out, waiting = [], 0
             held = held[:, end:]
-
-    def met(rows: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        """The pairs within groups of these sizes that can be similar enough, each once."""
+        if waiting:
+            yield once(out)
+
+    def once(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(parts, axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, new]], names=["x", "y", "a", "b"])
+
+    def met(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The pairs within groups of these sizes that can be similar enough."""
         _, low, high, block, node, root, whole, n, at = rows
         later = np.repeat(np.cumsum(size), size) - np.arange(len(node)) - 1
         i = np.repeat(np.arange(len(node)), later)
@@ -246,12 +259,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fit = np.minimum(n[i] - at[i], n[j] - at[j]) >= np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
         i, j = i[fit], j[fit]
         i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
-        order = np.lexsort((node[j], node[i]))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])
-        i, j = i[new], j[new]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], names=["x", "y", "a", "b"])
+        return np.stack((node[i], node[j], root[i], root[j]))
 
     rest = dealt.mapInArrow(crossed, "x bigint, y bigint, a bigint, b bigint").distinct().join(stars, ["x", "y"], "left_anti")
     found = found.union(compared(staged(rest, "pairs")))
