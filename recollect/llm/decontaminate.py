@@ -18,6 +18,8 @@ IS_WORD = np.array([b != 32 for b in range(256)])
 WINDOW = 10
 #: Most windows of the benchmark that one pass broadcasts; more are taken in several passes.
 MOST_WINDOWS = 500_000
+#: Bytes of text that are scanned at once: a worker keeps 32 to 64 bytes of powers for each.
+AT_ONCE = 1 << 18
 
 
 def folded(text: str | None) -> bytes:
@@ -77,7 +79,7 @@ def _scanner(spark: SparkSession, rows: list) -> Callable[[list], list]:
         known: _Windows = found.value
         texts = [folded(t) for t in texts]
         words, spans, items = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
-        for lo, hi in by_size(texts):
+        for lo, hi in by_size(texts, AT_ONCE):
             data = b" ".join(texts[lo:hi])
             starts, ends, h = hashed_words(data, IS_WORD)
             firsts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])).tolist()  # the word at which each text begins

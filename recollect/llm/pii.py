@@ -20,7 +20,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -354,6 +355,11 @@ def planted(contexts: list[tuple[str, str]], n: int = PLANTED, seed: int = SEED)
     return out
 
 
+def _table(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(id, text) by place; from Arrow, so that executors start no Python workers to unpickle rows."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CANDIDATES, documents: int = MOST_DOCUMENTS) -> Trees | None:
     """Fit on values planted between words of the documents, and on candidates of theirs that pass no check.
 
@@ -370,7 +376,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     if not texts:
         return None
     proposed, features = F.explode(candidates(F.col("text"))).alias("c"), _features(F.col("c")).alias("f")
-    snippets = docs.sparkSession.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "id bigint, text string").select("id", proposed)
+    snippets = _table(docs.sparkSession, [t for t, _ in texts]).select("id", proposed)
     right = [(r["id"], r["start"], r["end"], tuple(r["f"])) for r in snippets.select("id", "c.start", "c.end", features).collect()]
     own = chosen.select("id", proposed).orderBy(F.xxhash64("id", "c.start", "c.end"), "id", "c.start", "c.end").limit(most).select(features)
     f = lambda n: F.col(f"f.{n}")

@@ -28,6 +28,9 @@ STEPS = 40
 #: Deviations beyond which a feature counts as so many.
 MOST = 8
 
+#: Bytes of text whose features are made at once: a worker keeps 32 to 64 bytes of powers for each.
+AT_ONCE = 1 << 18
+
 _CLASS = np.zeros(256, np.uint8)  # of bytes: 1 upper, 2 lower or part of a non-ASCII character, 3 digit, 4 space, 5 , or ., 6 other
 for _b in range(256):
     _c = chr(_b)
@@ -38,7 +41,7 @@ FEATURES = ("upper", "digit", "comma", "symbol", "ends_symbol", "bar", "no_lette
 def features(texts: Sequence[bytes]) -> np.ndarray:
     """A row of FEATURES for each text: shares of bytes and words, mean lengths and logarithms of counts."""
     out = np.zeros((len(texts), len(FEATURES)))
-    for lo, hi in by_size(texts):
+    for lo, hi in by_size(texts, AT_ONCE):
         data = b"\n".join(texts[lo:hi]) + b"\n"
         a = np.frombuffer(data, np.uint8)
         kind = _CLASS[a]
