@@ -205,19 +205,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = shared.groupBy("key").agg(F.min(F.struct("node", "root", "n", "at")).alias("h"))
     stars = shared.join(heads, "key").where((F.col("root") != F.col("h.root")) & _may_reach(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), least))
     stars = staged(stars.select(F.col("node").alias("x"), F.col("h.node").alias("y"), F.col("root").alias("a"), F.col("h.root").alias("b")).distinct(), "pairs")
-    found = compared(stars)
-    grouped = components(found)
+    grouped = staged(components(compared(stars)), "grouped")
     now = shared.join(grouped.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     apart = now.groupBy("key").agg(F.count("*").alias("m"), F.min("whole").alias("p"), F.max("whole").alias("q")).where("p <> q").select("key", "m")
     # a key of many texts is dealt out as pairs of blocks
     dealt = now.join(apart, "key").withColumn("blocks", F.ceil(F.col("m") / most)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "whole", "n", "at")
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "whole", "n", "at")
     # as rows in order, not as lists: a batch of lists can take any number of bytes
     dealt = dealt.repartition(parallelism(docs.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def crossed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out, waiting = np.zeros((9, 0), np.int64), [], 0
+        held, out, waiting = np.zeros((8, 0), np.int64), [], 0
         for frame in chain(frames, [None]):
             if frame is not None:
                 held = np.concatenate((held, [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in frame.columns]), axis=1)
@@ -250,7 +249,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def met(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The pairs within groups of these sizes that can be similar enough."""
-        _, low, high, block, node, root, whole, n, at = rows
+        _, low, high, block, node, whole, n, at = rows
         later = np.repeat(np.cumsum(size), size) - np.arange(len(node)) - 1
         i = np.repeat(np.arange(len(node)), later)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
@@ -259,11 +258,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fit = np.minimum(n[i] - at[i], n[j] - at[j]) >= np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
         i, j = i[fit], j[fit]
         i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
-        return np.stack((node[i], node[j], root[i], root[j]))
+        return np.stack((node[i], node[j], whole[i], whole[j]))
 
     rest = dealt.mapInArrow(crossed, "x bigint, y bigint, a bigint, b bigint").distinct().join(stars, ["x", "y"], "left_anti")
-    found = found.union(compared(staged(rest, "pairs")))
-    grouped = components(found)
-    ends = staged(classes.join(grouped.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("fp", "least", F.coalesce("whole", "root").alias("root")), "ends")
+    # the groups found first are joined as wholes, so that their links are not followed again
+    joined = components(compared(staged(rest, "pairs")))
+    ends = classes.join(grouped.select(F.col("node").alias("root"), F.col("root").alias("first")), "root", "left").select("fp", "least", F.coalesce("first", "root").alias("root"))
+    ends = ends.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("fp", "least", F.coalesce("whole", "root").alias("root"))
+    ends = staged(ends, "ends")
     named = ends.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(ends.join(named, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")

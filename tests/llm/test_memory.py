@@ -6,6 +6,7 @@ from pyspark import SparkContext
 
 from recollect import session
 from recollect.llm import common, decontaminate, pii, quality
+from recollect.llm.components import components
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -48,3 +49,22 @@ def test_texts_are_read_in_small_pieces(spark):
         work()
         assert sum(p.nbytes for p in common._POWERS) <= 16 << 20
     assert np.array_equal(quality.features(texts), np.concatenate([quality.features([t]) for t in texts]))
+
+
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_ask_little_of_the_driver(spark):
+    """A driver keeps each job's stages and plans: stars take no round, and a round is known to be the last."""
+    star = [(n, 1) for n in range(2, 40)] + [(n, 50) for n in range(51, 60)]
+    path = [(n, n + 1) for n in range(100, 120)]
+    for name, edges, most in (("star", star, 8), ("path", star + path, 60)):
+        df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+        found, jobs = _jobs(spark, name, lambda df=df: {r.node: r.root for r in components(df).collect()})
+        assert found == {n: 1 if n < 40 else 50 if n < 100 else 100 for e in edges for n in e}
+        assert jobs <= most, (name, jobs)
