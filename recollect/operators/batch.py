@@ -1,19 +1,22 @@
 """Recall for many prompts at once.
 
-What `search.recall`, `with_recent` and `graph.activate` do for one prompt is done here for a table of prompts: prompts
-are dealt into groups and nodes into blocks, a task scores one group against one block and keeps the best `k` of each
-prompt, and only these partial lists are shuffled and merged. Neither prompts nor nodes pass through the driver, and no
-task holds more than a group and a block. Time phrases give a prompt its window, results that fall short of the limit
+What `search.recall`, `with_recent` and `graph.activate` do for one prompt is done here for a table of prompts: a task
+holds a block of nodes, prompts pass by a few hundred at a time, and of each prompt the best `k` of the block leave the
+task; only these partial lists are shuffled and merged. Neither prompts nor nodes pass through the driver, and no
+task holds more than a block and some prompts. Time phrases give a prompt its window, results that fall short of the limit
 are filled up with the window's newest nodes, and the best results activate their neighbours. Reading changes nothing:
 `touches` are the accesses of direct hits, for `touch_all` to apply.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,11 +26,13 @@ from recollect.functions.text import QUESTION, words
 from recollect.model import PARAMS, Params, days_between
 from recollect.operators.graph import both_ways, factor, touched
 from recollect.operators.search import BETWEEN, IDENTITY_WORDS, K1, STOP_WORDS, B, alive, blended, final_score, normalised
-from recollect.operators.vectors import _matrix
+from recollect.operators.vectors import nearest
 from recollect.sources.tables import staged
 
-#: Prompts of a group and nodes of a block, which meet in one task.
-GROUP, BLOCK = 2048, 50_000
+#: Prompts that are scored at once, and nodes of a block.
+GROUP, BLOCK = 256, 20_000
+#: A term is common in a block if one in so many of its nodes has it; numbers in the matrix of common terms.
+SPARSE, MATRIX = 16, 8_000_000
 #: Parts of the join of candidates with nodes, so that a node that many prompts find is dealt.
 SALTS = 16
 
@@ -49,20 +54,6 @@ def plan(prompts: DataFrame, now: Column) -> DataFrame:
     return p.withColumn("terms", F.concat(terms, own)).drop("raw")
 
 
-def _dealt(rows: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
-    """Each row in the part `own` of its key, once for every part of the other side."""
-    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-
-def _best(prompt, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of one prompt; ties by id."""
-    if len(scores) > k:
-        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return pd.DataFrame({"prompt_id": prompt, "id": ids[order], "score": scores[order]})
-
-
 def _empty(*names: str) -> pd.DataFrame:
     return pd.DataFrame({n: [] for n in names})
 
@@ -72,70 +63,137 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def text_lists(planned: DataFrame, index, k: int, groups: int, params: Params = PARAMS) -> DataFrame:
+class _Block:
+    """The postings (key, id, w) of a block of nodes: lists of common terms as rows of a matrix, the others as they are."""
+
+    def __init__(self, key: np.ndarray, ids: pa.Array, w: np.ndarray):
+        named = ids.dictionary_encode()
+        first = pc.array_sort_indices(named.dictionary)
+        self.ids, place = named.dictionary.take(first), np.argsort(first.to_numpy())[named.indices.to_numpy()]
+        self.keys, code, counts = np.unique(key, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, code))
+        self.place, self.w, self.ends = place[order], w[order], np.append(0, np.cumsum(counts))
+        common = np.flatnonzero(counts * SPARSE >= len(self.ids))
+        common = common[np.argsort(-counts[common], kind="stable")][: max(1, MATRIX // len(self.ids))]
+        self.row, self.matrix = np.full(len(self.keys), -1), np.zeros((len(common), len(self.ids)))
+        self.row[common] = np.arange(len(common))
+        for r, c in enumerate(common):
+            self.matrix[r, self.place[self.ends[c] : self.ends[c + 1]]] = self.w[self.ends[c] : self.ends[c + 1]]
+
+    def scores(self, prompt: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """The score of each node for each of n prompts, from rows (prompt, code of a key that is there, weight)."""
+        common = self.row[code] >= 0
+        asked = np.zeros((n, len(self.matrix)))
+        asked[prompt[common], self.row[code[common]]] = weight[common]
+        out = asked @ self.matrix
+        for p, c, x in zip(prompt[~common], code[~common], weight[~common], strict=True):
+            at = slice(self.ends[c], self.ends[c + 1])
+            out[p, self.place[at]] += x * self.w[at]
+        return out
+
+    def every(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the nodes that have all the keys, from the rarest on."""
+        codes = codes[np.argsort(np.diff(self.ends)[codes], kind="stable")]
+        at = self.place[self.ends[codes[0]] : self.ends[codes[0] + 1]]
+        for c in codes[1:]:
+            if not len(at):
+                break
+            at = at[self.matrix[self.row[c], at] > 0] if self.row[c] >= 0 else np.intersect1d(at, self.place[self.ends[c] : self.ends[c + 1]], assume_unique=True)
+        return at
+
+
+def _best(group: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are the k best of their group; ties by place."""
+    order = np.lexsort((place, -score, group))
+    g = group[order]
+    return order[np.arange(len(g)) - np.searchsorted(g, g) < k]
+
+
+def _scored(block: _Block, rows: pa.Table, k: int) -> pa.RecordBatch:
+    """The k best nodes of the block for each prompt of the rows (prompt_id, key, x), and the k best of those that have every key."""
+    named = rows.column("prompt_id").combine_chunks().dictionary_encode()
+    prompt, key, weight, n = named.indices.to_numpy(), rows.column("key").to_numpy(), rows.column("x").to_numpy(), len(named.dictionary)
+    code = np.minimum(np.searchsorted(block.keys, key), len(block.keys) - 1)
+    there = block.keys[code] == key
+    s = block.scores(prompt[there], code[there], weight[there], n)
+    least = np.partition(s, -k, axis=1)[:, -k, None] - 2e-6 if s.shape[1] > k else -1.0  # scores are compared as rounded to six places
+    i, j = np.nonzero((s > 0) & (s >= least))
+    keep = _best(i, j, np.round(s[i, j], 6), k)
+    found = [np.stack([i[keep], j[keep]])]
+    whole = np.flatnonzero((np.bincount(prompt, there, n) == np.bincount(prompt, minlength=n)) & (np.bincount(prompt, minlength=n) > 0))
+    starts = np.searchsorted(prompt, np.arange(n + 1))
+    every = [(p, at) for p in whole if len(at := block.every(code[starts[p] : starts[p + 1]]))]
+    if every:
+        i, j = np.concatenate([np.full(len(at), p) for p, at in every]), np.concatenate([at for _, at in every])
+        keep = _best(i, j, np.round(s[i, j], 6), k)
+        found.append(np.stack([i[keep], j[keep]]))
+        both, at = np.unique(np.concatenate([x[0] * s.shape[1] + x[1] for x in found]), return_index=True)
+        has = np.isin(both, i * s.shape[1] + j)
+    else:
+        both, has = found[0][0] * s.shape[1] + found[0][1], np.zeros(found[0].shape[1], bool)
+    i, j = np.divmod(both, s.shape[1])
+    return pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(i)), block.ids.take(pa.array(j)), pa.array(np.round(s[i, j], 6)), pa.array(has)], names=["prompt_id", "id", "score", "every"])
+
+
+def text_lists(planned: DataFrame, index, k: int, params: Params = PARAMS) -> DataFrame:
     """(prompt_id, id, score, rank): the k best nodes by BM25 of each planned prompt, from the stored index.
 
-    Where some node has every term of a prompt, only such nodes count, as in search.bm25.
+    Where some node has every term of a prompt, only such nodes count, as in search.bm25. A task holds the postings of
+    a block of nodes, which travel once, and the terms of all prompts pass by, a few hundred prompts at a time.
     """
     docs, total, _ = index.totals()
-    mean, blocks = (total / docs if docs else 0.0), max(1, docs // BLOCK, index.parallelism())
-    split = F.array_remove(F.split("term", BETWEEN), "")
-    each = planned.select("prompt_id", F.posexplode("terms").alias("place", "term")).withColumn("parts", split)
-    each = staged(each.withColumn("key", F.array_join("parts", " ")).drop("term"), "terms")
-    found = staged(index.counts(each.select("key", "parts").distinct(), params.field_weights), "counts").where("tf > 0")
+    mean, blocks = (total / docs if docs else 0.0), max(1, docs // BLOCK, 2 * planned.sparkSession.sparkContext.defaultParallelism)
+    each = planned.select("prompt_id", F.explode("terms").alias("term")).groupBy("prompt_id", F.array_remove(F.split("term", BETWEEN), "").alias("parts")).agg(F.count("*").alias("m"))
+    each = staged(each.withColumn("name", F.array_join("parts", " ")), "terms")
+    names = staged(each.select("name", "parts").distinct().withColumn("key", F.monotonically_increasing_id()), "keys")
+    found = staged(index.counts(names.select("key", "parts"), params.field_weights), "counts").where("tf > 0")
     frequency = found.groupBy("key").agg(F.count("*").alias("d"))
     ratio = (F.lit(float(docs)) - F.col("d") + 0.5) / (F.col("d") + 0.5)
     idf = F.when(F.log(ratio) > 0, F.log(ratio)).otherwise(1e-6)
-    left = each.drop("parts").join(frequency, "key", "left").withColumn("idf", idf)
-    right = found.withColumn("below", F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
+    left = each.join(names.select("name", "key"), "name").join(frequency, "key", "left").select("prompt_id", "key", (F.col("m") * idf).alias("x"))
+    below = F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean))
+    right = found.select("key", "id", (F.col("tf") * (K1 + 1) / below).alias("x"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     kinds = f"prompt_id {dict(planned.dtypes)['prompt_id']}, id {dict(found.dtypes)['id']}, score double, every boolean"
 
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return _empty("prompt_id", "id", "score", "every")
-        ids, place = np.unique(b["id"].to_numpy(), return_inverse=True)
-        tf, below = b["tf"].to_numpy(), b["below"].to_numpy()
-        lists = {key: np.asarray(rows) for key, rows in b.groupby("key").indices.items()}
-        sums, hits, out = np.zeros(len(ids)), np.zeros(len(ids), np.int32), []
-        for prompt, terms in a.sort_values("place").groupby("prompt_id"):
-            sums[:], hits[:], seen = 0, 0, set()
-            for key, idf in zip(terms["key"], terms["idf"], strict=True):
-                if (rows := lists.get(key)) is not None:
-                    sums[place[rows]] += idf * tf[rows] * (K1 + 1) / below[rows]
-                    if key not in seen:
-                        hits[place[rows]] += 1
-                seen.add(key)
-            for least, every in ((1, False), (len(seen), True)):
-                at = np.flatnonzero(hits >= least)
-                if len(at):
-                    out.append(_best(prompt, ids[at], np.round(sums[at], 6), k).assign(every=every))
-        return pd.concat(out) if out else _empty("prompt_id", "id", "score", "every")
-
-    pairs = _dealt(left, "prompt_id", "g", groups, "b", blocks).groupBy("g", "b").cogroup(_dealt(right, "id", "b", blocks, "g", groups).groupBy("g", "b"))
-    lists = pairs.applyInPandas(score, kinds).groupBy("prompt_id", "id").agg(F.max("score").alias("score"), F.max("every").alias("every"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, rest = [], None, []
+
+        def sent(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(rest)
+            ends = np.append(np.flatnonzero(pc.not_equal(rows.column("prompt_id")[1:], rows.column("prompt_id")[:-1]).to_numpy()) + 1, rows.num_rows)
+            ends, lo = ends if last else ends[:-1], 0  # the last prompt's terms may go on in the next batch
+            for at in range(0, len(ends), GROUP):
+                hi = int(ends[min(len(ends), at + GROUP) - 1])
+                yield _scored(block, rows.slice(lo, hi - lo), k)
+                lo = hi
+            rest[:] = rows.slice(lo).to_batches()
+
+        for x in batches:
+            n = x.column("prompt_id").null_count
+            if n:
+                held.append(x.slice(0, n).select(["key", "id", "x"]))
+            if n == x.num_rows or not held:
+                continue
+            if block is None:
+                t = pa.Table.from_batches(held)
+                block = _Block(t.column("key").to_numpy(), t.column("id").combine_chunks(), t.column("x").to_numpy())
+            rest.append(x.slice(n).select(["prompt_id", "key", "x"]))
+            yield from sent(False)
+        if rest:
+            yield from sent(True)
+
+    passing = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = right.unionByName(passing, allowMissingColumns=True).repartitionById(blocks, F.col("b")).sortWithinPartitions(F.asc_nulls_first("prompt_id"))
+    lists = dealt.mapInArrow(score, kinds)
     some_all = F.max("every").over(W.partitionBy("prompt_id"))
     return _ranked(lists.withColumn("some_all", some_all).where("every or not some_all").select("prompt_id", "id", "score"), k)
 
 
-def vector_lists(planned: DataFrame, vectors: DataFrame, k: int, groups: int, blocks: int, least: float) -> DataFrame:
+def vector_lists(planned: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
     """(prompt_id, id, score, rank): the k most similar vectors of each prompt that has an embedding."""
-    kinds = f"prompt_id {dict(planned.dtypes)['prompt_id']}, id {dict(vectors.dtypes)['id']}, score double"
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return _empty("prompt_id", "id", "score")
-        out, ids, right = [_empty("prompt_id", "id", "score")], b["id"].to_numpy(), _matrix(b)
-        for lo in range(0, len(a), 256):  # the product of a group and a block is never whole in memory
-            part = a.iloc[lo : lo + 256]
-            for prompt, s in zip(part["prompt_id"], np.round(_matrix(part) @ right.T, 6), strict=True):
-                at = np.flatnonzero(s >= least)
-                if len(at):
-                    out.append(_best(prompt, ids[at], s[at], k))
-        return pd.concat(out[1:]) if len(out) > 1 else out[0]
-
-    asked = planned.where("embedding is not null").select("prompt_id", "embedding")
-    pairs = _dealt(asked, "prompt_id", "g", groups, "b", blocks).groupBy("g", "b").cogroup(_dealt(vectors.select("id", "embedding"), "id", "b", blocks, "g", groups).groupBy("g", "b"))
-    return _ranked(pairs.applyInPandas(score, kinds), k)
+    key = F.lit(0).alias("key")
+    near = nearest(planned.select(F.col("prompt_id").alias("id"), "embedding", key), vectors.select("id", "embedding", key), k, least=least)
+    return near.select(F.col("id").alias("prompt_id"), F.col("other").alias("id"), F.col("similarity").alias("score"), "rank")
 
 
 def newest(windows: DataFrame, nodes: DataFrame, k: int, blocks: int) -> DataFrame:
@@ -214,12 +272,11 @@ def recall_all(prompts: DataFrame, nodes: DataFrame, vectors: DataFrame, index,
     prompt ids are left out; a repeated prompt id is an error of the caller, whose lists would mix.
     """
     planned = staged(plan(prompts.where("prompt_id is not null"), now), "prompts")
-    groups, k = 1 + planned.count() // GROUP, limit * overfetch
-    blocks = max(1, index.totals()[0] // BLOCK, index.parallelism())
+    k, blocks = limit * overfetch, max(1, index.totals()[0] // BLOCK, index.parallelism())
     scale = lambda plain, by: F.when(F.col("asks"), plain * by).otherwise(plain)
-    near = staged(vector_lists(planned, vectors, k, groups, blocks, params.similarity_threshold), "near")
+    near = staged(vector_lists(planned, vectors, k, params.similarity_threshold), "near")
     asks = planned.select("prompt_id", "asks")
-    parts = [(text_lists(planned, index, k, groups, params), scale(params.fts_weight, params.question_fts_scale)), (near, scale(params.vector_weight, params.question_vector_scale))]
+    parts = [(text_lists(planned, index, k, params), scale(params.fts_weight, params.question_fts_scale)), (near, scale(params.vector_weight, params.question_vector_scale))]
     shares = [x.join(asks, "prompt_id").select("prompt_id", "id", (weight / (params.rrf_k + F.col("rank"))).alias("part")) for x, weight in parts]
     fused = reduce(DataFrame.unionByName, shares).groupBy("prompt_id", "id").agg(F.sum("part").alias("rrf"))
     fused = fused.join(near.select("prompt_id", "id", F.col("score").alias("similarity")), ["prompt_id", "id"], "left")

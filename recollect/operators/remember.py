@@ -96,7 +96,7 @@ def new_memories(items: DataFrame, stored: DataFrame | None, threshold: float =
     known = items.where("embedding is not null")
     if stored is not None:
         at_once = known.select("id", "embedding", F.lit(0).alias("place"))  # none of them is before another
-        seen = nearest_before(at_once, stored.select(F.lit(None).cast(dict(items.dtypes)["id"]).alias("id"), "embedding"), 1).where(F.col("similarity") >= threshold).select("id")
+        seen = nearest_before(at_once, stored.select(F.lit("0").cast(dict(items.dtypes)["id"]).alias("id"), "embedding"), 1).where(F.col("similarity") >= threshold).select("id")
         items = staged(items.join(seen, "id", "left_anti"), "unseen")
         known = items.where("embedding is not null")
     return first_taken(items, pairs_above(known.select("id", "embedding"), threshold).select("a", "b"))

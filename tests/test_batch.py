@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,32 @@ def test_touches_fold_one_after_another(spark):
         want = touch(want, spark.createDataFrame([(i,) for i in ids], "id bigint"), now())
     assert sorted(map(tuple, batch.touch_all(n, hits, now()).collect())) == sorted(map(tuple, want.collect()))
     assert PARAMS.stability_cap >= 1
+
+
+def test_a_block_scores_many_prompts_as_one_by_one(monkeypatch):
+    """Common terms by a matrix, rare ones by their lists, the nodes with every term apart; ties by id."""
+    monkeypatch.setattr(batch, "MATRIX", 90)  # three of the common terms
+    rng = random.Random(5)
+    held = {(key, node): rng.choice([0.5, 1.0, 2.0]) for key in range(12) for node in range(30) if rng.random() < (0.9 if key < 6 else 0.04)}
+    block = batch._Block(np.array([k for k, _ in held]), pa.array([f"n{i:02}" for _, i in held]), np.array(list(held.values())))
+    assert len(block.matrix) == 3
+    rows = [(f"p{p}", key, rng.choice([0.25, 1.0])) for p in range(40) for key in sorted(rng.sample(range(15), 1 + p % 5))]
+    got = batch._scored(block, pa.table({"prompt_id": [r[0] for r in rows], "key": [r[1] for r in rows], "x": [r[2] for r in rows]}), 4).to_pylist()
+    want = set()
+    for p in {r[0] for r in rows}:
+        asked = [(key, x) for q, key, x in rows if q == p]
+        scores = {i: sum(x * held.get((key, i), 0) for key, x in asked) for i in range(30)}
+        every = {i for i in range(30) if all((key, i) in held for key, _ in asked)}
+        best = lambda nodes: sorted(nodes, key=lambda i: (-round(scores[i], 6), i))[:4]  # noqa: B023, E731
+        want |= {(p, f"n{i:02}", round(scores[i], 6), i in every) for i in [*best([i for i in scores if scores[i] > 0]), *best(every)]}
+    assert len(got) == len(want) and {(r["prompt_id"], r["id"], r["score"], r["every"]) for r in got} == want
+
+
+def test_postings_travel_once_for_all_prompts(spark, store):
+    """However many groups of prompts there are, a posting is dealt to its block alone."""
+    words = " ".join(store[0].orderBy("id").first().content.split()[3:9])
+    asked = spark.range(5000).select(F.col("id").alias("prompt_id"), F.lit(words).alias("prompt"), F.lit(None).cast("array<float>").alias("embedding"))
+    lists = batch.text_lists(staged(batch.plan(asked, now()), "prompts"), store[2], 3)
+    each = lists.select("id", "score", "rank").distinct().count()
+    assert each > 0 and lists.count() == 5000 * each
+    assert "CoGroup" not in lists._jdf.queryExecution().toString()
