@@ -63,15 +63,17 @@ class TextIndex:
         """
         known = self._manifest()
         segment = len(known) and known[-1]["segment"] + 1
-        t = self._tokens(nodes.where("id is not null").dropDuplicates(["id"]))
+        t, kind = self._tokens(nodes.where("id is not null").dropDuplicates(["id"])), dict(nodes.dtypes)["id"]
+        ids = nodes.where("id is not null").select("id").distinct()
         sizes = F.size("f0") + F.size("f1") + F.size("f2")
-        docs = t.select("id", sizes.cast("bigint").alias("n"))
-        docs.write.mode("overwrite").parquet(f"{self.path}/docs/segment={segment}")
-        docs = self.spark.read.schema(docs.schema).parquet(f"{self.path}/docs/segment={segment}")
-
-        found = t.select("id", sizes.cast("bigint").alias("n"), "f0", "f1", "f2").mapInArrow(_posted, f"term string, id {dict(t.dtypes)['id']}, n bigint, tf0 int, tf1 int, tf2 int, places array<bigint>")
+        found = t.select("id", sizes.cast("bigint").alias("n"), "f0", "f1", "f2").mapInArrow(_posted, f"term string, id {kind}, n bigint, tf0 int, tf1 int, tf2 int, places array<bigint>")
+        path = f"{self.path}/postings/segment={segment}"
+        self._write_postings(found.withColumn("bucket", _bucket(F.col("term"), self.buckets)), path, ids.count())
+        # every posting holds its node's number of tokens, so that the texts are cut into tokens once
+        sized = self.spark.read.schema(f"id {kind}, n bigint").parquet(path).groupBy("id").agg(F.max("n").alias("n"))
+        ids.join(sized, "id", "left").fillna(0, ["n"]).write.mode("overwrite").parquet(f"{self.path}/docs/segment={segment}")
+        docs = self.spark.read.schema(f"id {kind}, n bigint").parquet(f"{self.path}/docs/segment={segment}")
         have = docs.agg(F.count("*").alias("a"), F.coalesce(F.sum("n"), F.lit(0)).alias("b")).first()
-        self._write_postings(found.withColumn("bucket", _bucket(F.col("term"), self.buckets)), f"{self.path}/postings/segment={segment}", have["a"])
 
         gone = None
         if known:
@@ -87,7 +89,7 @@ class TextIndex:
         """Rows by bucket and term; a bucket is dealt over more tasks with more nodes, since each may hold one term."""
         salt = F.pmod(F.xxhash64("id"), F.lit(1 + docs // NODES_A_FILE))
         n = self.parallelism()
-        rows.repartition(n, "bucket", salt).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.repartition(n, "bucket", salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def remove(self, ids: DataFrame) -> TextIndex:
         """The nodes of ids (column id) are found no more."""
